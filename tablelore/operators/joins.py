@@ -33,8 +33,9 @@ def join_candidates(catalog: DataFrame, table: str, target: str | None = None) -
     targets = _side(others, "target")
 
     def with_stem(side: DataFrame, prefix: str) -> DataFrame:
-        stem = F.explode(singular_stems(F.col(f"{prefix}_table")))
-        return side.withColumn("link", F.concat(stem, F.lit("_id")))
+        links = F.transform(singular_stems(F.col(f"{prefix}_table")),
+                            lambda stem: F.concat(stem, F.lit("_id")))
+        return side.withColumn("link", F.explode(links))
 
     def found(pairs: DataFrame, order: int, kind: str, confidence: tuple) -> DataFrame:
         same = F.col("source_family") == F.col("target_family")

@@ -201,7 +201,7 @@ typed as (select *, case when split_part(data_type, '(', 1) in ('float', 'double
   then 'numeric' else data_type end as family from c),
 best as (select s.table_name as source_table, t.table_name as target_table,
   s.column_name as source_col, t.column_name as target_col, 'exact_name' as match_type,
-  case when s.family = t.family then 0.9 else 0.5 end as confidence
+  cast(case when s.family = t.family then 0.9 else 0.5 end as double) as confidence
   from typed s join typed t on s.column_name = t.column_name
   where s.table_name = 'user_1' and t.table_name <> 'user_1')
 select *, max(confidence) over (partition by target_table) as table_confidence from best""")
@@ -224,7 +224,9 @@ def _shop(spark, sf):
 @query("join_candidates_shop", "J1 J2 S7", """
 with sizes as (select 'customers' as target_table, count(*) as target_rows from customer
   union all select 'order_lines', count(*) from lineitem)
-select * from (values
+select source_table, target_table, source_col, target_col, match_type,
+  cast(confidence as double) as confidence,
+  cast(table_confidence as double) as table_confidence, target_rows from (values
   ('orders', 'customers', 'customer_id', 'id', 'convention', 0.8, 0.9),
   ('orders', 'customers', 'id', 'id', 'exact_name', 0.9, 0.9),
   ('orders', 'order_lines', 'id', 'id', 'exact_name', 0.9, 0.9),
@@ -236,8 +238,7 @@ def _(spark, sf):
     counted = catalog(tables)
     sizes = counted.groupBy(F.col("table_name").alias("target_table")).agg(
         F.max("row_count").alias("target_rows"))
-    return join_candidates(counted, "orders").join(sizes, "target_table").withColumns({
-        c: F.col(c).cast("decimal(2,1)") for c in ("confidence", "table_confidence")})
+    return join_candidates(counted, "orders").join(sizes, "target_table")
 
 
 @query("singular_stems_words", "J2", """
