@@ -8,6 +8,7 @@ Each type keeps its own slot, so numbers group as numbers.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -16,6 +17,8 @@ from ..functions.types import is_nested, ref
 # Spark prunes a ranked group to its first rows before the shuffle up to this rank.
 _PRUNED_RANK = 1000
 _SALTS = 64
+# Columns unfolded per pass over the table; all passes meet in one shuffle.
+_BATCH = 25
 
 
 def _slot(dt: T.DataType) -> tuple[str, str]:
@@ -52,7 +55,11 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
               for s, t in used.items()],
         )
 
-    unfolded = df.select(F.inline(F.array(*[entry(i, c) for i, c in enumerate(columns)])))
+    entries = [entry(i, c) for i, c in enumerate(columns)]
+    unfolded = reduce(DataFrame.unionByName, [
+        df.select(F.inline(F.array(*entries[i:i + _BATCH])))
+        for i in range(0, len(entries), _BATCH)
+    ])
     return unfolded.groupBy("pos", *used).agg(F.count(F.lit(1)).alias("n"))
 
 

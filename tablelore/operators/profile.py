@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from ..functions.types import (
     as_number, as_text, is_floating, is_numeric, is_orderable, ref, text_length,
@@ -16,12 +17,17 @@ from . import counts
 
 # Distinct values a frequency sketch can track.
 TRACKED_VALUES = 10_000
-# Wider tables are scanned in batches so that the generated code stays small.
-BATCH_COLUMNS = 25
+# Wide tables are aggregated in batches so that the generated code stays small enough to
+# be compiled; the number of batches is bounded because each one reads the table's files.
+BATCH_COLUMNS = 8
+MAX_BATCHES = 16
 # Rank error of the percentile sketch is 1 / accuracy; the bracket around the median
 # is kept wider than that.
 _ACCURACY = 10_000
+# Rank error of the median sketch is below a thousandth at this size.
+_SKETCH_SIZE = 4_000
 _BRACKET = (0.5 - 3 / _ACCURACY, 0.5 + 3 / _ACCURACY)
+_STEPS = 1000
 
 
 def pct(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -48,6 +54,12 @@ def extremes(c: Column, dt: T.DataType) -> list[Column]:
     ]
 
 
+def no_extremes() -> list[Column]:
+    return [F.lit(None).cast(t).alias(a) for a, t in (
+        ("min_val", "double"), ("max_val", "double"),
+        ("min_text", "string"), ("max_text", "string"))]
+
+
 def _column_stats(df: DataFrame, pos: int, name: str, quick: bool) -> Column:
     dt = df.schema[name].dataType
     c = ref(name)
@@ -73,9 +85,7 @@ def _column_stats(df: DataFrame, pos: int, name: str, quick: bool) -> Column:
         moments = [none_d, none_d]
         length = text_length(c, dt)
         lengths = [F.min(length).cast("bigint"), F.max(length).cast("bigint")]
-        edges = [none_d.alias("min_val"), none_d.alias("max_val"),
-                 F.lit(None).cast("string").alias("min_text"),
-                 F.lit(None).cast("string").alias("max_text")]
+        edges = no_extremes()
     return F.struct(
         *fields, *edges,
         moments[0].alias("mean_val"), moments[1].alias("stddev_val"),
@@ -94,18 +104,17 @@ def top_sketch(c: Column, dt: T.DataType, top: int, tracked: int) -> Column:
         s["item"].cast("string").alias("value"), s["count"].alias("count")))
 
 
-def _sketches(df: DataFrame, name: str, quick: bool, top: int) -> Column:
+def _sketches(df: DataFrame, pos: int, name: str, quick: bool, top: int) -> Column:
     dt = df.schema[name].dataType
     c = ref(name)
-    fields = [approx_distinct(c, dt).alias("distinct_count")]
+    fields = [F.lit(pos).alias("pos"), approx_distinct(c, dt).alias("distinct_count")]
+    if not quick:
+        fields.append((approx_median(as_number(c, dt)) if is_numeric(dt)
+                       else F.lit(None).cast("double")).alias("median_val"))
     if top:
         listed = (F.lit(None).cast("array<string>") if is_numeric(dt) else F.transform(
             top_sketch(c, dt, top, TRACKED_VALUES), lambda s: s["value"]))
         fields.append(listed.alias("top_values"))
-    if not quick:
-        median = (F.approx_percentile(as_number(c, dt), 0.5, _ACCURACY)
-                  if is_numeric(dt) else F.lit(None).cast("double"))
-        fields.append(median.alias("median_val"))
     return F.struct(*fields)
 
 
@@ -115,90 +124,111 @@ def approx_distinct(c: Column, dt: T.DataType) -> Column:
     return F.approx_count_distinct(c)
 
 
-def _batch(df: DataFrame, columns: Sequence[str], start: int, quick: bool,
-           sketches: bool, top: int) -> DataFrame:
-    """One aggregate over the batch, unfolded from one wide row to a row per column."""
-    items = []
-    for i, name in enumerate(columns, start=start):
-        stats = _column_stats(df, i, name, quick)
-        extra = _sketches(df, name, quick, top) if sketches else F.struct(
-            F.lit(None).cast("bigint").alias("distinct_count"))
-        items.append(F.struct(stats.alias("s"), extra.alias("e")))
-    return df.agg(F.array(*items).alias("items")).select(F.inline("items")).select(
-        "s.*", "e.*"
-    )
+def approx_median(x: Column) -> Column:
+    """Median from a KLL sketch; null without values."""
+    sketch = F.call_function("kll_sketch_agg_double", x, F.lit(_SKETCH_SIZE))
+    return F.when(F.count(x) > 0, F.call_function(
+        "kll_sketch_get_quantile_double", sketch, F.lit(0.5)))
 
 
-def _batched(df: DataFrame, columns: Sequence[str], quick: bool, sketches: bool,
-             batch_columns: int, top: int = 0) -> DataFrame:
-    parts = [
-        _batch(df, columns[i:i + batch_columns], i, quick, sketches, top)
-        for i in range(0, len(columns), batch_columns)
-    ]
+def top_sketch(c: Column, dt: T.DataType, top: int, tracked: int) -> Column:
+    """Most frequent non-null values with estimated counts, from one sketch."""
+    if not is_orderable(dt):
+        c = as_text(c, dt)
+    # The sketch ranks null like a value, so one more item is asked for.
+    sketch = F.call_function("approx_top_k", c, F.lit(top + 1), F.lit(tracked))
+    found = F.slice(F.filter(sketch, lambda s: s["item"].isNotNull()), 1, top)
+    return F.transform(found, lambda s: F.struct(
+        s["item"].cast("string").alias("value"), s["count"].alias("count")))
+
+
+def per_column(df: DataFrame, columns: Sequence[str], entry: Callable[[int, str], Column],
+               batch_columns: int | None = None) -> DataFrame:
+    """One aggregate struct per column, computed batch by batch and unfolded to rows."""
+    if batch_columns is None:
+        batch_columns = max(BATCH_COLUMNS, math.ceil(len(columns) / MAX_BATCHES))
+    parts = []
+    for start in range(0, len(columns), batch_columns):
+        items = [entry(start + i, c)
+                 for i, c in enumerate(columns[start:start + batch_columns])]
+        parts.append(df.agg(F.array(*items).alias("items")).select(F.inline("items")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _present(used: dict[str, str]) -> Column:
+    return F.coalesce(*[F.when(F.col(s).isNotNull(), F.lit(1)) for s in used])
+
+
 def exact_distincts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(pos, distinct_count)`` from grouped values."""
     used = counts.slots(df, columns)
-    present = F.coalesce(*[F.when(F.col(s).isNotNull(), F.lit(1)) for s in used])
     return (
         counts.value_counts(df, columns)
         .groupBy("pos")
-        .agg(F.count(present).alias("distinct_count"))
+        .agg(F.count(_present(used)).alias("distinct_count"))
     )
 
 
 def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(pos, median_val)`` without bringing a column into one task.
+    """``(pos, distinct_count, median_val)`` without bringing a column into one task.
 
-    A percentile sketch brackets the median; values below the bracket are only
-    counted, and just the few values inside it are ranked one by one.
+    A percentile sketch brackets the median.  All values are counted once for distinct
+    counts and the ranks below the bracket; the few values inside it are cut into equal
+    steps, and only the steps that hold a middle rank are put in order.
     """
     numeric = {i: c for i, c in enumerate(columns) if is_numeric(df.schema[c].dataType)}
     if not numeric:
-        return df.sparkSession.createDataFrame([], "pos int, median_val double")
+        return exact_distincts(df, columns).withColumn(
+            "median_val", F.lit(None).cast("double"))
 
-    brackets = df.agg(F.array(*[
-        F.approx_percentile(as_number(ref(c), df.schema[c].dataType),
-                            [*_BRACKET], _ACCURACY)
-        for c in numeric.values()
+    brackets = df.agg(F.create_map(*[
+        v for i, c in numeric.items() for v in (F.lit(i), F.approx_percentile(
+            as_number(ref(c), df.schema[c].dataType), [*_BRACKET], _ACCURACY))
     ])).scalar()
-    order = F.element_at(
-        F.create_map(*[F.lit(v) for i, p in enumerate(numeric, start=1) for v in (p, i)]),
-        F.col("pos"))
-
     used = counts.slots(df, columns)
-    x = counts.number_of(used)
-    finite = F.when(F.abs(x) < F.lit(float("inf")), x)
-    valued = (
-        counts.value_counts(df, columns)
-        .where(F.col("pos").isin(*numeric))
-        .select("pos", finite.alias("x"), "n")
-        .where(F.col("x").isNotNull())
-        .withColumn("bracket", F.element_at(brackets, order))
-    )
-    low, high = F.col("bracket")[0], F.col("bracket")[1]
+    number = counts.number_of(used)
+    valued = counts.value_counts(df, columns).select(
+        "pos", "n", _present(used).alias("present"),
+        F.when(F.abs(number) < F.lit(float("inf")), number).alias("x"),
+        F.element_at(brackets, F.col("pos")).alias("bracket"))
+    x, low, high = F.col("x"), F.col("bracket")[0], F.col("bracket")[1]
+
+    # Every use of the counted values keeps ``n``, so they are shuffled once.
+    once = F.when(F.col("present").isNotNull(), F.least(F.col("n"), F.lit(1)))
     sizes = valued.groupBy("pos").agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("x") < low, F.col("n")).otherwise(0)).alias("below"),
-    )
-    running = Window.partitionBy("pos").orderBy("x").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+        F.coalesce(F.sum(once), F.lit(0)).alias("distinct_count"),
+        F.sum(F.when(x.isNotNull(), F.col("n"))).alias("total"),
+        F.coalesce(F.sum(F.when(x < low, F.col("n"))), F.lit(0)).alias("below"),
+    ).withColumns({"lower_rank": F.floor((F.col("total") + 1) / 2),
+                   "upper_rank": F.ceil((F.col("total") + 1) / 2)})
+
+    def running(*group: str) -> WindowSpec:
+        return Window.partitionBy(*group).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+
+    step = F.when(high > low, F.least(
+        F.floor((x - low) / (high - low) * _STEPS), F.lit(_STEPS - 1))).otherwise(0)
     inside = (
-        valued.where((F.col("x") >= low) & (F.col("x") <= high))
-        .groupBy("pos", "x").agg(F.sum("n").alias("n"))
-        .withColumn("reached", F.sum("n").over(running))
-        .join(sizes, "pos")
-        .withColumn("reached", F.col("reached") + F.col("below"))
+        valued.where((x >= low) & (x <= high))
+        .groupBy("pos", step.cast("int").alias("step"), "x").agg(F.sum("n").alias("n"))
     )
-    lower_rank = F.floor((F.col("total") + 1) / 2)
-    upper_rank = F.ceil((F.col("total") + 1) / 2)
-    return inside.groupBy("pos").agg(
-        ((F.min(F.when(F.col("reached") >= lower_rank, F.col("x")))
-          + F.min(F.when(F.col("reached") >= upper_rank, F.col("x")))) / 2
-         ).alias("median_val")
+    steps = (
+        inside.groupBy("pos", "step").agg(F.sum("n").alias("step_n"))
+        .withColumn("upto", F.sum("step_n").over(running("pos").orderBy("step")))
+        .join(sizes.drop("distinct_count"), "pos")
+        .select("pos", "step", "lower_rank", "upper_rank",
+                (F.col("below") + F.col("upto") - F.col("step_n")).alias("before"),
+                (F.col("below") + F.col("upto")).alias("upto"))
+        .where((F.col("upto") >= F.col("lower_rank"))
+               & (F.col("before") < F.col("upper_rank")))
     )
+    ranked = inside.join(steps, ["pos", "step"]).withColumn(
+        "reached", F.col("before") + F.sum("n").over(running("pos", "step").orderBy("x")))
+    medians = ranked.groupBy("pos").agg(
+        ((F.min(F.when(F.col("reached") >= F.col("lower_rank"), x))
+          + F.min(F.when(F.col("reached") >= F.col("upper_rank"), x))) / 2
+         ).alias("median_val"))
+    return sizes.select("pos", "distinct_count").join(medians, "pos", "left")
 
 
 _FULL = ("column_name", "column_type", "total_rows", "null_count", "null_pct",
@@ -212,27 +242,31 @@ def profile(
     columns: Sequence[str] | str | None = None,
     exact: bool = False,
     quick: bool = False,
-    batch_columns: int = BATCH_COLUMNS,
+    batch_columns: int | None = None,
     top: int = 0,
 ) -> DataFrame:
     """One row of statistics per column, in table order (``pos``).
 
-    The default reads the table once with sketches for distinct counts and medians.
-    ``exact`` adds one grouped pass.  ``quick`` keeps null and distinct counts only.
+    The default uses sketches for distinct counts and medians; nothing but a few bytes
+    per column is shuffled.  ``exact`` groups the values instead.  ``quick`` keeps null and distinct counts only.
     A sampled ``Scan`` reports the true ``row_count`` next to the scanned rows.
     ``top`` adds the most frequent values of non-numeric columns, from a sketch in the
-    same scan; it needs ``exact=False``.
+    sketch pass; it needs ``exact=False``.
     """
     scan = source if isinstance(source, Scan) else Scan(source)
     df = scan.data
     names = pick_columns(df, columns)
     if top and exact:
         raise ValueError("top belongs to the sketched profile; use top_values() instead")
-    stats = _batched(df, names, quick, not exact, batch_columns, top)
+    # Plain aggregates compile to one loop, sketches do not; kept apart, the plain ones
+    # stay fast, and reading the columns twice costs less than interpreting them once.
+    stats = per_column(df, names, lambda i, c: _column_stats(df, i, c, quick), batch_columns)
     if exact:
-        stats = stats.drop("distinct_count").join(exact_distincts(df, names), "pos", "left")
-        if not quick:
-            stats = stats.join(exact_medians(df, names), "pos", "left")
+        second = (exact_distincts if quick else exact_medians)(df, names)
+    else:
+        second = per_column(df, names, lambda i, c: _sketches(df, i, c, quick, top),
+                            batch_columns)
+    stats = stats.join(second, "pos", "left")
     distinct = clamp_distinct(F.coalesce("distinct_count", F.lit(0)), F.col("total_rows"))
     stats = stats.withColumn("distinct_count", distinct)
     true_rows = (F.lit(scan.row_count).cast("bigint") if scan.sampled
@@ -255,13 +289,10 @@ def approx_top_values(df: DataFrame, columns: Sequence[str] | str | None = None,
     Counts are estimates; ``null_count`` and ``total_rows`` are exact.
     """
     names = pick_columns(df, columns)
-    items = []
-    for i, name in enumerate(names):
-        items.append(F.struct(
-            F.lit(i).alias("pos"), F.lit(name).alias("column_name"),
-            F.count(F.lit(1)).alias("total_rows"),
-            (F.count(F.lit(1)) - F.count(ref(name))).alias("null_count"),
-            top_sketch(ref(name), df.schema[name].dataType, top, tracked).alias("top"),
-        ))
-    wide = df.agg(F.array(*items).alias("items")).select(F.inline("items"))
-    return wide.select("pos", "column_name", "total_rows", "null_count", F.inline("top"))
+    rows = per_column(df, names, lambda i, name: F.struct(
+        F.lit(i).alias("pos"), F.lit(name).alias("column_name"),
+        F.count(F.lit(1)).alias("total_rows"),
+        (F.count(F.lit(1)) - F.count(ref(name))).alias("null_count"),
+        top_sketch(ref(name), df.schema[name].dataType, top, tracked).alias("top"),
+    ))
+    return rows.select("pos", "column_name", "total_rows", "null_count", F.inline("top"))

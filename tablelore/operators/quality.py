@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.types import as_text, is_nested, is_orderable, ref
+from ..functions.types import as_text, is_nested, is_orderable, is_text, ref
 from ..sources.rows import pick_columns
 from ..sources.sampling import Scan
 from . import counts
 from .profile import (
-    BATCH_COLUMNS, approx_distinct, clamp_distinct, exact_distincts, extremes, pct,
+    approx_distinct, clamp_distinct, exact_distincts, extremes, no_extremes, pct, per_column,
 )
 
 # Allowed values up to this many travel inside the scan as literals; larger sets are
@@ -33,34 +32,34 @@ def signals(null_pct: Column, distinct: Column, rows: Column) -> Column:
     ))
 
 
-def _batch(df: DataFrame, columns: Sequence[str], start: int,
-           allowed: Mapping[str, Sequence], sketches: bool) -> DataFrame:
-    items = []
-    for i, name in enumerate(columns, start=start):
-        dt = df.schema[name].dataType
-        c = ref(name)
-        total = F.count(F.lit(1))
-        if is_orderable(dt):
-            edges = extremes(c, dt)
-        else:
-            edges = [F.lit(None).cast(t).alias(a) for a, t in (
-                ("min_val", "double"), ("max_val", "double"),
-                ("min_text", "string"), ("max_text", "string"))]
-        permitted = allowed.get(name)
-        invalid = (F.count_if(outside(df, name, permitted)) if permitted
-                   else F.lit(None).cast("bigint"))
-        items.append(F.struct(
-            F.lit(i).alias("pos"), F.lit(name).alias("column_name"),
-            F.lit(dt.simpleString()).alias("column_type"),
-            total.alias("row_count"),
-            (total - F.count(c)).alias("null_count"),
-            (approx_distinct(c, dt) if sketches else F.lit(None).cast("bigint")).alias(
-                "distinct_count"),
-            *edges,
-            invalid.alias("invalid_count"),
-            F.lit(len(permitted) if permitted else None).cast("int").alias("allowed_count"),
-        ))
-    return df.agg(F.array(*items).alias("items")).select(F.inline("items"))
+def _checks(df: DataFrame, pos: int, name: str, permitted: Sequence | None) -> Column:
+    """What compiles to one loop: counts, and extremes of fixed-width values."""
+    dt = df.schema[name].dataType
+    c = ref(name)
+    total = F.count(F.lit(1))
+    invalid = (F.count_if(outside(df, name, permitted)) if permitted
+               else F.lit(None).cast("bigint"))
+    return F.struct(
+        F.lit(pos).alias("pos"), F.lit(name).alias("column_name"),
+        F.lit(dt.simpleString()).alias("column_type"),
+        total.alias("row_count"), (total - F.count(c)).alias("null_count"),
+        invalid.alias("invalid_count"),
+        F.lit(len(permitted) if permitted else None).cast("int").alias("allowed_count"),
+        *(extremes(c, dt) if is_orderable(dt) and not is_text(dt) else no_extremes()),
+    )
+
+
+def _sketched(df: DataFrame, pos: int, name: str, distinct: bool) -> Column:
+    """What does not: the distinct sketch and extremes of text."""
+    dt = df.schema[name].dataType
+    c = ref(name)
+    lo, hi = (F.min(c), F.max(c)) if is_text(dt) else (F.lit(None), F.lit(None))
+    return F.struct(
+        F.lit(pos).alias("pos"), lo.cast("string").alias("text_min"),
+        hi.cast("string").alias("text_max"),
+        (approx_distinct(c, dt) if distinct else F.lit(None).cast("bigint")).alias(
+            "distinct_count"),
+    )
 
 
 def outside(df: DataFrame, column: str, permitted: Sequence) -> Column:
@@ -76,12 +75,12 @@ def quality(
     columns: Sequence[str] | str | None = None,
     exact: bool = False,
     allowed: Mapping[str, Sequence] | None = None,
-    batch_columns: int = BATCH_COLUMNS,
+    batch_columns: int | None = None,
 ) -> DataFrame:
     """One row per column with null rate, uniqueness, extremes, signals and issues.
 
     ``allowed`` maps a column to its permitted values; they are counted in the same
-    scan and the only thing that sets ``status`` to ``fail``.  ``row_count`` is the
+    pass and the only thing that sets ``status`` to ``fail``.  ``row_count`` is the
     number of rows scanned, so a sample reports its own size.
     """
     df = source.data if isinstance(source, Scan) else source
@@ -91,12 +90,16 @@ def quality(
         if len(values) > LITERAL_VALUES:
             raise ValueError(
                 f"{len(values)} allowed values for {name!r}; use invalid_values()")
-    stats = reduce(DataFrame.unionByName, [
-        _batch(df, names[i:i + batch_columns], i, allowed, not exact)
-        for i in range(0, len(names), batch_columns)
-    ])
+    stats = per_column(df, names, lambda i, c: _checks(df, i, c, allowed.get(c)),
+                       batch_columns)
+    second = per_column(df, names, lambda i, c: _sketched(df, i, c, not exact), batch_columns)
     if exact:
-        stats = stats.drop("distinct_count").join(exact_distincts(df, names), "pos", "left")
+        second = second.drop("distinct_count").join(exact_distincts(df, names), "pos", "left")
+    stats = (
+        stats.join(second, "pos", "left")
+        .withColumn("min_text", F.coalesce("min_text", "text_min"))
+        .withColumn("max_text", F.coalesce("max_text", "text_max"))
+    )
     rows = F.col("row_count")
     return (
         stats.withColumn("distinct_count", clamp_distinct(
