@@ -33,24 +33,28 @@ _DIFF_COLUMNS = ("table_name", "column_name", "change", "left_type", "right_type
                  "left_nullable", "right_nullable")
 
 
-def schema_diff(left: DataFrame, right: DataFrame, by_table: bool = True) -> DataFrame:
-    """Every column as added (right only), removed (left only), changed or unchanged.
-
-    Names match in any case.  ``by_table=False`` compares two single-table catalogs
-    whatever their table names are.
-    """
+def _pairs(left: DataFrame, right: DataFrame, by_table: bool, kept: tuple = ()) -> DataFrame:
+    """Columns of both catalogs side by side, as the structs ``l`` and ``r``."""
     keys = (["table_key"] if by_table else []) + ["column_key"]
 
-    def side(catalog: DataFrame, name: str) -> DataFrame:
+    def side(catalog: DataFrame, name: str, more: tuple = ()) -> DataFrame:
         return catalog.select(
             F.lower("table_name").alias("table_key"),
             F.lower("column_name").alias("column_key"),
-            F.struct("table_name", "column_name", "data_type", "nullable").alias(name),
+            F.struct("table_name", "column_name", "data_type", "nullable", *more).alias(name),
         ).select(*keys, name)
 
-    pairs = side(left, "l").join(side(right, "r"), keys, "full")
-    pairs = pairs.withColumn("table_name", F.coalesce("l.table_name", "r.table_name"))
-    return _difference(pairs).select(*_DIFF_COLUMNS)
+    pairs = side(left, "l", kept).join(side(right, "r"), keys, "full")
+    return pairs.withColumn("table_name", F.coalesce("l.table_name", "r.table_name"))
+
+
+def schema_diff(left: DataFrame, right: DataFrame, by_table: bool = True) -> DataFrame:
+    """Every column as added (right only), removed (left only), changed or unchanged.
+
+    Names match in any case.  ``by_table=False`` compares two single-table catalogs
+    whatever their table names are.
+    """
+    return _difference(_pairs(left, right, by_table)).select(*_DIFF_COLUMNS)
 
 
 def diff_counts(difference: DataFrame) -> DataFrame:
@@ -89,16 +93,18 @@ def diff_since(snapshots: DataFrame, current: DataFrame, current_counts: DataFra
 
     Tables without a snapshot are left out: there is nothing to compare them with.
     """
-    previous = latest_snapshot(snapshots, before)
-    since = previous.groupBy(F.lower("table_name").alias("table_key")).agg(
-        F.max("taken_at").alias("since"), F.max("row_count").alias("previous_row_count"))
+    pairs = _pairs(latest_snapshot(snapshots, before), current, True,
+                   ("taken_at", "row_count"))
+    table = Window.partitionBy("table_key")  # the columns of one table
+    since = pairs.withColumns({
+        "since": F.max("l.taken_at").over(table),
+        "previous_row_count": F.max("l.row_count").over(table),
+    }).where(F.col("since").isNotNull())
     counts = current_counts.select(
         F.lower("table_name").alias("table_key"),
         F.col("row_count").alias("current_row_count"))
     return (
-        schema_diff(previous, current)
-        .withColumn("table_key", F.lower("table_name"))
-        .join(since, "table_key")
+        _difference(since)
         .join(counts, "table_key", "left")
         .withColumn("row_count_delta",
                     F.col("current_row_count") - F.col("previous_row_count"))

@@ -175,14 +175,12 @@ def merge_decisions(
         raise ValueError(f"unknown merge strategy {strategy!r}")
     of_table = F.col("column_key") == ""
     here = _keyed(local)
-    known_tables = here.select("table_name").distinct().withColumn("has_table", F.lit(True))
     known_columns = here.where(~of_table).select("table_name", "column_key").distinct(
     ).withColumn("has_column", F.lit(True))
     joined = (
         _folded(incoming, "inc").where(_importable(F.col("field"), of_table))
         .join(_folded(local, "loc"), list(_KEY), "left")
         .join(known_columns, ["table_name", "column_key"], "left")
-        .join(known_tables, "table_name", "left")
     )
     drifted = F.lit(False)
     if status is not None:
@@ -190,7 +188,7 @@ def merge_decisions(
             status.select("table_name", (F.col("status") == "drift").alias("drift")),
             "table_name", "left")
         drifted = F.coalesce("drift", F.lit(False))
-    new_column = ~of_table & F.col("has_column").isNull() & F.col("has_table").isNotNull()
+    new_column = ~of_table & F.col("has_column").isNull()
 
     ours, theirs = confidence_of("loc."), confidence_of("inc.")
     newer = F.coalesce(F.col("inc.written_at") > F.col("loc.written_at"), F.lit(False))

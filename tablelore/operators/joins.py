@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.names import singular_stems
@@ -10,13 +10,21 @@ from ..functions.types import ref, type_family
 from ..sources.rows import pick_column
 
 
-def _side(catalog: DataFrame, prefix: str) -> DataFrame:
+def _links(catalog: DataFrame, side: str) -> DataFrame:
+    """Names under which a column can be found: its own, and for ``id`` also
+    ``{singular}_id`` for every singular of its table name."""
+    own = F.lower("column_name")
+    foreign = F.transform(
+        singular_stems(F.col("table_name")),
+        lambda stem: F.struct(F.concat(stem, F.lit("_id")).alias("link"),
+                              F.lit(True).alias("foreign")))
+    itself = F.array(F.struct(own.alias("link"), F.lit(False).alias("foreign")))
     return catalog.select(
-        F.col("table_name").alias(f"{prefix}_table"),
-        F.col("column_name").alias(f"{prefix}_col"),
-        F.lower("column_name").alias(f"{prefix}_key"),
-        type_family(F.col("data_type")).alias(f"{prefix}_family"),
-    )
+        F.col("table_name").alias(f"{side}_table"),
+        F.col("column_name").alias(f"{side}_col"),
+        type_family(F.col("data_type")).alias(f"{side}_family"),
+        F.inline(F.when(own == "id", F.concat(itself, foreign)).otherwise(itself)),
+    ).withColumnRenamed("foreign", f"{side}_foreign")
 
 
 def join_candidates(catalog: DataFrame, table: str, target: str | None = None) -> DataFrame:
@@ -24,51 +32,40 @@ def join_candidates(catalog: DataFrame, table: str, target: str | None = None) -
 
     Columns match by equal name, or by convention: ``{singular}_id`` of one side with
     ``id`` of the other.  One row per target table and column pair; best tables first.
+    All rules meet in one equi-join whose left side is the columns of a single table.
     """
     name = F.lower("table_name")
-    source = _side(catalog.where(name == table.lower()), "source")
     others = catalog.where(name != table.lower())
     if target is not None:
         others = others.where(name == target.lower())
-    targets = _side(others, "target")
-
-    def with_stem(side: DataFrame, prefix: str) -> DataFrame:
-        links = F.transform(singular_stems(F.col(f"{prefix}_table")),
-                            lambda stem: F.concat(stem, F.lit("_id")))
-        return side.withColumn("link", F.explode(links))
-
-    def found(pairs: DataFrame, order: int, kind: str, confidence: tuple) -> DataFrame:
-        same = F.col("source_family") == F.col("target_family")
-        return pairs.select(
-            "source_table", "target_table", "source_col", "target_col",
-            F.struct(
-                F.lit(order).alias("order"),
-                F.lit(kind).alias("match_type"),
-                F.when(same, confidence[0]).otherwise(confidence[1]).alias("confidence"),
-            ).alias("match"),
-        )
-
-    by_name = source.join(targets, F.col("source_key") == F.col("target_key"))
-    target_id = with_stem(targets.where(F.col("target_key") == "id"), "target")
-    to_target = source.join(target_id, F.col("source_key") == F.col("link"))
-    source_id = with_stem(source.where(F.col("source_key") == "id"), "source")
-    to_source = targets.join(source_id, F.col("target_key") == F.col("link"))
-
-    matches = (
-        found(by_name, 1, "exact_name", fixed.EXACT_NAME_CONFIDENCE)
-        .unionByName(found(to_target, 2, "convention", fixed.CONVENTION_CONFIDENCE))
-        .unionByName(found(to_source, 3, "convention", fixed.CONVENTION_CONFIDENCE))
-        .groupBy("source_table", "target_table", "source_col", "target_col")
-        .agg(F.min("match").alias("match"))
+    pairs = _links(catalog.where(name == table.lower()), "source").join(
+        _links(others, "target"), "link"
+    ).where(~(F.col("source_foreign") & F.col("target_foreign")))
+
+    # The rules in order of preference, the first one wins for a pair of columns.
+    order = (F.when(F.col("target_foreign"), 2).when(F.col("source_foreign"), 3)
+             .otherwise(1))
+    exact = order == 1
+    same = F.col("source_family") == F.col("target_family")
+
+    def graded(confidence: tuple[float, float]) -> Column:
+        return F.when(same, confidence[0]).otherwise(confidence[1])
+
+    match = F.struct(
+        order.alias("order"),
+        F.when(exact, "exact_name").otherwise("convention").alias("match_type"),
+        F.when(exact, graded(fixed.EXACT_NAME_CONFIDENCE))
+        .otherwise(graded(fixed.CONVENTION_CONFIDENCE)).alias("confidence"))
+    one_table = Window.partitionBy("target_table")  # at most the pairs of two tables
+    return (
+        pairs.groupBy("source_table", "target_table", "source_col", "target_col")
+        .agg(F.min(match).alias("match"))
         .select("source_table", "target_table", "source_col", "target_col",
-                "match.match_type", "match.confidence")
+                "match.match_type", "match.confidence",
+                F.max("match.confidence").over(one_table).alias("table_confidence"))
+        .orderBy(F.desc("table_confidence"), "target_table", F.desc("confidence"),
+                 "source_col", "target_col")
     )
-    best = matches.groupBy("target_table").agg(F.max("confidence").alias("table_confidence"))
-    return matches.join(best, "target_table").select(
-        "source_table", "target_table", "source_col", "target_col", "match_type",
-        "confidence", "table_confidence",
-    ).orderBy(F.desc("table_confidence"), "target_table", F.desc("confidence"),
-              "source_col", "target_col")
 
 
 def key_evidence(source: DataFrame, source_col: str, target: DataFrame,

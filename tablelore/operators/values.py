@@ -111,31 +111,23 @@ def histogram(source: DataFrame | Scan, column: str, buckets: int = 20) -> DataF
     df = _data(source)
     name = pick_column(df, column)
     x = as_number(ref(name), df.schema[name].dataType)
-    edges = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    placed = df.select(x.alias("x"), edges.alias("e"))
+    edges = df.agg(F.struct(
+        F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("total_rows"),
+        (F.count(F.lit(1)) - F.count(x)).alias("null_count"))).scalar()
+    placed = df.select(x.alias("x"), edges.alias("e")).where(F.col("x").isNotNull())
     lo, hi = F.col("e.lo"), F.col("e.hi")
-    spot = F.floor((F.col("x") - lo) * buckets / (hi - lo))
-    bucket = (
-        F.when(F.col("x").isNull(), F.lit(None))
-        .when(hi == lo, F.lit(0))
-        .otherwise(F.least(spot, F.lit(buckets - 1)))
-        .cast("bigint")
-    )
-    grouped = placed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    everything = Window.partitionBy()  # at most one row per bucket plus the nulls
-    width = (F.col("e.hi") - F.col("e.lo")) / buckets
-    start = F.col("e.lo") + F.col("bucket") * width
-    end = F.when(F.col("bucket") == buckets - 1, F.col("e.hi")).otherwise(
-        F.col("e.lo") + (F.col("bucket") + 1) * width)
+    bucket = F.when(hi == lo, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("x") - lo) * buckets / (hi - lo)), F.lit(buckets - 1)))
+    width = (hi - lo) / buckets
+    start = lo + F.col("bucket") * width
+    end = F.when(F.col("bucket") == buckets - 1, hi).otherwise(
+        lo + (F.col("bucket") + 1) * width)
     return (
-        grouped.withColumn("total_rows", F.sum("n").over(everything))
-        .withColumn("null_count", F.coalesce(
-            F.sum(F.when(F.col("bucket").isNull(), F.col("n"))).over(everything),
-            F.lit(0)))
-        .where(F.col("bucket").isNotNull())
+        placed.groupBy(bucket.cast("bigint").alias("bucket"))
+        .agg(F.count(F.lit(1)).alias("count"))
         .withColumn("e", edges)
-        .select("bucket", start.alias("bucket_min"), end.alias("bucket_max"),
-                F.col("n").alias("count"), "total_rows", "null_count")
+        .select("bucket", start.alias("bucket_min"), end.alias("bucket_max"), "count",
+                "e.total_rows", "e.null_count")
         .orderBy("bucket")
     )
 

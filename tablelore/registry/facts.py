@@ -133,21 +133,18 @@ fa as ({d_fingerprints(d.observed_sql())}), fb as ({d_fingerprints(_LEFT)}),
 status as (select fa.table_name, fb.fingerprint is not null
   and fa.fingerprint <> fb.fingerprint as drift from fa left join fb using (table_name)),
 kc as (select distinct table_name, column_name from loc where column_name is not null),
-kt as (select distinct table_name from loc),
 j as (select i.table_name, i.column_name, i.field, i.value, i."values", i.write_id,
     i.written_at as i_written, l.written_at as l_written,
     (i.value is not null or i."values" is not null) as i_stored,
     coalesce(l.value is not null or l."values" is not null, false) as l_stored,
     {d.confidence_sql('i.')} as ic,
     case when l.field is null then 0.0 else {d.confidence_sql('l.')} end as lc,
-    i.column_name is not null and kc.column_name is null and kt.table_name is not null
-      as new_column,
+    i.column_name is not null and kc.column_name is null as new_column,
     {'coalesce(s.drift, false)' if drift else 'false'} as drift
   from inc i
   left join loc l on i.table_name = l.table_name and i.field = l.field
     and i.column_name is not distinct from l.column_name
   left join kc on kc.table_name = i.table_name and kc.column_name = i.column_name
-  left join kt on kt.table_name = i.table_name
   left join status s on s.table_name = i.table_name
   where case when i.column_name is null then i.field not in ('row_count', 'table_comment')
     else i.field not in ('sample_values', 'min_val', 'max_val') end),
