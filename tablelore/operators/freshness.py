@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import temporal_score
+from ..functions.text import one_decimal
 from ..functions.types import as_text, is_orderable, is_text, ref
 from .profile import pct
 
@@ -123,8 +124,8 @@ def freshness(df: DataFrame, column: str | None = None, stale_after_days: float
             F.lit("Latest value in '"), name,
             F.lit("' could not be parsed as a date/time.")))
         .otherwise(F.format_string(
-            f"Newest value in '%s' is %.1f day(s) old (threshold: {stale_after_days}d).",
-            name, days))
+            f"Newest value in '%s' is %s day(s) old (threshold: {stale_after_days}d).",
+            name, one_decimal(days)))
     )
     return picked.select(
         "row_count", limit.alias("stale_after_days"), status.alias("status"),

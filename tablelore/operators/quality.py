@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
+from ..functions.text import one_decimal
 from ..functions.types import as_text, is_nested, is_orderable, is_text, ref
 from ..sources.rows import pick_columns
 from ..sources.sampling import Scan
@@ -28,7 +29,7 @@ def signals(null_pct: Column, distinct: Column, rows: Column) -> Column:
                F.concat(null_pct.cast("string"), F.lit("% null"))),
         F.when((rows > 0) & (distinct == 0), F.lit("0 distinct values (all null)")),
         F.when((rows > 0) & (distinct > 0) & (unique < fixed.UNIQUE_SIGNAL_PCT),
-               F.format_string("%.1f%% unique", unique)),
+               F.concat(one_decimal(unique), F.lit("% unique"))),
     ))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import knowledge as k
 from ..operators.columns import column_categories, columns_by_category
 from ..operators.profile import profile
-from .base import TABLES, profile_sql, quality_sql, query, read
-from .scans import LABELLED_COLUMNS, LABELLED_SQL, labelled
+from ..sources.tables import catalog, enrich_catalog
+from .base import TABLES, profile_sql, quality_sql, query, read, read_all
+from .scans import LABELLED_COLUMNS, LABELLED_SQL, _catalog_sql, labelled
 
 # --- categories -------------------------------------------------------------------
 
@@ -189,6 +190,21 @@ def _(spark, sf):
     return _flat(k.suggestions(orders, "orders", stored_facts(spark, sf)))
 
 
+@query("catalog_enriched", "S9", f"""
+with c as ({_catalog_sql()})
+select c.table_name, c.column_name, c.row_count,
+  case when c.table_name = 'orders' then 'One row per order' end as table_description,
+  s.description, s.pii, s.valid_values
+from c left join ({STORED_SQL}) s on c.table_name = 'orders' and s.column_name = c.column_name
+""")
+def _(spark, sf):
+    rows = enrich_catalog(catalog(read_all(spark, sf)), stored_facts(spark, sf))
+    return rows.select(
+        "table_name", "column_name", "row_count", "table_description", "description", "pii",
+        F.when(F.col("valid_values").isNotNull(), F.concat_ws(";", "valid_values")).alias(
+            "valid_values"))
+
+
 @query("profile_with_facts_orders", "K10 A1", f"""
 with p as ({profile_sql('orders', TABLES['orders'], quick=True)})
 select p.*, description, valid_values, pii, temporal, cast(null as varchar) as likely_sparse

@@ -121,3 +121,16 @@ def test_nothing_to_judge_is_an_error(spark):
         assert_sql(spark, "select id from range(0)", "eq", 0).collect()
     with pytest.raises(ValueError, match="invalid operator"):
         assert_sql(spark, "select 1", "ne", 0)
+
+
+@pytest.mark.parametrize("distinct,rows,expected", [
+    (9, 6000, "0.1"), (1, 400, "0.2"), (3, 400, "0.8"), (3, 1000, "0.3"), (7, 1000, "0.7"),
+    (1, 10**6, "0.0"), (35, 10_000, "0.3"), (45, 10_000, "0.5"), (99, 10_000, "1.0"),
+])
+def test_signals_round_like_the_exact_number(spark, distinct, rows, expected):
+    from tablelore.operators.quality import signals
+
+    assert f"{100.0 * distinct / rows:.1f}" == expected
+    got = spark.range(1).select(signals(F.lit(0.0), F.lit(distinct), F.lit(rows)).alias("s")
+                                ).collect()[0].s
+    assert got == [f"{expected}% unique"]
