@@ -24,8 +24,3 @@ def has_content(value: Column) -> Column:
     """False for null, blank and ``<placeholder>`` text."""
     trimmed = F.trim(value)
     return F.coalesce((trimmed != "") & ~F.startswith(trimmed, F.lit("<")), F.lit(False))
-
-
-def one_decimal(x: Column) -> Column:
-    """A double with one decimal, rounded from its exact binary value, ties to even."""
-    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))

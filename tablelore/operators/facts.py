@@ -14,6 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
+from ..functions.numbers import exact_round, share
 from ..functions.text import has_content
 from . import counts
 
@@ -324,25 +325,24 @@ def completeness(current: DataFrame, as_of: Column) -> DataFrame:
         F.max("written_at").alias("written_at"),
     )
 
-    def share(part: str, whole: str) -> Column:
-        return F.when(F.col(whole) > 0, F.lit(100.0) * F.col(part) / F.col(whole)
-                      ).otherwise(F.lit(100.0))
+    def covered(part: str, whole: str) -> Column:
+        return F.coalesce(share(F.col(part), F.col(whole)), F.lit(100.0))
 
     days = F.greatest(F.lit(0.0), F.timestamp_diff(
         "MICROSECOND", F.col("written_at").cast("timestamp"), as_of.cast("timestamp"))
         / F.lit(86_400_000_000.0))
     fresh = F.coalesce(freshness_credit(days), F.lit(0.0))
     score = (
-        F.lit(fixed.DESCRIPTION_WEIGHT) * (share("described", "column_count") / 100.0)
-        + F.lit(fixed.VALID_VALUES_WEIGHT) * (share("listed", "valid_values_targets") / 100.0)
+        F.lit(fixed.DESCRIPTION_WEIGHT) * (covered("described", "column_count") / 100.0)
+        + F.lit(fixed.VALID_VALUES_WEIGHT) * (covered("listed", "valid_values_targets") / 100.0)
         + F.lit(fixed.FRESHNESS_WEIGHT) * fresh
     )
     return totals.select(
-        "table_name", F.round(score, 2).alias("score"), "column_count",
-        F.round(share("described", "column_count"), 1).alias("column_description_pct"),
-        F.round(share("listed", "valid_values_targets"), 1).alias(
+        "table_name", exact_round(score, 2).alias("score"), "column_count",
+        exact_round(covered("described", "column_count"), 1).alias("column_description_pct"),
+        exact_round(covered("listed", "valid_values_targets"), 1).alias(
             "valid_values_coverage_pct"),
-        "valid_values_targets", F.round(days, 1).alias("freshness_days"),
+        "valid_values_targets", exact_round(days, 1).alias("freshness_days"),
     ).orderBy("score", "table_name")
 
 
@@ -357,5 +357,5 @@ def freshness_credit(days: Column) -> Column:
 
 
 def average_score(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.round(F.avg("score"), 2).alias("average_score"),
+    return scores.agg(exact_round(F.avg("score"), 2).alias("average_score"),
                       F.count(F.lit(1)).alias("table_count"))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.names import temporal_score
-from ..functions.text import one_decimal
+from ..functions.numbers import exact_round, fixed_text, share
 from ..functions.types import as_text, is_orderable, is_text, ref
-from .profile import pct
 
 # Text that starts like an ISO date, with or without separators.
 _ISO_DATE = r"^\s*\d{4}-\d{2}-\d{2}"
@@ -83,8 +82,9 @@ def freshness_candidates(df: DataFrame, column: str | None = None,
     return rows.select(
         "column_name", "column_type", "score", "reasons", "row_count", "non_null_count",
         nulls.alias("null_count"),
-        F.coalesce(pct(nulls, F.col("row_count")), F.lit(0.0)).alias("null_pct"),
-        "earliest_value", "latest_value", F.round(age, 2).alias("latest_age_days"),
+        F.coalesce(exact_round(share(nulls, F.col("row_count")), 2), F.lit(0.0)).alias(
+            "null_pct"),
+        "earliest_value", "latest_value", exact_round(age, 2).alias("latest_age_days"),
     )
 
 
@@ -125,7 +125,7 @@ def freshness(df: DataFrame, column: str | None = None, stale_after_days: float
             F.lit("' could not be parsed as a date/time.")))
         .otherwise(F.format_string(
             f"Newest value in '%s' is %s day(s) old (threshold: {stale_after_days}d).",
-            name, one_decimal(days)))
+            name, fixed_text(days, 1)))
     )
     return picked.select(
         "row_count", limit.alias("stale_after_days"), status.alias("status"),

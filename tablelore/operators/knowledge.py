@@ -13,7 +13,7 @@ from ..sources.rows import pick_columns, preview
 from ..sources.sampling import Scan
 from ..sources.tables import column_catalog
 from . import facts as f
-from .profile import approx_distinct, pct, profile, top_sketch
+from .profile import approx_distinct, profile, top_sketch
 from .quality import quality
 from .values import top_values
 

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
+from ..functions.numbers import share, sql_round
 from ..functions.types import (
     as_number, as_text, is_floating, is_numeric, is_orderable, ref, text_length,
 )
@@ -30,11 +31,6 @@ _BRACKET = (0.5 - 3 / _ACCURACY, 0.5 + 3 / _ACCURACY)
 _STEPS = 1000
 
 
-def pct(part: Column, whole: Column, digits: int = 2) -> Column:
-    """Rounded percentage, null when the whole is zero."""
-    return F.round(F.lit(100.0) * part / F.nullif(whole, F.lit(0)), digits)
-
-
 def clamp_distinct(distinct: Column, rows: Column) -> Column:
     """Sketches may overshoot; never report more distinct values than rows."""
     return F.greatest(F.least(distinct, rows), F.lit(0))
@@ -72,13 +68,13 @@ def _column_stats(df: DataFrame, pos: int, name: str, quick: bool) -> Column:
         F.lit(dt.simpleString()).alias("column_type"),
         total.alias("total_rows"),
         nulls.alias("null_count"),
-        pct(nulls, total).alias("null_pct"),
+        sql_round(share(nulls, total), 2).alias("null_pct"),
     ]
     if quick:
         return F.struct(*fields)
     if is_numeric(dt):
         x = as_number(c, dt)
-        moments = [F.round(F.avg(x), 4), F.round(F.stddev(x), 4)]
+        moments = [sql_round(F.avg(x), 4), sql_round(F.stddev(x), 4)]
         lengths = [none_l, none_l]
         edges = extremes(c, dt)
     else:

@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import one_decimal
+from ..functions.numbers import exact_round, fixed_text, share
 from ..functions.types import as_text, is_nested, is_orderable, is_text, ref
 from ..sources.rows import pick_columns
 from ..sources.sampling import Scan
 from . import counts
 from .profile import (
-    approx_distinct, clamp_distinct, exact_distincts, extremes, no_extremes, pct, per_column,
+    approx_distinct, clamp_distinct, exact_distincts, extremes, no_extremes, per_column,
 )
 
 # Allowed values up to this many travel inside the scan as literals; larger sets are
@@ -29,7 +29,7 @@ def signals(null_pct: Column, distinct: Column, rows: Column) -> Column:
                F.concat(null_pct.cast("string"), F.lit("% null"))),
         F.when((rows > 0) & (distinct == 0), F.lit("0 distinct values (all null)")),
         F.when((rows > 0) & (distinct > 0) & (unique < fixed.UNIQUE_SIGNAL_PCT),
-               F.concat(one_decimal(unique), F.lit("% unique"))),
+               F.concat(fixed_text(unique, 1), F.lit("% unique"))),
     ))
 
 
@@ -105,9 +105,10 @@ def quality(
     return (
         stats.withColumn("distinct_count", clamp_distinct(
             F.coalesce("distinct_count", F.lit(0)), rows))
-        .withColumn("null_pct", F.coalesce(pct(F.col("null_count"), rows), F.lit(0.0)))
-        .withColumn("uniqueness_pct", F.coalesce(pct(F.col("distinct_count"), rows),
-                                                 F.lit(0.0)))
+        .withColumn("null_pct", F.coalesce(
+            exact_round(share(F.col("null_count"), rows), 2), F.lit(0.0)))
+        .withColumn("uniqueness_pct", F.coalesce(
+            exact_round(share(F.col("distinct_count"), rows), 2), F.lit(0.0)))
         .withColumn("signals", F.when(rows > 0, signals(
             F.col("null_pct"), F.col("distinct_count"), rows)).otherwise(F.array()))
         .withColumn("issues", F.when(F.col("invalid_count") > 0, F.array(issue_text(

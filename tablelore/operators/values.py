@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.numbers import exact_round, share
 from ..functions.types import as_number, as_text, is_nested, is_numeric, ref
 from ..sources.rows import pick_column, pick_columns
 from ..sources.sampling import Scan
@@ -138,8 +139,8 @@ def categories(source: DataFrame | Scan, column: str, top: int = 20) -> DataFram
     listed = distinct_values(df, column, top, "frequency")
     return listed.select(
         F.col("value").cast("string").alias("value"), "count",
-        F.round(F.lit(100.0) * F.col("count")
-                / F.sum("count").over(Window.partitionBy()), 1).alias("listed_pct"),
+        exact_round(share(F.col("count"), F.sum("count").over(Window.partitionBy())), 1
+                    ).alias("listed_pct"),
         (F.col("total_rows") - F.col("null_count")).alias("non_null_rows"),
         "total_rows", "null_count",
     )

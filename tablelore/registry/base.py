@@ -138,8 +138,9 @@ def quality_sql(source: str, columns: dict[str, str],
     return f"""
 with stats as ({stats}),
 rated as (select *,
-  cast(round(100.0 * null_count / row_count, 2) as double) as null_pct,
-  cast(round(100.0 * distinct_count / row_count, 2) as double) as uniqueness_pct,
+  cast(printf('%.2f', cast(100.0 * null_count / row_count as double)) as double) as null_pct,
+  cast(printf('%.2f', cast(100.0 * distinct_count / row_count as double)) as double)
+    as uniqueness_pct,
   cast(100.0 * distinct_count / row_count as double) as u from stats)
 select column_name, column_type, row_count, null_count, null_pct, distinct_count,
   uniqueness_pct, min_val, max_val, min_text, max_text,

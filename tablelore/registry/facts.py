@@ -283,13 +283,15 @@ t as (select table_name, count(*) as column_count, sum(described) as described,
 p as (select *, case when column_count > 0 then 100.0 * described / column_count
     else 100.0 end as dp,
   case when targets > 0 then 100.0 * listed / targets else 100.0 end as vp,
-  case when days <= 7 then 1.0 when days >= 90 then 0.0
-    else 1.0 - (days - 7.0) / 83.0 end as fresh from t)
+  cast(case when days <= 7 then 1.0 when days >= 90 then 0.0
+    else 1.0 - (days - 7.0) / 83.0 end as double) as fresh from t)
 select table_name,
-  round(cast(0.5 * (dp / 100) + 0.3 * (vp / 100) + 0.2 * fresh as double), 2) as score,
-  column_count, round(cast(dp as double), 1) as column_description_pct,
-  round(cast(vp as double), 1) as valid_values_coverage_pct,
-  targets as valid_values_targets, round(cast(days as double), 1) as freshness_days
+  cast(printf('%.2f', cast(0.5 as double) * (dp / 100) + cast(0.3 as double) * (vp / 100)
+    + cast(0.2 as double) * fresh) as double) as score,
+  column_count, cast(printf('%.1f', cast(dp as double)) as double) as column_description_pct,
+  cast(printf('%.1f', cast(vp as double)) as double) as valid_values_coverage_pct,
+  targets as valid_values_targets,
+  cast(printf('%.1f', cast(days as double)) as double) as freshness_days
 from p"""
 
 
@@ -299,7 +301,7 @@ def _(spark, sf):
 
 
 @query("facts_score_average", "F9", f"""
-select round(avg(score), 2) as average_score, count(*) as table_count from ({_SCORE_SQL})""")
+select cast(printf('%.2f', avg(score)) as double) as average_score, count(*) as table_count from ({_SCORE_SQL})""")
 def _(spark, sf):
     return f.average_score(f.completeness(d.dictionary(spark, sf), F.lit(d.AS_OF)))
 

@@ -308,7 +308,8 @@ def _(spark, sf):
 
 @query("categories_returnflag", "A12", """
 with g as (select l_returnflag as value, count(*) as count from lineitem group by 1)
-select value, count, round(100.0 * count / sum(count) over (), 1) as listed_pct,
+select value, count, cast(printf('%.1f', cast(100.0 * count / sum(count) over () as double)) as double)
+  as listed_pct,
   cast((select sum(count) from g) as bigint) as non_null_rows,
   cast((select sum(count) from g) as bigint) as total_rows, 0 as null_count from g""")
 def _(spark, sf):
@@ -319,7 +320,8 @@ def _(spark, sf):
 @query("categories_sources_top", "A12", """
 with g as (select source as value, count(*) as count from documents group by 1),
 t as (select * from g order by count desc, value limit 5)
-select value, count, round(100.0 * count / sum(count) over (), 1) as listed_pct,
+select value, count, cast(printf('%.1f', cast(100.0 * count / sum(count) over () as double)) as double)
+  as listed_pct,
   (select count(source) from documents) as non_null_rows,
   (select count(*) from documents) as total_rows,
   (select count(*) - count(source) from documents) as null_count from t""")
