@@ -88,6 +88,7 @@ COLUMN_DOC_WEIGHTS = {
     "pii": 4,
 }
 TOKEN_PATTERN = "[a-z0-9]+(?:[-_][a-z0-9]+)?"
+JOINED_PATTERN = "[a-z0-9]+[-_][a-z0-9]+"
 BM25_K1 = 1.5
 BM25_B = 0.75
 SAME_NAME_BONUS = 8.0

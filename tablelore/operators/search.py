@@ -34,7 +34,7 @@ def _add(parts: list[Column]) -> Column:
 def rank_documents(
     docs: DataFrame,
     query: str,
-    weights: Mapping[str, int] | Sequence[tuple[Column, Mapping[str, int]]],
+    weights: Mapping[str, int],
     names: Sequence[str] = (),
     excerpt: str | None = None,
     order: Sequence[str] = (),
@@ -42,45 +42,42 @@ def rank_documents(
 ) -> DataFrame:
     """The best documents for a query, by BM25 plus a bonus for names and phrases.
 
-    ``weights`` maps text columns to the weight of their terms, or lists such maps with
-    the condition under which each applies.  ``names`` are the columns holding table
-    and column names, ``order`` breaks ties.
+    ``weights`` maps text columns to the weight of their terms.  ``names`` are the
+    columns holding table and column names, ``order`` breaks ties.
     """
     asked = query_terms(query)
     distinct = list(dict.fromkeys(asked))
-    if isinstance(weights, Mapping):
-        weights = [(F.lit(True), weights)]
-    fields = list(dict.fromkeys(f for _, w in weights for f in w))
-
-    def weight(field: str) -> Column:
-        w = F.lit(0)
-        for condition, table in weights:
-            w = F.when(condition, F.lit(table.get(field, 0))).otherwise(w)
-        return w
-
-    termed = docs.select("*", *[terms(F.col(f)).alias(f"_t_{f}") for f in fields])
     if not distinct:
-        return docs.limit(0).select("*", F.lit(0.0).alias("score"),
-                                    F.array().cast("array<string>").alias("matched_terms"))
+        return docs.limit(0).select("*", F.lit(0.0).alias("score"), F.array().cast(
+            "array<string>").alias("matched_terms"))
 
     def hits(field: str, term: str) -> Column:
-        return F.size(F.filter(F.col(f"_t_{field}"), lambda t: t == F.lit(term)))
-
-    counted = termed.select(
-        *docs.columns,
-        _add([weight(f) * F.size(f"_t_{f}") for f in fields]).cast("bigint").alias("_len"),
-        *[_add([weight(f) * hits(f, t) for f in fields]).cast("bigint").alias(f"_tf{i}")
-          for i, t in enumerate(distinct)],
-        *[F.array_sort(F.array_intersect(F.col(f"_t_{f}"),
-                                         F.array(*[F.lit(t) for t in distinct]))
-                       ).alias(f"_m_{f}") for f in fields],
-    )
-    corpus = counted.agg(F.struct(
+        found = F.col(f"_t_{field}")
+        return F.size(found) - F.size(F.array_remove(found, term))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """Rows with their length and the frequency of every query term."""
+        termed = rows.select("*", *[terms(F.col(f)).alias(f"_t_{f}") for f in weights])
+        return termed.select(
+            *docs.columns,
+            _add([w * F.size(f"_t_{f}") for f, w in weights.items()]).cast("bigint").alias(
+                "_len"),
+            *[_add([w * hits(f, t) for f, w in weights.items()]).cast("bigint").alias(f"_tf{i}")
+              for i, t in enumerate(distinct)],
+        )
+
+    corpus = counted(docs).agg(F.struct(
         F.count(F.lit(1)).alias("n"),
         F.sum("_len").alias("length"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(distinct))],
     )).scalar()
-    scored = counted.withColumn("_c", corpus)
+    # A document without any query term as part of its text cannot score; finding that
+    # out is cheaper than taking the text apart.
+    texts = list(dict.fromkeys([*weights, *names, *([excerpt] if excerpt else [])]))
+    lowered = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in texts]
+    possible = reduce(lambda x, y: x | y, [
+        F.contains(c, F.lit(t)) for c in lowered for t in distinct])
+    scored = counted(docs.where(possible)).withColumn("_c", corpus)
     n = F.col("_c.n")
     average = F.col("_c.length") / n
     norm = F.lit(fixed.BM25_K1) * (
@@ -98,14 +95,11 @@ def rank_documents(
     return (
         scored.withColumn("_raw", score)
         .withColumn("score", F.round("_raw", 3))
-        .withColumn("matched_terms", matched)
-        .withColumn("matched_fields", F.map_from_arrays(
-            F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f"_m_{f}") for f in fields])))
         # Documents without a hit sort last, so they can be dropped after the cut.
         .orderBy(F.desc("score"), F.col("_raw") <= 0, *order)
         .limit(max(limit, 0))
         .where(F.col("_raw") > 0)
-        .select(*docs.columns, "score", "matched_terms", "matched_fields")
+        .select(*docs.columns, "score", matched.alias("matched_terms"))
     )
 
 
@@ -181,21 +175,39 @@ _RATIONALE = (
 )
 
 
+def _by_weight(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """One text column per weight, holding the fields that carry it."""
+    tables, columns = fixed.TABLE_DOC_WEIGHTS, fixed.COLUMN_DOC_WEIGHTS
+    levels = sorted({*tables.values(), *columns.values()}, reverse=True)
+
+    def text(table: Mapping[str, int], level: int) -> Column:
+        return F.concat_ws("\n", *[F.col(f) for f, w in table.items() if w == level])
+
+    texts = {
+        f"weight_{level}": F.when(F.col("kind") == "table", text(tables, level))
+        .otherwise(text(columns, level)) for level in levels
+    }
+    return docs.withColumns(texts), {f"weight_{level}": level for level in levels}
+
+
 def search_facts(facts: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """The tables and columns whose stored facts fit a query, with the reason."""
-    docs = fact_documents(facts)
+    docs, weights = _by_weight(fact_documents(facts))
     ranked = rank_documents(
-        docs, query,
-        [(F.col("kind") == "table", fixed.TABLE_DOC_WEIGHTS),
-         (F.col("kind") == "column", fixed.COLUMN_DOC_WEIGHTS)],
-        names=("table_name", "column_name"), excerpt="excerpt",
+        docs, query, weights, names=("table_name", "column_name"), excerpt="excerpt",
         order=("table_name", "column_name", "kind"), limit=limit,
     )
+    # The reason is only worked out for the documents that are returned.
+    asked = F.array(*[F.lit(t) for t in dict.fromkeys(query_terms(query))]).cast(
+        "array<string>")
+
+    def reason(field: str, label: str) -> Column:
+        found = F.array_sort(F.array_intersect(terms(F.col(field)), asked))
+        return F.when(F.size(found) > 0, F.concat(
+            F.lit(label + ": "), F.array_join(found, ", ")))
+
     reasons = F.slice(F.array_compact(F.array(*[
-        F.when(F.size(F.col("matched_fields")[field]) > 0, F.concat(
-            F.lit(label + ": "), F.array_join(F.col("matched_fields")[field], ", ")))
-        for field, label in _RATIONALE
-    ])), 1, 3)
+        reason(field, label) for field, label in _RATIONALE])), 1, 3)
     why = F.array_join(reasons, "; ")
     return ranked.select(
         "kind", "table_name", "column_name", "score", "matched_terms",
