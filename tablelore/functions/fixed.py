@@ -50,6 +50,18 @@ MIN_SAMPLE_PERCENT = 0.01
 NULL_SIGNAL_PCT = 20
 UNIQUE_SIGNAL_PCT = 1
 
+# --- texts of signals and issues
+NULL_SIGNAL = "% null"
+ALL_NULL_SIGNAL = "0 distinct values (all null)"
+UNIQUE_SIGNAL = "% unique"
+INVALID_ISSUE = "%s value(s) not in valid_values (%s allowed)"
+
+# --- texts of a freshness verdict
+NO_TEMPORAL_COLUMN = "No temporal columns were detected from schema names or types."
+NO_TEMPORAL_VALUE = "Detected temporal columns, but none contained non-null values."
+UNREADABLE_TIME = "Latest value in '%s' could not be parsed as a date/time."
+NEWEST_VALUE = "Newest value in '%s' is %s day(s) old (threshold: %sd)."
+
 # --- derived facts
 VALID_VALUES_CEILING = 20
 SPARSE_FACT_PCT = 95.0
@@ -87,6 +99,8 @@ COLUMN_DOC_WEIGHTS = {
     "column_name": 6, "table_name": 3, "description": 5, "valid_values": 4, "type": 2,
     "pii": 4,
 }
+NO_DESCRIPTION = "No table description yet."
+GENERAL_MATCH = "General metadata match."
 TOKEN_PATTERN = "[a-z0-9]+(?:[-_][a-z0-9]+)?"
 JOINED_PATTERN = "[a-z0-9]+[-_][a-z0-9]+"
 BM25_K1 = 1.5

@@ -101,9 +101,10 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]
     final = Window.partitionBy(*group).orderBy(*order)
     if n > _PRUNED_RANK:
         salted = Window.partitionBy(*group, "_salt").orderBy(*order)
+        salts = max(_SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         df = (
             df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]),
-                                          F.lit(_SALTS)))
+                                          F.lit(salts)))
             .withColumn("_r", F.row_number().over(salted))
             .where(F.col("_r") <= n)
             .drop("_r", "_salt")

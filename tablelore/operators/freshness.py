@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions import fixed
 from ..functions.names import temporal_score
 from ..functions.numbers import exact_round, fixed_text, share
 from ..functions.types import as_text, is_orderable, is_text, ref
@@ -116,16 +117,11 @@ def freshness(df: DataFrame, column: str | None = None, stale_after_days: float
     status = (
         F.when(days.isNull(), "unknown").when(days <= limit, "fresh").otherwise("stale"))
     reason = (
-        F.when(F.col("candidate_count") == 0,
-               "No temporal columns were detected from schema names or types.")
-        .when(name.isNull(),
-              "Detected temporal columns, but none contained non-null values.")
-        .when(days.isNull(), F.concat(
-            F.lit("Latest value in '"), name,
-            F.lit("' could not be parsed as a date/time.")))
-        .otherwise(F.format_string(
-            f"Newest value in '%s' is %s day(s) old (threshold: {stale_after_days}d).",
-            name, fixed_text(days, 1)))
+        F.when(F.col("candidate_count") == 0, fixed.NO_TEMPORAL_COLUMN)
+        .when(name.isNull(), fixed.NO_TEMPORAL_VALUE)
+        .when(days.isNull(), F.format_string(fixed.UNREADABLE_TIME, name))
+        .otherwise(F.format_string(fixed.NEWEST_VALUE, name, fixed_text(days, 1),
+                                   F.lit(str(stale_after_days))))
     )
     return picked.select(
         "row_count", limit.alias("stale_after_days"), status.alias("status"),

@@ -142,7 +142,8 @@ def per_column(df: DataFrame, columns: Sequence[str], entry: Callable[[int, str]
                batch_columns: int | None = None) -> DataFrame:
     """One aggregate struct per column, computed batch by batch and unfolded to rows."""
     if batch_columns is None:
-        batch_columns = max(BATCH_COLUMNS, math.ceil(len(columns) / MAX_BATCHES))
+        batches = min(MAX_BATCHES, math.ceil(len(columns) / BATCH_COLUMNS))
+        batch_columns = math.ceil(len(columns) / batches)
     parts = []
     for start in range(0, len(columns), batch_columns):
         items = [entry(start + i, c)
@@ -244,7 +245,8 @@ def profile(
     """One row of statistics per column, in table order (``pos``).
 
     The default uses sketches for distinct counts and medians; nothing but a few bytes
-    per column is shuffled.  ``exact`` groups the values instead.  ``quick`` keeps null and distinct counts only.
+    per column is shuffled.  ``exact`` groups the values instead.  ``quick`` keeps null
+    and distinct counts only.
     A sampled ``Scan`` reports the true ``row_count`` next to the scanned rows.
     ``top`` adds the most frequent values of non-numeric columns, from a sketch in the
     sketch pass; it needs ``exact=False``.

@@ -26,10 +26,10 @@ def signals(null_pct: Column, distinct: Column, rows: Column) -> Column:
     unique = F.lit(100.0) * distinct / rows
     return F.array_compact(F.array(
         F.when(null_pct > fixed.NULL_SIGNAL_PCT,
-               F.concat(null_pct.cast("string"), F.lit("% null"))),
-        F.when((rows > 0) & (distinct == 0), F.lit("0 distinct values (all null)")),
+               F.concat(null_pct.cast("string"), F.lit(fixed.NULL_SIGNAL))),
+        F.when((rows > 0) & (distinct == 0), F.lit(fixed.ALL_NULL_SIGNAL)),
         F.when((rows > 0) & (distinct > 0) & (unique < fixed.UNIQUE_SIGNAL_PCT),
-               F.concat(fixed_text(unique, 1), F.lit("% unique"))),
+               F.concat(fixed_text(unique, 1), F.lit(fixed.UNIQUE_SIGNAL))),
     ))
 
 
@@ -121,8 +121,7 @@ def quality(
 
 
 def issue_text(invalid: Column, allowed: Column) -> Column:
-    return F.concat(invalid.cast("string"), F.lit(" value(s) not in valid_values ("),
-                    allowed.cast("string"), F.lit(" allowed)"))
+    return F.format_string(fixed.INVALID_ISSUE, invalid.cast("string"), allowed.cast("string"))
 
 
 def invalid_values(df: DataFrame, allowed: DataFrame,

@@ -154,7 +154,7 @@ def fact_documents(facts: DataFrame) -> DataFrame:
         " | ", plain("table_description"), labelled("Owner: ", "data_owner"),
         labelled("Update: ", "update_frequency"), plain("notes"),
         labelled("Comment: ", "table_comment"))
-    about_table = F.when(about_table == "", "No table description yet.").otherwise(about_table)
+    about_table = F.when(about_table == "", fixed.NO_DESCRIPTION).otherwise(about_table)
     about_column = F.concat_ws(
         " | ",
         F.concat(F.col("column_name"),
@@ -211,6 +211,6 @@ def search_facts(facts: DataFrame, query: str, limit: int = 5) -> DataFrame:
     why = F.array_join(reasons, "; ")
     return ranked.select(
         "kind", "table_name", "column_name", "score", "matched_terms",
-        F.when(why == "", "General metadata match.").otherwise(why).alias("rationale"),
+        F.when(why == "", fixed.GENERAL_MATCH).otherwise(why).alias("rationale"),
         "excerpt",
     )

@@ -301,7 +301,8 @@ def _(spark, sf):
 
 
 @query("facts_score_average", "F9", f"""
-select cast(printf('%.2f', avg(score)) as double) as average_score, count(*) as table_count from ({_SCORE_SQL})""")
+select cast(printf('%.2f', avg(score)) as double) as average_score,
+  count(*) as table_count from ({_SCORE_SQL})""")
 def _(spark, sf):
     return f.average_score(f.completeness(d.dictionary(spark, sf), F.lit(d.AS_OF)))
 
@@ -384,7 +385,8 @@ q(term) as (values ('pii'), ('true'), ('src3')),
 tf as (select table_name, column_name, excerpt, dl, term,
     6 * len(list_filter(t1, lambda t: t = term)) + 3 * len(list_filter(t2, lambda t: t = term))
     + 5 * len(list_filter(t3, lambda t: t = term)) + 4 * len(list_filter(t4, lambda t: t = term))
-    + 2 * len(list_filter(t5, lambda t: t = term)) + 4 * len(list_filter(t6, lambda t: t = term)) as tf,
+    + 2 * len(list_filter(t5, lambda t: t = term))
+    + 4 * len(list_filter(t6, lambda t: t = term)) as tf,
     list_contains(t1, term) as in1, list_contains(t2, term) as in2 from l, q),
 df as (select term, count(*) filter (where tf > 0) as df from tf group by term),
 sc as (select table_name, column_name, any_value(excerpt) as excerpt,

@@ -13,7 +13,9 @@ from ..operators.values import (
 from ..sources.rows import (
     capped_query, capped_query_summary, preview, scratch, select_rows, sort_rows,
 )
-from ..sources.sampling import modulus_sample, percent_sample, plan_scan, sample_rows
+from ..sources.sampling import (
+    block_sample, modulus_sample, percent_sample, plan_scan, sample_rows,
+)
 from ..sources.tables import (
     catalog, inspect, open_tables, row_counts, search_catalog,
 )
@@ -95,6 +97,11 @@ def _(spark, sf):
     return percent_sample(read(spark, sf, "lineitem"), 5.0, seed=7)
 
 
+@query("sample_blocks_lineitem", "S12")
+def _(spark, sf):
+    return block_sample(read(spark, sf, "lineitem"), 5.0, seed=7)
+
+
 @query("sample_rows_lineitem", "S11")
 def _(spark, sf):
     lineitem = read(spark, sf, "lineitem")
@@ -308,8 +315,9 @@ def _(spark, sf):
 
 @query("categories_returnflag", "A12", """
 with g as (select l_returnflag as value, count(*) as count from lineitem group by 1)
-select value, count, cast(printf('%.1f', cast(100.0 * count / sum(count) over () as double)) as double)
-  as listed_pct,
+select value, count, 
+  cast(printf('%.1f', cast(100.0 * count / sum(count) over () as double)) as double)
+    as listed_pct,
   cast((select sum(count) from g) as bigint) as non_null_rows,
   cast((select sum(count) from g) as bigint) as total_rows, 0 as null_count from g""")
 def _(spark, sf):
@@ -320,8 +328,9 @@ def _(spark, sf):
 @query("categories_sources_top", "A12", """
 with g as (select source as value, count(*) as count from documents group by 1),
 t as (select * from g order by count desc, value limit 5)
-select value, count, cast(printf('%.1f', cast(100.0 * count / sum(count) over () as double)) as double)
-  as listed_pct,
+select value, count, 
+  cast(printf('%.1f', cast(100.0 * count / sum(count) over () as double)) as double)
+    as listed_pct,
   (select count(source) from documents) as non_null_rows,
   (select count(*) from documents) as total_rows,
   (select count(*) - count(source) from documents) as null_count from t""")

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 
 
+# A block sample reads at least about this many files.
+MIN_FILES = 32
+_FILE_SLOTS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Scan:
     """What a recipe reads: the whole table or a sample of it.
@@ -25,16 +31,16 @@ class Scan:
 def sample_rows(df: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:
     """``n`` random rows of a table of ``total`` rows.
 
-    Above ten million rows the result is a percentage of the table, so its size is
-    only near ``n`` and no row passes through a single task.  Below that a Bernoulli
-    draw a little larger than needed is cut to ``n``.
+    Above ten million rows the result is a percentage of the table taken from some of
+    its files, so its size is only near ``n`` and most of the table is not read.  Below
+    that a Bernoulli draw a little larger than needed is cut to ``n``.
     """
     if n <= 0:
         raise ValueError(f"sample size must be positive, got {n}")
     if n >= total:
         return df
     if total > fixed.PERCENT_SAMPLE_ABOVE:
-        return percent_sample(df, max(n / total * 100, fixed.MIN_SAMPLE_PERCENT), seed)
+        return block_sample(df, max(n / total * 100, fixed.MIN_SAMPLE_PERCENT), seed)
     spare = 6 * n**0.5 + 10
     return df.sample(min(1.0, (n + spare) / total), seed).limit(n)
 
@@ -43,6 +49,30 @@ def percent_sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
     return df.sample(min(percent / 100, 1.0), seed)
 
 
+def block_sample(df: DataFrame, percent: float, seed: int = 0,
+                 min_files: int = MIN_FILES) -> DataFrame:
+    """About ``percent`` of the rows, read from a share of the files only.
+
+    Files are chosen by a hash of their path, which Spark evaluates while it lists them.
+    At least ``min_files`` are expected, and rows are thinned within them to the wanted
+    percentage, so small samples still come from many places.  Tables of few files, and
+    frames that are not files, fall back to ``percent_sample``.
+    """
+    wanted = min(percent / 100, 1.0)
+    files = len(df.inputFiles())
+    share = max(wanted, min(1.0, min_files / files)) if files else 1.0
+    if share >= 1.0:
+        return percent_sample(df, percent, seed)
+    try:
+        path = df.metadataColumn("_metadata")["file_path"]
+        chosen = df.where(
+            F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(_FILE_SLOTS)) < int(share * _FILE_SLOTS))
+        chosen.schema  # resolves the hidden column or raises
+    except AnalysisException:
+        return percent_sample(df, percent, seed)
+    return percent_sample(chosen, 100 * wanted / share, seed)
+
+
 def modulus_sample(df: DataFrame, key: Column, n: int, total: int,
                    limit: bool = True) -> DataFrame:
     """Every m-th key, m = total / n: repeatable and taken without a sort.

@@ -149,7 +149,8 @@ def test_drift_skips_unknown_columns(facts, frame):
 
 
 def test_best_of_many_bundles(facts):
-    bundles = facts([("a", "pii", "1", 0.5, 9), ("a", "pii", "2", 0.8, 1), ("a", "pii", "3", 0.8, 2),
+    bundles = facts([("a", "pii", "1", 0.5, 9), ("a", "pii", "2", 0.8, 1),
+                     ("a", "pii", "3", 0.8, 2),
                      ("a", "pii", None, 1.0, 9)]).withColumn("bundle", F.lit("b"))
     assert [r.value for r in f.best_of_bundles(bundles).collect()] == ["3"]
 
@@ -245,7 +246,8 @@ def test_suggestions_are_new_only(spark, facts):
 
 def test_facts_come_back_in_every_scan(frame, facts):
     df = frame("id int, status string, amount double",
-               [(1, "open", 1.0), (2, "done", 2.0), (3, "open", 3.0), (4, "lost", 4.0), (5, "open", 5.0)])
+               [(1, "open", 1.0), (2, "done", 2.0), (3, "open", 3.0), (4, "lost", 4.0),
+                (5, "open", 5.0)])
     stored = facts([("status", "valid_values", ["open", "done"], 0.8, 0),
                     ("status", "description", "<description>", None, 0),
                     ("amount", "description", " In euros ", None, 0)])

@@ -11,7 +11,7 @@ from tablelore.operators.columns import (
 )
 from tablelore.operators.profile import approx_top_values, is_wide, profile
 from tablelore.sources.sampling import (
-    Scan, modulus_sample, percent_sample, plan_scan, sample_rows,
+    Scan, block_sample, modulus_sample, percent_sample, plan_scan, sample_rows,
 )
 from tablelore.sources.tables import column_catalog
 
@@ -183,6 +183,27 @@ def test_percent_sample_of_huge_tables(spark):
     assert 4_000 < percent_sample(df, 5.0, seed=1).count() < 6_000
 
 
+def test_block_sample_reads_few_files(spark, tmp_path):
+    path = f"{tmp_path}/many"
+    spark.range(40_000).repartition(200).write.parquet(path)
+    df = spark.read.parquet(path)
+    drawn = block_sample(df, 2.0, seed=1, min_files=20)
+    read = drawn.select(F.input_file_name()).distinct().count()
+    assert 5 <= read <= 45
+    plan = drawn._jdf.queryExecution().executedPlan()
+    drawn_rows = drawn.count()
+    assert 400 < drawn_rows < 1_400
+    drawn._jdf.queryExecution().toRdd().count()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert plan.metrics().apply("numFiles").value() <= 45  # files left after listing
+    # few files, and frames without files, are thinned row by row
+    assert 3_000 < block_sample(df, 10.0, min_files=1000).count() < 5_000
+    assert 3_000 < block_sample(spark.range(40_000), 10.0).count() < 5_000
+    joined = df.join(df.withColumnRenamed("id", "b"), F.col("id") == F.col("b"))
+    assert block_sample(joined, 50.0, min_files=1).count() > 10_000
+
+
 def test_modulus_sample(spark):
     df = spark.range(1000)
     assert [r.id for r in modulus_sample(df, F.col("id"), 100, 1000, limit=False).collect()
