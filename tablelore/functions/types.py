@@ -40,31 +40,49 @@ def is_orderable(dt: T.DataType) -> bool:
 
 def ref(name: str) -> Column:
     """Column by exact name; dots in names stay part of the name."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
 
 
-def as_text(c: Column, dt: T.DataType) -> Column:
-    """Readable text form of any value."""
+def sql_name(name: str) -> str:
+    """The name as it is written in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_text(name: str, dt: T.DataType) -> str:
+    """SQL for the readable text form of any value."""
     if isinstance(dt, T.BinaryType):
-        return F.hex(c)
+        return f"hex({sql_name(name)})"
     if is_nested(dt):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"to_json({sql_name(name)})"
+    return f"cast({sql_name(name)} as string)"
 
 
-def text_length(c: Column, dt: T.DataType) -> Column:
-    """Length of the text form; binary values count bytes."""
+def sql_length(name: str, dt: T.DataType) -> str:
+    """SQL for the length of the text form; binary values count bytes."""
     if isinstance(dt, T.BinaryType):
-        return F.length(c)
-    return F.length(as_text(c, dt))
+        return f"length({sql_name(name)})"
+    return f"length({sql_text(name, dt)})"
 
 
-def as_number(c: Column, dt: T.DataType) -> Column:
-    """The value as a finite double; NaN and infinities become null."""
-    d = c.cast("double")
+def sql_number(name: str, dt: T.DataType) -> str:
+    """SQL for the value as a finite double; NaN and infinities become null."""
+    number = f"cast({sql_name(name)} as double)"
     if is_floating(dt):
-        return F.when(F.abs(d) < F.lit(float("inf")), d)
-    return d
+        return f"if(abs({number}) < double('infinity'), {number}, null)"
+    return number
+
+
+def sql_struct(fields: dict[str, str]) -> str:
+    """SQL for a struct of named expressions."""
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+
+def as_text(name: str, dt: T.DataType) -> Column:
+    return F.expr(sql_text(name, dt))
+
+
+def as_number(name: str, dt: T.DataType) -> Column:
+    return F.expr(sql_number(name, dt))
 
 
 def bare_type(type_text: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.types import is_nested, ref
+from ..functions.types import is_nested, sql_name, sql_struct
 
 # Spark prunes a ranked group to its first rows before the shuffle up to this rank.
 _PRUNED_RANK = 1000
@@ -31,11 +31,10 @@ def _slot(dt: T.DataType) -> tuple[str, str]:
     return "v_" + "".join(ch if ch.isalnum() else "_" for ch in kind), kind
 
 
-def _slot_value(name: str, dt: T.DataType) -> Column:
-    c = ref(name)
+def _slot_value(name: str, dt: T.DataType) -> str:
     if is_nested(dt):
-        return F.to_json(c)
-    return c.cast(_slot(dt)[1])
+        return f"to_json({sql_name(name)})"
+    return f"cast({sql_name(name)} as {_slot(dt)[1]})"
 
 
 def slots(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
@@ -46,18 +45,16 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(pos, one slot per type, n)``; all slots null is the null group of a column."""
     used = slots(df, columns)
 
-    def entry(pos: int, name: str) -> Column:
+    def entry(pos: int, name: str) -> str:
         dt = df.schema[name].dataType
         own = _slot(dt)[0]
-        return F.struct(
-            F.lit(pos).alias("pos"),
-            *[(_slot_value(name, dt) if s == own else F.lit(None).cast(t)).alias(s)
-              for s, t in used.items()],
-        )
+        return sql_struct({"pos": str(pos), **{
+            slot: _slot_value(name, dt) if slot == own else f"cast(null as {kind})"
+            for slot, kind in used.items()}})
 
     entries = [entry(i, c) for i, c in enumerate(columns)]
     unfolded = reduce(DataFrame.unionByName, [
-        df.select(F.inline(F.array(*entries[i:i + _BATCH])))
+        df.selectExpr(f"inline(array({', '.join(entries[i:i + _BATCH])}))")
         for i in range(0, len(entries), _BATCH)
     ])
     return unfolded.groupBy("pos", *used).agg(F.count(F.lit(1)).alias("n"))

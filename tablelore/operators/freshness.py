@@ -64,7 +64,7 @@ def freshness_candidates(df: DataFrame, column: str | None = None,
     for name, dt, score, reasons in found:
         c = ref(name)
         if not is_orderable(dt):
-            c = as_text(c, dt)
+            c = as_text(name, dt)
         lo, hi = F.min(c), F.max(c)
         items.append(F.struct(
             F.lit(name).alias("column_name"),

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.names import temporal_by_name_and_type
-from ..functions.types import as_text, is_numeric, is_text, ref
+from ..functions.types import as_text, is_numeric, is_text, sql_struct
 from ..sources.rows import pick_columns, preview
 from ..sources.sampling import Scan
 from ..sources.tables import column_catalog
 from . import facts as f
-from .profile import approx_distinct, profile, top_sketch
+from .profile import approx_distinct, described, per_column, profile, top_sketch
 from .quality import quality
 from .values import top_values
 
@@ -62,15 +62,12 @@ def small_value_sets(df: DataFrame, columns: Sequence[str] | str | None = None
         return df.sparkSession.createDataFrame(
             [], "column_name string, distinct_count bigint, values array<string>")
     top = fixed.VALID_VALUES_CEILING
-    items = F.array(*[
-        F.struct(
-            F.lit(c).alias("column_name"),
-            approx_distinct(ref(c), df.schema[c].dataType).alias("estimate"),
-            F.transform(top_sketch(ref(c), df.schema[c].dataType, top, _SLOTS),
-                        lambda s: s["value"]).alias("found"),
-        ) for c in names
-    ])
-    rows = df.agg(items.alias("items")).select(F.inline("items"))
+    rows = described(per_column(df, names, lambda i, c: sql_struct({
+        "pos": str(i),
+        "estimate": approx_distinct(c, df.schema[c].dataType),
+        "found": f"transform({top_sketch(c, df.schema[c].dataType, top, _SLOTS)}, "
+                 "s -> s.value)",
+    })), df, names)
     size = F.size("found")
     return rows.where(
         (F.col("estimate") < _SURELY_SMALL) & (size > 0) & (size < top)
@@ -233,7 +230,7 @@ def documentation(source: DataFrame | Scan, table: str, samples: int = 3,
     shown = preview(df, samples, order_by)
     entries = F.array(*[
         F.struct(F.lit(s.name).alias("column_name"),
-                 F.array_join(F.collect_list(as_text(ref(s.name), s.dataType)), ", ").alias(
+                 F.array_join(F.collect_list(as_text(s.name, s.dataType)), ", ").alias(
                      "sample_values"))
         for s in df.schema.fields
     ])

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, t
 
 from ..functions.numbers import share, sql_round
 from ..functions.types import (
-    as_number, as_text, is_floating, is_numeric, is_orderable, ref, text_length,
+    as_number, is_floating, is_nested, is_numeric, is_orderable, sql_length, sql_name,
+    sql_number, sql_struct, sql_text,
 )
 from ..sources.rows import pick_columns
 from ..sources.sampling import Scan
@@ -36,120 +37,107 @@ def clamp_distinct(distinct: Column, rows: Column) -> Column:
     return F.greatest(F.least(distinct, rows), F.lit(0))
 
 
-def extremes(c: Column, dt: T.DataType) -> list[Column]:
+NO_EXTREMES = {
+    "min_val": "cast(null as double)", "max_val": "cast(null as double)",
+    "min_text": "cast(null as string)", "max_text": "cast(null as string)",
+}
+
+
+def extremes(name: str, dt: T.DataType) -> dict[str, str]:
     """min and max as double for numbers, as text for everything that prints exactly."""
-    lo, hi = F.min(c), F.max(c)
-    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
-    number = is_numeric(dt)
-    text = is_orderable(dt) and not is_floating(dt)
-    return [
-        (lo.cast("double") if number else none_d).alias("min_val"),
-        (hi.cast("double") if number else none_d).alias("max_val"),
-        (lo.cast("string") if text else none_s).alias("min_text"),
-        (hi.cast("string") if text else none_s).alias("max_text"),
-    ]
+    c, found = sql_name(name), dict(NO_EXTREMES)
+    for f in ("min", "max"):
+        if is_numeric(dt):
+            found[f"{f}_val"] = f"cast({f}({c}) as double)"
+        if is_orderable(dt) and not is_floating(dt):
+            found[f"{f}_text"] = f"cast({f}({c}) as string)"
+    return found
+
+
+def per_column(df: DataFrame, columns: Sequence[str],
+               entry: Callable[[int, str], str | Column],
+               batch_columns: int | None = None) -> DataFrame:
+    """One aggregate struct per column, computed batch by batch and unfolded to rows.
+
+    Entries are SQL text, which is far quicker to turn into a plan than columns built
+    call by call.
+    """
+    if batch_columns is None:
+        batches = min(MAX_BATCHES, math.ceil(len(columns) / BATCH_COLUMNS))
+        batch_columns = math.ceil(len(columns) / batches)
+    parts = []
+    for start in range(0, len(columns), batch_columns):
+        items = [entry(start + i, c)
+                 for i, c in enumerate(columns[start:start + batch_columns])]
+        if all(isinstance(i, str) for i in items):
+            found = F.expr(f"array({', '.join(items)})")
+        else:
+            found = F.array(*[F.expr(i) if isinstance(i, str) else i for i in items])
+        parts.append(df.agg(found.alias("items")).select(F.inline("items")))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def described(rows: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows with ``pos`` get the name and type of their column."""
+    def listed(values: list[str]) -> Column:
+        return F.element_at(F.lit(values), F.col("pos") + 1)
 
-def no_extremes() -> list[Column]:
-    return [F.lit(None).cast(t).alias(a) for a, t in (
-        ("min_val", "double"), ("max_val", "double"),
-        ("min_text", "string"), ("max_text", "string"))]
+    return rows.withColumns({
+        "column_name": listed(list(columns)),
+        "column_type": listed([df.schema[c].dataType.simpleString() for c in columns])})
 
 
-def _column_stats(df: DataFrame, pos: int, name: str, quick: bool) -> Column:
+def _column_stats(df: DataFrame, pos: int, name: str, quick: bool) -> str:
     dt = df.schema[name].dataType
-    c = ref(name)
-    total = F.count(F.lit(1))
-    nulls = total - F.count(c)
-    none_d, none_l = F.lit(None).cast("double"), F.lit(None).cast("bigint")
-    fields = [
-        F.lit(pos).alias("pos"),
-        F.lit(name).alias("column_name"),
-        F.lit(dt.simpleString()).alias("column_type"),
-        total.alias("total_rows"),
-        nulls.alias("null_count"),
-        sql_round(share(nulls, total), 2).alias("null_pct"),
-    ]
+    fields = {"pos": str(pos), "total_rows": "count(1)",
+              "non_null": f"count({sql_name(name)})"}
     if quick:
-        return F.struct(*fields)
+        return sql_struct(fields)
     if is_numeric(dt):
-        x = as_number(c, dt)
-        moments = [sql_round(F.avg(x), 4), sql_round(F.stddev(x), 4)]
-        lengths = [none_l, none_l]
-        edges = extremes(c, dt)
+        x, none = sql_number(name, dt), "cast(null as bigint)"
+        fields |= extremes(name, dt)
+        fields |= {"mean_val": f"avg({x})", "stddev_val": f"stddev({x})",
+                   "min_length": none, "max_length": none}
     else:
-        moments = [none_d, none_d]
-        length = text_length(c, dt)
-        lengths = [F.min(length).cast("bigint"), F.max(length).cast("bigint")]
-        edges = no_extremes()
-    return F.struct(
-        *fields, *edges,
-        moments[0].alias("mean_val"), moments[1].alias("stddev_val"),
-        lengths[0].alias("min_length"), lengths[1].alias("max_length"),
-    )
-
-
-def top_sketch(c: Column, dt: T.DataType, top: int, tracked: int) -> Column:
-    """Most frequent non-null values with estimated counts, from one sketch."""
-    if not is_orderable(dt):
-        c = as_text(c, dt)
-    # The sketch ranks null like a value, so one more item is asked for.
-    sketch = F.call_function("approx_top_k", c, F.lit(top + 1), F.lit(tracked))
-    found = F.slice(F.filter(sketch, lambda s: s["item"].isNotNull()), 1, top)
-    return F.transform(found, lambda s: F.struct(
-        s["item"].cast("string").alias("value"), s["count"].alias("count")))
+        length, none = sql_length(name, dt), "cast(null as double)"
+        fields |= NO_EXTREMES
+        fields |= {"mean_val": none, "stddev_val": none,
+                   "min_length": f"cast(min({length}) as bigint)",
+                   "max_length": f"cast(max({length}) as bigint)"}
+    return sql_struct(fields)
 
 
-def _sketches(df: DataFrame, pos: int, name: str, quick: bool, top: int) -> Column:
+def _sketches(df: DataFrame, pos: int, name: str, quick: bool, top: int) -> str:
     dt = df.schema[name].dataType
-    c = ref(name)
-    fields = [F.lit(pos).alias("pos"), approx_distinct(c, dt).alias("distinct_count")]
+    fields = {"pos": str(pos), "distinct_count": approx_distinct(name, dt)}
     if not quick:
-        fields.append((approx_median(as_number(c, dt)) if is_numeric(dt)
-                       else F.lit(None).cast("double")).alias("median_val"))
+        fields["median_val"] = (approx_median(sql_number(name, dt)) if is_numeric(dt)
+                                else "cast(null as double)")
     if top:
-        listed = (F.lit(None).cast("array<string>") if is_numeric(dt) else F.transform(
-            top_sketch(c, dt, top, TRACKED_VALUES), lambda s: s["value"]))
-        fields.append(listed.alias("top_values"))
-    return F.struct(*fields)
+        fields["top_values"] = (
+            "cast(null as array<string>)" if is_numeric(dt)
+            else f"transform({top_sketch(name, dt, top, TRACKED_VALUES)}, s -> s.value)")
+    return sql_struct(fields)
 
 
-def approx_distinct(c: Column, dt: T.DataType) -> Column:
-    if isinstance(dt, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        c = F.to_json(c)
-    return F.approx_count_distinct(c)
+def approx_distinct(name: str, dt: T.DataType) -> str:
+    """SQL for the distinct sketch; nested values count by their text."""
+    return f"approx_count_distinct({sql_text(name, dt) if is_nested(dt) else sql_name(name)})"
 
 
-def approx_median(x: Column) -> Column:
-    """Median from a KLL sketch; null without values."""
-    sketch = F.call_function("kll_sketch_agg_double", x, F.lit(_SKETCH_SIZE))
-    return F.when(F.count(x) > 0, F.call_function(
-        "kll_sketch_get_quantile_double", sketch, F.lit(0.5)))
+def approx_median(x: str) -> str:
+    """SQL for the median from a KLL sketch; null without values."""
+    return (f"if(count({x}) > 0, kll_sketch_get_quantile_double("
+            f"kll_sketch_agg_double({x}, {_SKETCH_SIZE}), 0.5D), null)")
 
 
-def top_sketch(c: Column, dt: T.DataType, top: int, tracked: int) -> Column:
-    """Most frequent non-null values with estimated counts, from one sketch."""
-    if not is_orderable(dt):
-        c = as_text(c, dt)
+def top_sketch(name: str, dt: T.DataType, top: int, tracked: int) -> str:
+    """SQL for the most frequent non-null values with estimated counts, from a sketch."""
+    value = sql_name(name) if is_orderable(dt) else sql_text(name, dt)
     # The sketch ranks null like a value, so one more item is asked for.
-    sketch = F.call_function("approx_top_k", c, F.lit(top + 1), F.lit(tracked))
-    found = F.slice(F.filter(sketch, lambda s: s["item"].isNotNull()), 1, top)
-    return F.transform(found, lambda s: F.struct(
-        s["item"].cast("string").alias("value"), s["count"].alias("count")))
-
-
-def per_column(df: DataFrame, columns: Sequence[str], entry: Callable[[int, str], Column],
-               batch_columns: int | None = None) -> DataFrame:
-    """One aggregate struct per column, computed batch by batch and unfolded to rows."""
-    if batch_columns is None:
-        batches = min(MAX_BATCHES, math.ceil(len(columns) / BATCH_COLUMNS))
-        batch_columns = math.ceil(len(columns) / batches)
-    parts = []
-    for start in range(0, len(columns), batch_columns):
-        items = [entry(start + i, c)
-                 for i, c in enumerate(columns[start:start + batch_columns])]
-        parts.append(df.agg(F.array(*items).alias("items")).select(F.inline("items")))
-    return reduce(DataFrame.unionByName, parts)
+    return (f"transform(slice(filter(approx_top_k({value}, {top + 1}, {tracked}), "
+            f"s -> s.item is not null), 1, {top}), "
+            "s -> named_struct('value', cast(s.item as string), 'count', s.count))")
 
 
 def _present(used: dict[str, str]) -> Column:
@@ -180,7 +168,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     brackets = df.agg(F.create_map(*[
         v for i, c in numeric.items() for v in (F.lit(i), F.approx_percentile(
-            as_number(ref(c), df.schema[c].dataType), [*_BRACKET], _ACCURACY))
+            as_number(c, df.schema[c].dataType), [*_BRACKET], _ACCURACY))
     ])).scalar()
     used = counts.slots(df, columns)
     number = counts.number_of(used)
@@ -265,8 +253,14 @@ def profile(
         second = per_column(df, names, lambda i, c: _sketches(df, i, c, quick, top),
                             batch_columns)
     stats = stats.join(second, "pos", "left")
-    distinct = clamp_distinct(F.coalesce("distinct_count", F.lit(0)), F.col("total_rows"))
-    stats = stats.withColumn("distinct_count", distinct)
+    nulls = F.col("total_rows") - F.col("non_null")
+    stats = described(stats, df, names).withColumns({
+        "null_count": nulls, "null_pct": sql_round(share(nulls, F.col("total_rows")), 2),
+        "distinct_count": clamp_distinct(
+            F.coalesce("distinct_count", F.lit(0)), F.col("total_rows"))})
+    if not quick:
+        stats = stats.withColumns({
+            c: sql_round(F.col(c), 4) for c in ("mean_val", "stddev_val")})
     true_rows = (F.lit(scan.row_count).cast("bigint") if scan.sampled
                  else F.col("total_rows"))
     return stats.select(
@@ -287,10 +281,10 @@ def approx_top_values(df: DataFrame, columns: Sequence[str] | str | None = None,
     Counts are estimates; ``null_count`` and ``total_rows`` are exact.
     """
     names = pick_columns(df, columns)
-    rows = per_column(df, names, lambda i, name: F.struct(
-        F.lit(i).alias("pos"), F.lit(name).alias("column_name"),
-        F.count(F.lit(1)).alias("total_rows"),
-        (F.count(F.lit(1)) - F.count(ref(name))).alias("null_count"),
-        top_sketch(ref(name), df.schema[name].dataType, top, tracked).alias("top"),
-    ))
-    return rows.select("pos", "column_name", "total_rows", "null_count", F.inline("top"))
+    rows = per_column(df, names, lambda i, name: sql_struct({
+        "pos": str(i), "total_rows": "count(1)",
+        "null_count": f"count(1) - count({sql_name(name)})",
+        "top": top_sketch(name, df.schema[name].dataType, top, tracked),
+    }))
+    return described(rows, df, names).select(
+        "pos", "column_name", "total_rows", "null_count", F.inline("top"))

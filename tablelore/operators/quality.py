@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.numbers import exact_round, fixed_text, share
-from ..functions.types import as_text, is_nested, is_orderable, is_text, ref
+from ..functions.types import as_text, is_nested, is_text, ref, sql_name, sql_struct
 from ..sources.rows import pick_columns
 from ..sources.sampling import Scan
 from . import counts
 from .profile import (
-    approx_distinct, clamp_distinct, exact_distincts, extremes, no_extremes, per_column,
+    NO_EXTREMES, approx_distinct, clamp_distinct, described, exact_distincts, extremes,
+    per_column,
 )
 
 # Allowed values up to this many travel inside the scan as literals; larger sets are
@@ -33,41 +34,39 @@ def signals(null_pct: Column, distinct: Column, rows: Column) -> Column:
     ))
 
 
-def _checks(df: DataFrame, pos: int, name: str, permitted: Sequence | None) -> Column:
+def _checks(df: DataFrame, pos: int, name: str, permitted: Sequence | None
+            ) -> str | Column:
     """What compiles to one loop: counts, and extremes of fixed-width values."""
     dt = df.schema[name].dataType
-    c = ref(name)
-    total = F.count(F.lit(1))
-    invalid = (F.count_if(outside(df, name, permitted)) if permitted
-               else F.lit(None).cast("bigint"))
-    return F.struct(
-        F.lit(pos).alias("pos"), F.lit(name).alias("column_name"),
-        F.lit(dt.simpleString()).alias("column_type"),
-        total.alias("row_count"), (total - F.count(c)).alias("null_count"),
-        invalid.alias("invalid_count"),
-        F.lit(len(permitted) if permitted else None).cast("int").alias("allowed_count"),
-        *(extremes(c, dt) if is_orderable(dt) and not is_text(dt) else no_extremes()),
-    )
-
-
-def _sketched(df: DataFrame, pos: int, name: str, distinct: bool) -> Column:
+    found = sql_struct({
+        "pos": str(pos), "row_count": "count(1)",
+        "null_count": f"count(1) - count({sql_name(name)})",
+        "invalid_count": "cast(null as bigint)",
+        "allowed_count": f"cast({len(permitted) if permitted else 'null'} as int)",
+        **(NO_EXTREMES if is_text(dt) else extremes(name, dt)),
+    })
+    if not permitted:
+        return found
+    return F.expr(found).withField("invalid_count", F.count_if(outside(df, name, permitted)))
+
+
+def _sketched(df: DataFrame, pos: int, name: str, distinct: bool) -> str:
     """What does not: the distinct sketch and extremes of text."""
     dt = df.schema[name].dataType
-    c = ref(name)
-    lo, hi = (F.min(c), F.max(c)) if is_text(dt) else (F.lit(None), F.lit(None))
-    return F.struct(
-        F.lit(pos).alias("pos"), lo.cast("string").alias("text_min"),
-        hi.cast("string").alias("text_max"),
-        (approx_distinct(c, dt) if distinct else F.lit(None).cast("bigint")).alias(
-            "distinct_count"),
-    )
+    c, none = sql_name(name), "cast(null as string)"
+    return sql_struct({
+        "pos": str(pos),
+        "text_min": f"min({c})" if is_text(dt) else none,
+        "text_max": f"max({c})" if is_text(dt) else none,
+        "distinct_count": approx_distinct(name, dt) if distinct else "cast(null as bigint)",
+    })
 
 
 def outside(df: DataFrame, column: str, permitted: Sequence) -> Column:
     """Non-null and not among the permitted values."""
     c = ref(column)
     if all(isinstance(v, str) for v in permitted):
-        c = as_text(c, df.schema[column].dataType)
+        c = as_text(column, df.schema[column].dataType)
     return F.coalesce(c.isNotNull() & ~c.isin(*permitted), F.lit(False))
 
 
@@ -97,7 +96,7 @@ def quality(
     if exact:
         second = second.drop("distinct_count").join(exact_distincts(df, names), "pos", "left")
     stats = (
-        stats.join(second, "pos", "left")
+        described(stats, df, names).join(second, "pos", "left")
         .withColumn("min_text", F.coalesce("min_text", "text_min"))
         .withColumn("max_text", F.coalesce("max_text", "text_max"))
     )

@@ -20,7 +20,7 @@ def _data(source: DataFrame | Scan) -> DataFrame:
 def _grouped(df: DataFrame, column: str) -> DataFrame:
     name = pick_column(df, column)
     dt = df.schema[name].dataType
-    value = as_text(ref(name), dt) if is_nested(dt) else ref(name)
+    value = as_text(name, dt) if is_nested(dt) else ref(name)
     return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -111,7 +111,7 @@ def histogram(source: DataFrame | Scan, column: str, buckets: int = 20) -> DataF
     """
     df = _data(source)
     name = pick_column(df, column)
-    x = as_number(ref(name), df.schema[name].dataType)
+    x = as_number(name, df.schema[name].dataType)
     edges = df.agg(F.struct(
         F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(F.lit(1)).alias("total_rows"),
         (F.count(F.lit(1)) - F.count(x)).alias("null_count"))).scalar()

@@ -113,7 +113,7 @@ def export(
     if fmt not in ("csv", "tsv"):
         raise ValueError(f"unsupported export format: {fmt!r}")
     flat = rows.select(*[
-        (as_text(ref(f.name), f.dataType) if is_nested(f.dataType)
+        (as_text(f.name, f.dataType) if is_nested(f.dataType)
          or f.dataType.typeName() == "binary" else ref(f.name)).alias(f.name)
         for f in rows.schema.fields
     ])
