@@ -166,17 +166,21 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return exact_distincts(df, columns).withColumn(
             "median_val", F.lit(None).cast("double"))
 
-    brackets = df.agg(F.create_map(*[
-        v for i, c in numeric.items() for v in (F.lit(i), F.approx_percentile(
-            as_number(c, df.schema[c].dataType), [*_BRACKET], _ACCURACY))
-    ])).scalar()
+    low_share, high_share = _BRACKET
+    sketched = per_column(df, list(numeric.values()), lambda i, c: sql_struct({
+        "item": str(i),
+        "edges": f"approx_percentile({sql_number(c, df.schema[c].dataType)}, "
+                 f"array({low_share}D, {high_share}D), {_ACCURACY})"}))
+    brackets = sketched.select(
+        F.element_at(F.lit(list(numeric)), F.col("item") + 1).alias("pos"),
+        F.col("edges")[0].alias("low"), F.col("edges")[1].alias("high"))
     used = counts.slots(df, columns)
     number = counts.number_of(used)
     valued = counts.value_counts(df, columns).select(
         "pos", "n", _present(used).alias("present"),
         F.when(F.abs(number) < F.lit(float("inf")), number).alias("x"),
-        F.element_at(brackets, F.col("pos")).alias("bracket"))
-    x, low, high = F.col("x"), F.col("bracket")[0], F.col("bracket")[1]
+    ).join(brackets, "pos", "left")  # one bracket per column
+    x, low, high = F.col("x"), F.col("low"), F.col("high")
 
     # Every use of the counted values keeps ``n``, so they are shuffled once.
     once = F.when(F.col("present").isNotNull(), F.least(F.col("n"), F.lit(1)))
@@ -193,8 +197,11 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     step = F.when(high > low, F.least(
         F.floor((x - low) / (high - low) * _STEPS), F.lit(_STEPS - 1))).otherwise(0)
+    # The condition names ``n``, so it stays behind the counting, and the counted values
+    # are read again instead of the table.
+    within = F.when((x >= low) & (x <= high), F.col("n"))
     inside = (
-        valued.where((x >= low) & (x <= high))
+        valued.where(F.coalesce(within, F.lit(0)) > 0)
         .groupBy("pos", step.cast("int").alias("step"), "x").agg(F.sum("n").alias("n"))
     )
     steps = (

@@ -33,7 +33,8 @@ def sample_rows(df: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:
 
     Above ten million rows the result is a percentage of the table taken from some of
     its files, so its size is only near ``n`` and most of the table is not read.  Below
-    that a Bernoulli draw a little larger than needed is cut to ``n``.
+    that a Bernoulli draw a little larger than needed is cut to ``n`` in random order;
+    the seed makes every pass over the sample see the same rows.
     """
     if n <= 0:
         raise ValueError(f"sample size must be positive, got {n}")
@@ -42,7 +43,8 @@ def sample_rows(df: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:
     if total > fixed.PERCENT_SAMPLE_ABOVE:
         return block_sample(df, max(n / total * 100, fixed.MIN_SAMPLE_PERCENT), seed)
     spare = 6 * n**0.5 + 10
-    return df.sample(min(1.0, (n + spare) / total), seed).limit(n)
+    drawn = df.sample(min(1.0, (n + spare) / total), seed)
+    return drawn.orderBy(F.rand(seed)).limit(n)
 
 
 def percent_sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
