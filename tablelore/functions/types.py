@@ -35,7 +35,7 @@ def is_nested(dt: T.DataType) -> bool:
 
 def is_orderable(dt: T.DataType) -> bool:
     """True when min/max and comparison are defined and worth reporting."""
-    return not is_nested(dt) and not isinstance(dt, T.BinaryType)
+    return not is_nested(dt) and not isinstance(dt, (T.BinaryType, T.CalendarIntervalType))
 
 
 def ref(name: str) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.types import is_nested, sql_name, sql_struct
+from ..functions.types import is_nested, is_text, sql_name, sql_struct
 
 # Spark prunes a ranked group to its first rows before the shuffle up to this rank.
 _PRUNED_RANK = 1000
@@ -25,7 +25,7 @@ def _slot(dt: T.DataType) -> tuple[str, str]:
     """Name and type of the slot that holds values of a type without loss."""
     if isinstance(dt, T.IntegralType):
         return "v_bigint", "bigint"
-    if isinstance(dt, (T.StringType, T.CharType, T.VarcharType)) or is_nested(dt):
+    if is_text(dt) or is_nested(dt) or "interval" in dt.typeName():
         return "v_text", "string"
     kind = dt.simpleString()
     return "v_" + "".join(ch if ch.isalnum() else "_" for ch in kind), kind

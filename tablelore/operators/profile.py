@@ -133,7 +133,9 @@ def approx_median(x: str) -> str:
 
 def top_sketch(name: str, dt: T.DataType, top: int, tracked: int) -> str:
     """SQL for the most frequent non-null values with estimated counts, from a sketch."""
-    value = sql_name(name) if is_orderable(dt) else sql_text(name, dt)
+    # Frequency sketches take no intervals and no nested types.
+    plain = is_orderable(dt) and "interval" not in dt.typeName()
+    value = sql_name(name) if plain else sql_text(name, dt)
     # The sketch ranks null like a value, so one more item is asked for.
     return (f"transform(slice(filter(approx_top_k({value}, {top + 1}, {tracked}), "
             f"s -> s.item is not null), 1, {top}), "

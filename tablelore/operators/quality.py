@@ -85,12 +85,12 @@ def quality(
     """
     df = source.data if isinstance(source, Scan) else source
     names = pick_columns(df, columns)
-    allowed = {c: v for c, v in (allowed or {}).items() if v}
+    allowed = {c.lower(): v for c, v in (allowed or {}).items() if v}
     for name, values in allowed.items():
         if len(values) > LITERAL_VALUES:
             raise ValueError(
                 f"{len(values)} allowed values for {name!r}; use invalid_values()")
-    stats = per_column(df, names, lambda i, c: _checks(df, i, c, allowed.get(c)),
+    stats = per_column(df, names, lambda i, c: _checks(df, i, c, allowed.get(c.lower())),
                        batch_columns)
     second = per_column(df, names, lambda i, c: _sketched(df, i, c, not exact), batch_columns)
     if exact:

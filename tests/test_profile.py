@@ -10,6 +10,7 @@ from tablelore.operators.columns import (
     category_of, column_categories, column_roles, columns_by_category,
 )
 from tablelore.operators.profile import approx_top_values, is_wide, profile
+from tablelore.operators.quality import quality
 from tablelore.sources.sampling import (
     Scan, block_sample, modulus_sample, percent_sample, plan_scan, sample_rows,
 )
@@ -76,6 +77,17 @@ def test_profile_of_every_type(zoo, exact):
         assert rows["uuid_val"]["distinct_count"] == 100
 
 
+def test_rare_types(spark):
+    df = spark.sql("""select parse_json('{"a":1}') as v, interval '1' day as i,
+        interval '2' month as m, cast(1 as tinyint) as b, cast('x' as char(3)) as c,
+        make_interval(1) as k from range(3)""")
+    for rows in (profile(df, exact=True), profile(df, top=2), profile(df, quick=True)):
+        found = by(rows, "column_name")
+        assert {r["distinct_count"] for r in found.values()} == {1} and len(found) == 6
+    assert by(profile(df, top=2), "column_name")["i"]["top_values"] == ["INTERVAL '1' DAY"]
+    assert by(quality(df), "column_name")["m"]["min_text"] == "INTERVAL '2' MONTH"
+
+
 def test_quick_has_counts_only(zoo):
     quick = profile(zoo, quick=True)
     assert "mean_val" not in quick.columns and quick.count() == 26

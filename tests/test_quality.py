@@ -70,7 +70,7 @@ def test_duplicates_on_chosen_and_nested_columns(frame):
 def test_allowed_values(frame):
     df = frame("status string, n int",
                [("open", 1), ("closed", 2), ("odd", 3), (None, 4), ("odd", 9)])
-    rows = by(quality(df, exact=True, allowed={"status": ["open", "closed"], "n": [1, 2, 3, 4]}),
+    rows = by(quality(df, exact=True, allowed={"STATUS": ["open", "closed"], "n": [1, 2, 3, 4]}),
               "column_name")
     assert rows["status"]["invalid_count"] == 2 and rows["status"]["status"] == "fail"
     assert rows["status"]["issues"] == ["2 value(s) not in valid_values (2 allowed)"]
