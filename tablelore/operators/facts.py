@@ -306,7 +306,7 @@ def completeness(current: DataFrame, as_of: Column) -> DataFrame:
             F.max(of_column).alias("of_column"),
             F.max((F.col("field") == "description") & is_human()).alias("described"),
             value("type").alias("type"),
-            value("distinct_count").cast("double").alias("distinct"),
+            value("distinct_count").try_cast("double").alias("distinct"),
             F.max((F.col("field") == "valid_values") & filled()).alias("listed"),
             F.max("written_at").alias("written_at"),
         )

@@ -89,6 +89,10 @@ def key_evidence(source: DataFrame, source_col: str, target: DataFrame,
     def total(condition: Column, value: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
 
+    def wide(c: Column) -> Column:
+        # The join size of two frequent keys can pass the range of a bigint.
+        return c.cast("decimal(19,0)")
+
     sums = both.agg(
         total(s.isNotNull(), s).alias("source_rows"),
         total(~has_key, s).alias("source_nulls"),
@@ -98,7 +102,7 @@ def key_evidence(source: DataFrame, source_col: str, target: DataFrame,
         F.count_if(t.isNotNull()).alias("target_distinct"),
         F.coalesce(F.max(F.when(has_key, s)), F.lit(0)).alias("source_max"),
         F.coalesce(F.max(t), F.lit(0)).alias("target_max"),
-        total(s.isNotNull() & t.isNotNull(), s * t).alias("joined_rows"),
+        total(s.isNotNull() & t.isNotNull(), wide(s) * wide(t)).alias("joined_rows"),
     )
     one_source, one_target = F.col("source_max") <= 1, F.col("target_max") <= 1
     return sums.select(

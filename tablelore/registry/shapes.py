@@ -281,7 +281,9 @@ for _name, _args in {
 }.items():
     @query(_name, "J3", _evidence_sql(*_args))
     def _(spark, sf, _a=_args):
-        return key_evidence(read(spark, sf, _a[0]), _a[1], read(spark, sf, _a[2]), _a[3])
+        return key_evidence(
+            read(spark, sf, _a[0]), _a[1], read(spark, sf, _a[2]), _a[3]
+        ).withColumn("joined_rows", F.col("joined_rows").cast("bigint"))
 
 
 @query("nation_top_suppliers", "J4", """

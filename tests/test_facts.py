@@ -179,7 +179,8 @@ def test_score(facts):
                  ("b", "description", "<description>", None, 0), ("b", "type", "string", None, 0),
                  ("b", "distinct_count", "20", None, 0), ("c", "description", "scan", 0.8, 0),
                  ("c", "type", "bigint", None, 0), ("c", "distinct_count", "5", None, 0),
-                 ("d", "type", "string", None, 0), ("d", "distinct_count", "21", None, 0)]
+                 ("d", "type", "string", None, 0), ("d", "distinct_count", "21", None, 0),
+                 ("c", "distinct_count", "unknown", None, 0)]
     row = f.completeness(facts(described), F.lit(day(0))).collect()[0]
     assert (row.column_count, row.column_description_pct, row.valid_values_targets,
             row.valid_values_coverage_pct, row.freshness_days) == (4, 25.0, 2, 50.0, 0.0)
