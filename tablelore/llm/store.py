@@ -1,0 +1,34 @@
+"""Intermediate tables in the folder that all machines of a cluster share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local one only where none is named."""
+    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tablelore-")
+        spark.conf.set(_SETTING, folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read again.
+
+    The files outlive lost executors, so nothing above is computed a second time. The
+    driver deletes them when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tablelore-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
