@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from .batches import in_portions
 from .store import written
 from .tokens import WordIds
+from .workers import ship
 
 
 @dataclass(frozen=True)
@@ -113,6 +114,7 @@ _PIECES = ("{key} long, piece int, start long, length long, ids_crc32 long")
 def pieces(documents: DataFrame, tokenizer_path: str, *, key: str = "doc_id",
            text: str = "text", tokens: int = 4096, end_id: int = 1) -> DataFrame:
     """Each document's ids and an end id, cut into pieces of at most ``tokens``."""
+    ship(documents.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, shards, url_filter
+from . import (
+    compress_quality,
+    decontaminate,
+    html_text,
+    language,
+    packing,
+    quality_rules,
+    shards,
+    token_counts,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,6 +82,13 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+# --- 2: main text of pages ------------------------------------------------------------
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 # --- 3: shards ------------------------------------------------------------------------
 
 @query("op3_sharding")
@@ -82,8 +99,63 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+# --- 4: language ----------------------------------------------------------------------
+
+def fold(folds: int) -> Column:
+    """The fold of a document by its id; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.learn(documents.where(fold(4) != 2))
+    return language.identify(documents, model).select(
+        "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
+# --- 5: token counts ------------------------------------------------------------------
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"),
+                                     tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+# --- 6: quality classifier ------------------------------------------------------------
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = compress_quality.learn(
+        documents, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return compress_quality.score_quality(documents, model).select(
+        "doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"),
+        "score", "predicted")
+
+
 # --- 7: packing -----------------------------------------------------------------------
 
 @query("op7_best_fit_packing")
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+# --- 8: quality rules -----------------------------------------------------------------
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rules = quality_rules.learn(documents, table(spark, sf_dir, "labels"))
+    return quality_rules.judge(documents, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept")
+
+
+# --- 9: benchmark decontamination -----------------------------------------------------
+
+@query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "benchmark"))
