@@ -1,8 +1,9 @@
 """Quality of a text by how much better good text helps to compress it than bad text.
 
 Two zstandard dictionaries are trained from bounded samples of good and bad labelled
-text. A text is compressed with each in blocks; the difference of the two sizes per byte,
-put through a logistic curve that is fitted to other labelled texts, is the score.
+text. A text is compressed with each in blocks; the difference of the two sizes is
+normalised by length. A logistic curve, fitted to other labelled texts, turns it into the
+score; its second term is how short a text is, since little text tells little.
 """
 
 from __future__ import annotations
@@ -31,10 +32,11 @@ class Settings:
     """
 
     texts: int = 2000
-    bytes_per_text: int = 2000
-    dictionary_bytes: int = 131_072
+    bytes_per_text: int = 4000
+    dictionary_bytes: int = 262_144
     calibration_texts: int = 4000
     block: int = 2048
+    few_bytes: int = 300
     level: int = 3
     seed: int = 6
 
@@ -60,11 +62,13 @@ class CompressionModel:
     good: bytes
     bad: bytes
     settings: Settings
-    slope: float = 0.0
-    offset: float = 0.0
+    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
 
-    def difference(self, text: str | None) -> float:
-        """Bytes that good text saves more than bad text does, per byte; 0 for no text."""
+    def measure(self, text: str | None) -> tuple[float, float]:
+        """Bytes that good text saves more than bad text does, per byte, and the shortness.
+
+        Both are damped by ``few_bytes``, so no text at all has difference 0, shortness 1.
+        """
         data = (text or "").encode("utf-8", "replace")
         good = _compressor(self.good, self.settings.level).compress
         bad = _compressor(self.bad, self.settings.level).compress
@@ -72,47 +76,60 @@ class CompressionModel:
         for start in range(0, len(data), self.settings.block):
             part = data[start:start + self.settings.block]
             saved += len(bad(part)) - len(good(part))
-        return saved / max(1, len(data))
+        few = self.settings.few_bytes
+        return saved / (len(data) + few), few / (len(data) + few)
+
+    def score(self, measures: np.ndarray) -> np.ndarray:
+        """Scores of rows of (difference, shortness)."""
+        odds = measures @ np.array(self.curve[:2]) + self.curve[2]
+        return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
-    def score(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.offset, -50, 50)))
+    def _texts(self, batch: pa.Array) -> np.ndarray:
+        found = [self.measure(t) for begin, end in portions(batch)
+                 for t in batch[begin:end].to_pylist()]
+        return np.array(found, dtype=float).reshape(-1, 2)
 
-    def _column(self, spark, text: Column, calibrated: bool) -> Column:
+    def score_column(self, spark, text: Column) -> Column:
         ship(spark)
         shared = spark.sparkContext.broadcast(self)  # two dictionaries of bounded size
 
         @F.arrow_udf("double")
-        def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = shared.value
             for batch in batches:
-                found = np.array([model.difference(t) for begin, end in portions(batch)
-                                  for t in batch[begin:end].to_pylist()], dtype=float)
-                yield pa.array(model.score(found) if calibrated else found, pa.float64())
+                yield pa.array(model.score(model._texts(batch)), pa.float64())
 
-        return measure(text)
+        return score(text)
 
-    def score_column(self, spark, text: Column) -> Column:
-        return self._column(spark, text, True)
+    def measure_column(self, spark, text: Column) -> Column:
+        """Array of difference and shortness for a column of texts."""
+        ship(spark)
+        shared = spark.sparkContext.broadcast(self)
 
-    def difference_column(self, spark, text: Column) -> Column:
-        return self._column(spark, text, False)
+        @F.arrow_udf("array<double>")
+        def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array(list(shared.value._texts(batch)), pa.list_(pa.float64()))
+
+        return measure(text)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray,
-                 ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of the weighted logistic curve through (x, y), by Newton's method."""
-    scale = x.std() or 1.0
-    design = np.stack([x / scale, np.ones_like(x)], axis=1)
-    beta = np.zeros(2)
+                 ridge: float = 1e-3) -> tuple[float, ...]:
+    """Weights and offset of the weighted logistic curve from rows of ``x`` to ``y``."""
+    scale = x.std(axis=0)
+    scale[scale == 0] = 1.0
+    design = np.column_stack([x / scale, np.ones(len(x))])
+    beta = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -50, 50)))
         slope = design.T @ (weight * (y - p)) - ridge * beta
-        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
-        move = np.linalg.solve(curve, slope)
-        beta += move
+        bend = (design * (weight * p * (1 - p))[:, None]).T @ design
+        move = np.linalg.solve(bend + ridge * np.eye(len(beta)), slope)
+        beta += np.clip(move, -4, 4)
         if np.abs(move).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return (*(beta[:-1] / scale).tolist(), float(beta[-1]))
 
 
 def learn(documents: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
@@ -129,8 +146,8 @@ def learn(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     fit: dict[str, list[int]] = {}
     build: dict[str, list[int]] = {}
     for name, hashes in chosen.hashes.items():
-        # Small tables share their texts evenly between the two uses.
-        cut = min(settings.texts, -(-len(hashes) // 2))
+        # Of few texts a quarter is left for the calibration.
+        cut = min(settings.texts, -(-3 * len(hashes) // 4))
         build[name], fit[name] = hashes[:cut], hashes[cut:]
     texts = {"0": [], "1": []}
     wanted = samples.Sample(settings.seed, build, chosen.totals)
@@ -143,19 +160,20 @@ def learn(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     model = CompressionModel(train(texts["1"], settings), train(texts["0"], settings), settings)
     if not (fit.get("0") and fit.get("1")):
         good, bad = chosen.totals["1"], chosen.totals["0"]
-        return CompressionModel(model.good, model.bad, settings, 0.0,
-                                float(np.log((good + 0.5) / (bad + 0.5))))
+        prior = float(np.log((good + 0.5) / (bad + 0.5)))
+        return CompressionModel(model.good, model.bad, settings, (0.0, 0.0, prior))
     wanted = samples.Sample(settings.seed, fit, chosen.totals)
     of = wanted.labels_of()
-    rows = samples.sampled_texts(documents, wanted, text).select("h", model.difference_column(
-        documents.sparkSession, F.col("text")).alias("difference")).collect()
-    points = sorted((r["difference"], name) for r in rows for name in of[r["h"]])
+    rows = samples.sampled_texts(documents, wanted, text).select("h", model.measure_column(
+        documents.sparkSession, F.col("text")).alias("measures")).collect()
+    points = sorted((tuple(r["measures"]), name) for r in rows for name in of[r["h"]]
+                    if name in ("0", "1"))
     weight = {name: chosen.totals[name] / sum(n == name for _, n in points)
               for name in ("0", "1")}
-    slope, offset = fit_logistic(
-        np.array([d for d, _ in points]), np.array([float(n) for _, n in points]),
-        np.array([weight[n] for _, n in points]))
-    return CompressionModel(model.good, model.bad, settings, slope, offset)
+    curve = fit_logistic(np.array([m for m, _ in points]),
+                         np.array([float(n) for _, n in points]),
+                         np.array([weight[n] for _, n in points]))
+    return CompressionModel(model.good, model.bad, settings, curve)
 
 
 def score_quality(documents: DataFrame, model: CompressionModel, *, key: str = "doc_id",
@@ -163,7 +181,7 @@ def score_quality(documents: DataFrame, model: CompressionModel, *, key: str = "
     """One row per document: ``key``, ``score`` (0 to 1), ``predicted`` (1 from the threshold).
 
     Whole texts are compressed, very long ones block by block. A null or empty text has
-    difference 0 and the score of that. Repeated rows and null keys stay, other columns
+    difference 0 and shortness 1, and the score of that. Repeated rows and null keys stay, other columns
     are left out, an empty table gives an empty result. No shuffle.
     """
     score = model.score_column(documents.sparkSession, F.col(text))
