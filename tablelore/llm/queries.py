@@ -11,6 +11,7 @@ from . import (
     compress_quality,
     decontaminate,
     html_text,
+    jaccard,
     language,
     packing,
     quality_rules,
@@ -159,3 +160,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"),
                                     table(spark, sf_dir, "benchmark"))
+
+
+# --- 10: n-gram Jaccard join ----------------------------------------------------------
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"),
+                                   jaccard.Settings(words=3, share=90))
