@@ -30,6 +30,7 @@ from pyspark.sql.window import Window
 
 from .batches import in_portions
 from .components import components
+from .frames import small_or_whole
 from .store import written
 from .tokens import Memory
 from .workers import ship
@@ -51,7 +52,6 @@ class Settings:
     growth: float = 1.45
     crowd: float = 200.0
     likeness: float = 0.2
-    small_table_rows: int = 1_000_000
 
     def differences(self, a: int, b: int) -> int:
         """Most shingles in which similar sets of these sizes differ."""
@@ -258,8 +258,7 @@ def _similar(pairs: DataFrame, documents: DataFrame, text: str, settings: Settin
         F.struct(F.col("x_t1").alias("t1"), F.col("x_t2").alias("t2")),
         F.struct(F.col("y_t1").alias("t1"), F.col("y_t2").alias("t2")))).alias("t"))
         .select("t.*").distinct(), "texts-wanted")
-    if wanted.count() <= settings.small_table_rows:
-        wanted = F.broadcast(wanted)  # 16 bytes a row, its size is known here
+    wanted = small_or_whole(wanted)
     texts = (documents.select(*_text_hashes(text), F.col(text).alias("text"))
              .join(wanted, ["t1", "t2"], "left_semi")
              .groupBy("t1", "t2").agg(F.first("text").alias("text")))

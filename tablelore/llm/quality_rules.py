@@ -30,10 +30,9 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _SYMBOLS, _MARKS = b"#*$%&|<>", b"!?.,;:\"'()-"
 _UPPER, _BLANK = bytes(range(65, 91)), b" \t\n\x0b\x0c\r"
 
-#: What rules may ask about, as SQL over the counts. All are shares or means that do not
-#: drift with the length of a text.
+#: What rules may ask about, as SQL over the counts. All are shares that drift neither with
+#: the length of a text nor with its language.
 FEATURES = {
-    "chars_per_word": "word_chars / n_words",
     "symbol_share": "n_symbols / word_chars",
     "repeated_line_share": "n_dup_lines / n_lines",
     "repeated_word_share": "n_repeat_words / n_words",
@@ -43,6 +42,10 @@ FEATURES = {
 }
 
 
+#: The base: too few words, or more than a fifth of them repeated.
+BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
+
+
 def _without(data: bytes, chars: bytes) -> int:
     return len(data) - len(data.translate(None, chars))
 
@@ -138,7 +141,11 @@ Rule = tuple[Condition, ...]
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample, of rules and conditions, and how right a rule must be."""
+    """Bounds of the sample, of rules and conditions, and how right a rule must be.
+
+    A rule must cover ``least_cover`` bad texts and ``least_share`` of them all: what only
+    a few texts show is no rule.
+    """
 
     texts: int = 4000
     rules: int = 12
@@ -146,6 +153,7 @@ class Settings:
     thresholds: int = 64
     precision: float = 0.9
     least_cover: int = 3
+    least_share: float = 0.02
     seed: int = 8
 
 
@@ -226,6 +234,7 @@ def cover(features: pd.DataFrame, bad: np.ndarray, weight: np.ndarray,
     rules: list[Rule] = []
     left = np.ones(len(bad), dtype=bool)
     prunes = np.arange(len(bad)) % 3 == 2
+    least = max(settings.least_cover, settings.least_share * bad.sum())
     while len(rules) < settings.rules:
         grow, check = left & ~prunes, left & prunes
         if not (bad & grow).any():
@@ -237,7 +246,7 @@ def cover(features: pd.DataFrame, bad: np.ndarray, weight: np.ndarray,
             rule = _prune(rule, features[check], bad[check], weight[check])
         hit = left & _covered(rule, features)
         right, wrong = weight[hit & bad].sum(), weight[hit & ~bad].sum()
-        if (hit & bad).sum() < settings.least_cover or right < settings.precision * (right + wrong):
+        if (hit & bad).sum() < least or right < settings.precision * (right + wrong):
             break
         rules.append(_shortest(rule))
         left &= ~hit
@@ -258,8 +267,9 @@ def learn(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
     """Rules from documents joined with labels 0 and 1; null labels and texts teach nothing.
 
     Only keys and hashes are joined; the sample holds at most ``settings.texts`` different
-    texts of each label, and rules count each label as often as it occurs in all. Without
-    bad labelled texts there are no rules and everything is good.
+    texts of each label, and rules count each label as often as it occurs in all. Texts
+    that fail the base teach nothing. Without bad labelled texts there are no rules and
+    everything is good.
     """
     hashed = samples.labelled_hashes(documents, labels, settings.seed, key=key, label=label,
                                      text=text)
@@ -269,16 +279,12 @@ def learn(documents: DataFrame, labels: DataFrame, settings: Settings = Settings
              .select("h", count_column(documents.sparkSession, F.col("text")).alias("c")).select("h", "c.*").toPandas())
     rows = [(r, name) for r, h in enumerate(found["h"]) for name in of[h] if name in ("0", "1")]
     counts = found.iloc[[r for r, _ in rows]].assign(label=[n for _, n in rows])
-    counts = counts[counts["n_words"] > 0].sort_values(["h", "label"])
+    counts = counts[~counts.eval(BASE_FAILED.lower())].sort_values(["h", "label"])
     weights = {n: chosen.totals[n] / max(1, len(chosen.hashes.get(n, ()))) for n in ("0", "1")}
     return cover(features_of(counts), (counts["label"] == "0").to_numpy(),
                  counts["label"].map(weights).to_numpy(dtype=float), settings)
 
 
-#: The base: too few words, or more than a fifth of them repeated.
-BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
-
-
 def judge(documents: DataFrame, rules: DecisionList, *, key: str = "doc_id",
           text: str = "text") -> DataFrame:
     """One row per document: ``key``, the counts, ``base_failed`` and ``kept``.
