@@ -40,12 +40,6 @@ CONVENTION_CONFIDENCE = (0.8, 0.4)
 # --- measures whose name contains one of these are averaged, the others summed
 AVERAGE_WORDS = ("rate", "pct", "percent", "ratio", "avg", "average", "mean")
 
-# --- sampling
-SAMPLE_THRESHOLD = 1_000_000
-SAMPLE_SIZE = 100_000
-PERCENT_SAMPLE_ABOVE = 10_000_000
-MIN_SAMPLE_PERCENT = 0.01
-
 # --- quality signals
 NULL_SIGNAL_PCT = 20
 UNIQUE_SIGNAL_PCT = 1

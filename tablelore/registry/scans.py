@@ -97,28 +97,59 @@ def _(spark, sf):
        "from orders) = 0")
 def _(spark, sf):
     orders = read(spark, sf, "orders")
-    return modulus_sample(orders, F.col("o_orderkey"), 1000, orders.count(), limit=False)
+    return modulus_sample(orders, F.col("o_orderkey"), 1000, orders.count())
 
 
-@query("sample_percent_lineitem", "S12")
+def _drawn(whole, sample, share, spread):
+    """The table's rows, and whether a sample is of the wanted size and from all over it.
+
+    ``spread`` is the number of rows that come or stay away together.
+    """
+    def measures(df, prefix):
+        return df.agg(F.count(F.lit(1)).alias(f"{prefix}_rows"),
+                      F.avg("l_orderkey").alias(f"{prefix}_mean"),
+                      F.stddev_pop("l_orderkey").alias(f"{prefix}_spread"))
+
+    wanted = F.col("all_rows") * share
+    groups = F.greatest(wanted / spread, F.lit(1.0))
+    return measures(whole, "all").join(measures(sample, "own")).select(
+        F.col("all_rows"),
+        (F.abs(F.col("own_rows") - wanted) <= 6 * F.sqrt(groups) * spread).alias("right_size"),
+        (F.abs(F.col("own_mean") - F.col("all_mean"))
+         <= 6 * F.col("all_spread") / F.sqrt(groups)).alias("unbiased"))
+
+
+_DRAWN = "select count(*) as all_rows, true as right_size, true as unbiased from lineitem"
+
+
+@query("sample_percent_lineitem", "S12", _DRAWN)
 def _(spark, sf):
-    return percent_sample(read(spark, sf, "lineitem"), 5.0, seed=7)
+    lineitem = read(spark, sf, "lineitem")
+    return _drawn(lineitem, percent_sample(lineitem, 5.0, seed=7), 0.05, 1)
 
 
-@query("sample_blocks_lineitem", "S12")
+@query("sample_blocks_lineitem", "S12", _DRAWN)
 def _(spark, sf):
-    return block_sample(read(spark, sf, "lineitem"), 5.0, seed=7)
+    lineitem = read(spark, sf, "lineitem")
+    return _drawn(lineitem, block_sample(lineitem, 20.0, seed=7, block_rows=100), 0.2, 100)
 
 
-@query("sample_rows_lineitem", "S11")
+@query("sample_rows_lineitem", "S11", """
+select *, true as right_size, true as unbiased from (select count(*) as all_rows from lineitem)""")
 def _(spark, sf):
     lineitem = read(spark, sf, "lineitem")
-    return sample_rows(lineitem, 1000, lineitem.count(), seed=7)
+    total = lineitem.count()
+    return _drawn(lineitem, sample_rows(lineitem, 1000, total, seed=7), 1000 / total, 1)
 
 
-@query("sampled_profile_lineitem", "S14 A1")
+@query("sampled_profile_lineitem", "S14 A1", """
+select count(*) as row_count, 11 as columns, true as sampled, true as near
+from lineitem""")
 def _(spark, sf):
-    return profile(plan_scan(read(spark, sf, "lineitem"), threshold=5_000, sample=2_000))
+    rows = profile(plan_scan(read(spark, sf, "lineitem"), sample=2_000))
+    return rows.groupBy("row_count").agg(
+        F.count(F.lit(1)).cast("int").alias("columns"), F.every("sampled").alias("sampled"),
+        F.every(F.abs(F.col("total_rows") - 2_000) < 300).alias("near"))
 
 
 @query("select_open_orders", "P1 P2 S15", """
@@ -170,6 +201,11 @@ for _table in ("lineitem", "orders", "events", "customer", "part", "conversation
         return _exact(read(spark, sf, _t))
 
 
+@query("profile_planned_lineitem", "S14 A1", profile_sql("lineitem", TABLES["lineitem"]))
+def _(spark, sf):
+    return _exact(plan_scan(read(spark, sf, "lineitem")))
+
+
 @query("profile_labelled_documents", "A1 A3 A5 P3",
        profile_sql(LABELLED_SQL, LABELLED_COLUMNS))
 def _(spark, sf):

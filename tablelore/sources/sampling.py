@@ -1,4 +1,4 @@
-"""Samples of a table and the rule that decides when to take one."""
+"""Samples of a table, taken only when the caller asks for one."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import fixed
+from ..store import written
 
-
-# A block sample reads at least about this many files.
-MIN_FILES = 32
-_FILE_SLOTS = 1_000_000
+# Rows of a file that a block sample keeps or leaves together.
+BLOCK_ROWS = 1_000
+_SLOTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -29,22 +28,17 @@ class Scan:
 
 
 def sample_rows(df: DataFrame, n: int, total: int, seed: int = 0) -> DataFrame:
-    """``n`` random rows of a table of ``total`` rows.
+    """About ``n`` rows of a table of ``total`` rows, every row with the same chance.
 
-    Above ten million rows the result is a percentage of the table taken from some of
-    its files, so its size is only near ``n`` and most of the table is not read.  Below
-    that a Bernoulli draw a little larger than needed is cut to ``n`` in random order;
-    the seed makes every pass over the sample see the same rows.
+    A seeded draw thins all files alike, at any size, so the sample is spread over the
+    tasks that read the table and nothing is sorted. Its size varies by about the square
+    root of ``n``.
     """
     if n <= 0:
         raise ValueError(f"sample size must be positive, got {n}")
     if n >= total:
         return df
-    if total > fixed.PERCENT_SAMPLE_ABOVE:
-        return block_sample(df, max(n / total * 100, fixed.MIN_SAMPLE_PERCENT), seed)
-    spare = 6 * n**0.5 + 10
-    drawn = df.sample(min(1.0, (n + spare) / total), seed)
-    return drawn.orderBy(F.rand(seed)).limit(n)
+    return df.sample(n / total, seed)
 
 
 def percent_sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
@@ -52,60 +46,46 @@ def percent_sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
 
 
 def block_sample(df: DataFrame, percent: float, seed: int = 0,
-                 min_files: int = MIN_FILES) -> DataFrame:
-    """About ``percent`` of the rows, read from a share of the files only.
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """About ``percent`` of the blocks of ``block_rows`` neighbouring rows of all files.
 
-    Files are chosen by a hash of their path, which Spark evaluates while it lists them.
-    At least ``min_files`` are expected, and rows are thinned within them to the wanted
-    percentage, so small samples still come from many places.  Tables of few files, and
-    frames that are not files, fall back to ``percent_sample``.
+    Blocks are chosen by a hash of their file and place, so files count by their rows
+    and the same blocks come back however the table is split. A frame that does not come
+    from Parquet files is thinned row by row.
     """
-    wanted = min(percent / 100, 1.0)
-    files = len(df.inputFiles())
-    share = max(wanted, min(1.0, min_files / files)) if files else 1.0
-    if share >= 1.0:
-        return percent_sample(df, percent, seed)
     try:
-        path = df.metadataColumn("_metadata")["file_path"]
-        chosen = df.where(
-            F.pmod(F.xxhash64(path, F.lit(seed)), F.lit(_FILE_SLOTS)) < int(share * _FILE_SLOTS))
+        meta = df.metadataColumn("_metadata")
+        block = F.floor(meta["row_index"] / block_rows)
+        chosen = df.where(F.pmod(F.xxhash64(meta["file_path"], block, F.lit(seed)),
+                                 F.lit(_SLOTS)) < int(min(percent / 100, 1.0) * _SLOTS))
         chosen.schema  # resolves the hidden column or raises
     except AnalysisException:
         return percent_sample(df, percent, seed)
-    return percent_sample(chosen, 100 * wanted / share, seed)
+    return chosen
 
 
-def modulus_sample(df: DataFrame, key: Column, n: int, total: int,
-                   limit: bool = True) -> DataFrame:
+def modulus_sample(df: DataFrame, key: Column, n: int, total: int) -> DataFrame:
     """Every m-th key, m = total / n: repeatable and taken without a sort.
 
     An integer key is used as it is; hash other keys first, for example with
-    ``F.xxhash64``.  ``limit=False`` keeps all matching rows.
+    ``F.xxhash64``. All matching rows are kept.
     """
     if n <= 0:
         raise ValueError(f"sample size must be positive, got {n}")
-    chosen = df.where(F.pmod(key, F.lit(max(total // n, 1))) == 0)
-    return chosen.limit(n) if limit else chosen
-
-
-def plan_scan(
-    df: DataFrame,
-    sample: int | None = None,
-    no_sample: bool = False,
-    threshold: int = fixed.SAMPLE_THRESHOLD,
-    seed: int = 0,
-) -> Scan:
-    """Decide between a full scan and a sample.
-
-    Tables above ``threshold`` rows are sampled to 100,000 rows.  An explicit
-    ``sample`` always applies, ``no_sample`` never samples.  Counting the rows is the
-    one job this runs; for Parquet it reads footers only.
+    return df.where(F.pmod(key, F.lit(max(total // n, 1))) == 0)
+
+
+def plan_scan(df: DataFrame, sample: int | None = None, no_sample: bool = False,
+              seed: int = 0) -> Scan:
+    """The whole table, or about ``sample`` of its rows if that is asked for.
+
+    Without ``sample``, or with ``no_sample``, everything is read, however large the table
+    is. A sample is drawn once and written to the shared folder, so all passes of a recipe
+    read the same few rows; for that the table is counted, which for Parquet reads footers.
     """
-    if no_sample:
+    if no_sample or sample is None:
         return Scan(df)
     total = df.count()
-    size = sample if sample is not None else (
-        fixed.SAMPLE_SIZE if total > threshold else None)
-    if size is None or size >= total:
+    if sample >= total:
         return Scan(df, total)
-    return Scan(sample_rows(df, size, total, seed), total, True, size)
+    return Scan(written(sample_rows(df, sample, total, seed), "sample"), total, True, sample)

@@ -170,16 +170,23 @@ def test_approx_top_values_skip_nulls(frame):
 
 # --- sampling ---------------------------------------------------------------------
 
-def test_automatic_sample_above_the_threshold(spark):
+def test_everything_is_read_unless_a_sample_is_asked_for(spark):
     big = spark.range(1_100_000).select("id", (F.col("id") * 0.5).alias("val"))
-    scan = plan_scan(big)
-    assert scan.sampled and scan.sample_size == 100_000 and scan.row_count == 1_100_000
+    assert not plan_scan(big).sampled
+    row = profile(plan_scan(big), "id", exact=True, quick=True).collect()[0]
+    assert row.row_count == row.total_rows == row.distinct_count == 1_100_000
+    assert not plan_scan(big, sample=500, no_sample=True).sampled
+
+
+def test_sample_is_drawn_once_and_spread(spark):
+    big = spark.range(0, 200_000, numPartitions=8).select("id", (F.col("id") * 0.5).alias("val"))
+    scan = plan_scan(big, sample=20_000)
+    assert scan.sampled and scan.sample_size == 20_000 and scan.row_count == 200_000
+    drawn = scan.data.count()
+    assert abs(drawn - 20_000) < 1_000
+    assert scan.data.inputFiles() and len(scan.data.inputFiles()) == 8
     row = profile(scan).collect()[0]
-    assert row.row_count == 1_100_000 and row.total_rows == 100_000 and row.sampled
-    assert not plan_scan(big, no_sample=True).sampled
-    assert plan_scan(big, sample=500).data.count() == 500
-    # strictly above
-    assert not plan_scan(spark.range(1000), threshold=1000).sampled
+    assert row.row_count == 200_000 and row.total_rows == drawn and row.sampled
 
 
 def test_explicit_sample_larger_than_table_reads_all(spark):
@@ -187,40 +194,48 @@ def test_explicit_sample_larger_than_table_reads_all(spark):
     assert not scan.sampled and scan.data.count() == 10
 
 
-def test_percent_sample_of_huge_tables(spark):
+def test_samples_of_huge_tables_are_thinned_alike(spark):
     df = spark.range(100_000)
-    # A table said to be huge is sampled by percentage, never below a hundredth percent.
-    drawn = sample_rows(df, 1, 1_000_000_000_000, seed=3).count()
-    assert drawn < 60
+    # A table said to be huge keeps its rate.
+    assert sample_rows(df, 1, 1_000_000_000_000, seed=3).count() < 5
     assert 4_000 < percent_sample(df, 5.0, seed=1).count() < 6_000
 
 
-def test_block_sample_reads_few_files(spark, tmp_path):
-    path = f"{tmp_path}/many"
-    spark.range(40_000).repartition(200).write.parquet(path)
-    df = spark.read.parquet(path)
-    drawn = block_sample(df, 2.0, seed=1, min_files=20)
-    read = drawn.select(F.input_file_name()).distinct().count()
-    assert 5 <= read <= 45
-    plan = drawn._jdf.queryExecution().executedPlan()
-    drawn_rows = drawn.count()
-    assert 400 < drawn_rows < 1_400
-    drawn._jdf.queryExecution().toRdd().count()
-    while plan.children().size():
-        plan = plan.children().apply(0)
-    assert plan.metrics().apply("numFiles").value() <= 45  # files left after listing
-    # few files, and frames without files, are thinned row by row
-    assert 3_000 < block_sample(df, 10.0, min_files=1000).count() < 5_000
+@pytest.fixture(scope="module")
+def uneven(spark, tmp_path_factory):
+    """One large file and many small ones, in the order of the ids."""
+    path = str(tmp_path_factory.mktemp("uneven") / "t")
+    spark.range(0, 400_000, numPartitions=1).write.parquet(path)
+    spark.range(400_000, 440_000, numPartitions=80).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_samples_of_files_of_any_size(uneven, seed):
+    for drawn, rows_together in (
+            (sample_rows(uneven, 44_000, 440_000, seed), 1),
+            (percent_sample(uneven, 10.0, seed), 1),
+            (block_sample(uneven, 10.0, seed, block_rows=100), 100)):
+        row = drawn.agg(F.count("id").alias("n"), F.avg("id").alias("mean")).first()
+        assert abs(row.n - 44_000) < 4_400
+        error = 440_000 / 12**0.5 / (44_000 / rows_together) ** 0.5
+        assert abs(row.mean - 220_000) < 5 * error
+
+
+def test_block_sample_keeps_neighbours(uneven, spark):
+    rows = block_sample(uneven, 10.0, 3, block_rows=100).where("id < 400000").groupBy(
+        (F.col("id") / 100).cast("int")).count().collect()
+    assert len(rows) > 300 and {r["count"] for r in rows} == {100}
+    # frames without files are thinned row by row
     assert 3_000 < block_sample(spark.range(40_000), 10.0).count() < 5_000
-    joined = df.join(df.withColumnRenamed("id", "b"), F.col("id") == F.col("b"))
-    assert block_sample(joined, 50.0, min_files=1).count() > 10_000
 
 
 def test_modulus_sample(spark):
     df = spark.range(1000)
-    assert [r.id for r in modulus_sample(df, F.col("id"), 100, 1000, limit=False).collect()
+    assert [r.id for r in modulus_sample(df, F.col("id"), 100, 1000).collect()
             ] == list(range(0, 1000, 10))
-    assert modulus_sample(df, F.col("id"), 3, 1000).count() == 3
+    # all matches, not the first ones
+    assert [r.id for r in modulus_sample(df, F.col("id"), 3, 1000).collect()] == [0, 333, 666, 999]
     with pytest.raises(ValueError):
         modulus_sample(df, F.col("id"), 0, 1000)
 
