@@ -114,6 +114,9 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(Memory):
+    def __init__(self):
+        super().__init__(60_000)  # hashing a word again is cheap
+
     def _compute(self, word: bytes) -> int:
         return xxhash.xxh3_64_intdigest(word)
 
@@ -179,7 +182,7 @@ def _set_rows(settings: Settings):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen = WordHashes(), set()
-        for batch in in_portions(batches, "text"):
+        for batch in in_portions(batches, "text", 1_000_000):
             sizes, set1, set2, bits, entries = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(words_of(text), settings.words, memory)
@@ -192,7 +195,7 @@ def _set_rows(settings: Settings):
                     bits.append(None)
                     entries.append(None)
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 100_000:
                     seen.add((one, two))
                 bits.append(parity_bits(hashes))
                 entries.append(index_entries(hashes, settings))
@@ -277,6 +280,24 @@ def _text_hashes(text: str) -> list:
             F.xxhash64(F.col(text), F.lit(2)).alias("t2")]
 
 
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, which are few: between components, not nodes."""
+    ends = links
+    for end in ("a", "b"):
+        known = groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group"))
+        ends = ends.join(known, end, "left").withColumn(
+            f"{end}_group", F.coalesce(f"{end}_group", end))
+    ends = written(ends.select("a", "b", "a_group", "b_group"), "ends")
+    above = components(ends.select(F.col("a_group").alias("a"), F.col("b_group").alias("b")))
+    above = above.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    alone = ends.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.col("a_group").alias("component")),
+        F.struct(F.col("b").alias("node"), F.col("b_group").alias("component")))).alias("n")
+    ).select("n.*")
+    return groups.unionAll(alone).distinct().join(above, "component", "left").select(
+        "node", F.coalesce("top", "component").alias("component"))
+
+
 def link_components(documents: DataFrame, settings: Settings = Settings(), *,
                     key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``n_shingles`` and ``component_id``.
@@ -352,14 +373,16 @@ def link_components(documents: DataFrame, settings: Settings = Settings(), *,
     rest = written(rest, "rest")
     more = written(_similar(rest, documents, text, settings), "similar")
     if not more.isEmpty():
-        groups = components(links.unionAll(more))
+        groups = _joined(groups, more)
 
     # Classes of equal sets, then the components of those that have links.
     named = sets.select("key", "size", "set1", "set2").join(
         groups.select(F.col("node").alias("set1"), "component"), "set1", "left").select(
         "key", "size", F.coalesce("component", "set1").alias("group1"),
         F.when(F.col("component").isNull(), F.col("set2")).otherwise(0).alias("group2"))
-    least = named.where("size > 0").groupBy("group1", "group2").agg(F.min("key").alias("least"))
+    # Written, so that the join beside it can be split where a group is large.
+    least = written(named.where("size > 0").groupBy("group1", "group2").agg(
+        F.min("key").alias("least")), "least")
     linked = named.where("size > 0").join(least, ["group1", "group2"]).select(
         "key", "size", F.col("least").alias("component_id"))
     alone = named.where("size = 0").select("key", "size", F.col("key").alias("component_id"))

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Words that a task remembers in each of two generations.
+#: Words that a task remembers in each of two generations, unless a kind of memory says less.
 MEMORY_WORDS = 400_000
 #: Longer words are never remembered.
 MEMORY_CHARS = 64
@@ -39,8 +39,9 @@ class Memory(dict):
     they are asked for again; so frequent words stay and rare ones go.
     """
 
-    def __init__(self):
+    def __init__(self, words: int | None = None):
         super().__init__()
+        self._words = words or MEMORY_WORDS
         self._older: dict = {}
 
     def _compute(self, word):
@@ -51,7 +52,7 @@ class Memory(dict):
         if value is None:
             value = self._compute(word)
         if len(word) <= MEMORY_CHARS:
-            if len(self) >= MEMORY_WORDS:
+            if len(self) >= self._words:
                 self._older = dict(self)
                 self.clear()
             self[word] = value
