@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .store import written
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)).alias("n"),
-                    F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, and that one has none itself."""
+    ends = links.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        .alias("e")).select("e.*")
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counted.where((F.col("up") > 1) | (F.col("up") + F.col("down") > 1)).isEmpty()
 
 
 def _least(links: DataFrame, node: str, other: str) -> DataFrame:
@@ -23,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
 
     The component is the smallest node that links reach. Links may be repeated, in
     either direction; nulls link nothing. Alternating stars: every node hands its larger
-    neighbours, then its smaller ones, to the smallest node it knows, until nothing
-    changes. A node with very many links is one aggregate row before it is shuffled, and
+    neighbours, then its smaller ones, to the smallest node it knows, until all hang on
+    the smallest node of their component. A node with very many links is one aggregate row before it is shuffled, and
     the links beside it are on the side of the join that adaptive execution can split.
     Each round is written to the shared folder, so rounds survive lost executors and
     plans stay short.
@@ -33,8 +37,7 @@ def components(links: DataFrame) -> DataFrame:
     links = links.dropna().where(F.col("a") != F.col("b")).select(
         high.alias("a"), low.alias("b")).distinct()
     links = written(links, "links")
-    state = _state(links)
-    while True:
+    while not _settled(links):
         both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("node")).agg(
             F.least(F.min("b"), F.first("a")).alias("least"))
@@ -47,9 +50,6 @@ def components(links: DataFrame) -> DataFrame:
                               F.struct(F.col("b").alias("a"), F.col("least").alias("b"))))
             .alias("l")).select("l.a", "l.b")
         links = written(small.where(F.col("a") != F.col("b")).distinct(), "links")
-        before, state = state, _state(links)
-        if state == before:
-            break
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(links.select(F.col("b").alias("node"), F.col("b").alias("component"))
                           .distinct())
