@@ -65,6 +65,12 @@ VALID_VALUES_CONFIDENCE = 0.8
 
 # --- fields of the fact table
 MACHINE_TABLE_FIELDS = ("row_count", "table_comment")
+# places that a person fills in
+DESCRIPTION_PLACE = "<description>"
+TABLE_PLACES = {
+    "table_description": "<description>", "data_owner": "<data_owner>",
+    "update_frequency": "<update_frequency>", "notes": "",
+}
 HUMAN_TABLE_FIELDS = ("table_description", "data_owner", "update_frequency", "notes")
 MACHINE_COLUMN_FIELDS = (
     "type", "nullable", "primary_key", "distinct_count", "null_count", "null_pct",

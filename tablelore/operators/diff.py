@@ -91,8 +91,12 @@ def diff_since(snapshots: DataFrame, current: DataFrame, current_counts: DataFra
                before: Column | None = None) -> DataFrame:
     """Current columns against the newest earlier snapshot, with the row count change.
 
-    Tables without a snapshot are left out: there is nothing to compare them with.
+    Only tables of ``current`` are compared, so a dropped table is not there; tables
+    without a snapshot are left out: there is nothing to compare them with.
     """
+    wanted = current.select(F.lower("table_name").alias("table_key")).distinct()
+    snapshots = snapshots.withColumn("table_key", F.lower("table_name")).join(
+        wanted, "table_key", "left_semi").drop("table_key")
     pairs = _pairs(latest_snapshot(snapshots, before), current, True,
                    ("taken_at", "row_count"))
     table = Window.partitionBy("table_key")  # the columns of one table

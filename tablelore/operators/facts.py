@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.numbers import exact_round, share
 from ..functions.text import has_content
+from ..store import small_or_whole, written
 from . import counts
 
 LOG_SCHEMA = (
@@ -26,7 +27,7 @@ LOG_SCHEMA = (
 _KEY = ("table_name", "column_key", "field")
 _BODY = ("value", "values", "source", "confidence", "written_at", "author", "session",
          "write_id")
-# Renames up to this many travel inside the plan as a literal map.
+# Renames up to this many travel inside the plan as a literal map, more are joined.
 LITERAL_RENAMES = 1000
 
 
@@ -62,7 +63,8 @@ def shown_value(f: str = "") -> Column:
 
 
 def _keyed(facts: DataFrame) -> DataFrame:
-    return facts.withColumn("column_key", F.coalesce("column_name", F.lit("")))
+    """Facts with the key of their column: its name in lower case, empty for the table."""
+    return facts.withColumn("column_key", F.lower(F.coalesce("column_name", F.lit(""))))
 
 
 def _folded(facts: DataFrame, name: str) -> DataFrame:
@@ -74,9 +76,9 @@ def _folded(facts: DataFrame, name: str) -> DataFrame:
 def current_facts(log: DataFrame) -> DataFrame:
     """The last written fact per table, column and field."""
     rest = [c for c in log.columns if c not in ("table_name", "column_name", "field")]
-    last = F.max(F.struct("write_id", *[c for c in rest if c != "write_id"]))
-    return log.groupBy("table_name", "column_name", "field").agg(last.alias("f")).select(
-        "table_name", "column_name", "field", *[F.col(f"f.{c}").alias(c) for c in rest]
+    last = F.max(F.struct("write_id", *[c for c in rest if c != "write_id"], "column_name"))
+    return _keyed(log).groupBy(*_KEY).agg(last.alias("f")).select(
+        "table_name", "f.column_name", "field", *[F.col(f"f.{c}").alias(c) for c in rest]
     )
 
 
@@ -87,7 +89,7 @@ def decide_writes(current: DataFrame, updates: DataFrame, columns: DataFrame,
     ``columns`` lists the known ``(table_name, column_name)``.  Facts of a person stay
     unless ``force``; facts about unknown columns are skipped.
     """
-    known = columns.select("table_name", F.col("column_name").alias("column_key")
+    known = columns.select("table_name", F.lower("column_name").alias("column_key")
                            ).distinct().withColumn("known", F.lit(True))
     joined = (
         _keyed(updates).alias("u")
@@ -172,24 +174,52 @@ def merge_decisions(
     schema drifted, facts about columns unknown here are skipped.  Machine fields
     describe the other database and are never taken.
     """
-    if strategy not in ("keep_higher", "theirs", "mine"):
-        raise ValueError(f"unknown merge strategy {strategy!r}")
+    _known_strategy(strategy)
+    decided = _decided(local, incoming, strategy, status).where(
+        F.col("inc").isNotNull() & F.col("importable"))
+    return decided.select(
+        "table_name", "inc.column_name", "field", "v.action", "v.reason",
+        *[F.col(f"inc.{c}").alias(c) for c in _BODY if c in incoming.columns],
+        confidence_of("loc.").alias("local_confidence"),
+        confidence_of("inc.").alias("incoming_confidence"))
+
+
+def _sides(local: DataFrame, incoming: DataFrame) -> DataFrame:
+    """One row per table, column and field with both sides' facts, each read once.
+
+    ``has_column`` tells whether the local side knows the column; the facts of a column
+    meet for that and are then folded where they are.
+    """
+    def side(facts: DataFrame, name: str, other: str) -> DataFrame:
+        kinds = {c: f.dataType for d in (local, incoming) for c, f in
+                 ((f.name, f) for f in d.schema.fields) if c in _BODY}
+        body = [(F.col(c) if c in facts.columns else F.lit(None)).cast(kinds[c]).alias(c)
+                for c in _BODY if c in kinds]
+        own = F.struct("column_name", *body)
+        return _keyed(facts).select(
+            *_KEY, own.alias(name), F.when(F.lit(False), own).alias(other),
+            F.lit(name == "loc").alias("is_local"))
+
+    both = side(local, "loc", "inc").unionByName(side(incoming, "inc", "loc"))
+    column = Window.partitionBy("table_name", "column_key")
+    return both.withColumn("has_column", F.max("is_local").over(column)).groupBy(*_KEY).agg(
+        F.max("loc").alias("loc"), F.max("inc").alias("inc"),
+        F.max("has_column").alias("has_column"))
+
+
+def _decided(local: DataFrame, incoming: DataFrame, strategy: str,
+             status: DataFrame | None) -> DataFrame:
+    """Both sides of every fact with the verdict ``v`` on the incoming one."""
     of_table = F.col("column_key") == ""
-    here = _keyed(local)
-    known_columns = here.where(~of_table).select("table_name", "column_key").distinct(
-    ).withColumn("has_column", F.lit(True))
-    joined = (
-        _folded(incoming, "inc").where(_importable(F.col("field"), of_table))
-        .join(_folded(local, "loc"), list(_KEY), "left")
-        .join(known_columns, ["table_name", "column_key"], "left")
-    )
+    joined = _sides(local, incoming).withColumn(
+        "importable", _importable(F.col("field"), of_table))
     drifted = F.lit(False)
     if status is not None:
-        joined = joined.join(
-            status.select("table_name", (F.col("status") == "drift").alias("drift")),
-            "table_name", "left")
+        drift = written(status.select(
+            "table_name", (F.col("status") == "drift").alias("drift")), "status")
+        joined = joined.join(small_or_whole(drift), "table_name", "left")
         drifted = F.coalesce("drift", F.lit(False))
-    new_column = ~of_table & F.col("has_column").isNull()
+    new_column = ~of_table & ~F.col("has_column")
 
     ours, theirs = confidence_of("loc."), confidence_of("inc.")
     newer = F.coalesce(F.col("inc.written_at") > F.col("loc.written_at"), F.lit(False))
@@ -209,10 +239,13 @@ def merge_decisions(
                    F.when(ours > theirs, _verdict("skip", "local_higher_confidence"))
                    .otherwise(_verdict("skip", "local_newer")))
     )
-    return joined.withColumn("v", verdict).select(
-        "table_name", "inc.column_name", "field", "v.action", "v.reason",
-        *[F.col(f"inc.{c}").alias(c) for c in _BODY if c in incoming.columns],
-        ours.alias("local_confidence"), theirs.alias("incoming_confidence"))
+    return joined.withColumn("v", verdict)
+
+
+def _known_strategy(strategy: str) -> str:
+    if strategy not in ("keep_higher", "theirs", "mine"):
+        raise ValueError(f"unknown merge strategy {strategy!r}")
+    return strategy
 
 
 def _verdict(action: str, reason: str | None) -> Column:
@@ -222,14 +255,13 @@ def _verdict(action: str, reason: str | None) -> Column:
 
 def merge(local: DataFrame, incoming: DataFrame, strategy: str = "keep_higher",
           status: DataFrame | None = None) -> DataFrame:
-    """Local facts after the merge."""
-    taken = merge_decisions(local, incoming, strategy, status).where(
-        F.col("action") == "write")
+    """Local facts after the merge; each side is read once."""
     body = [c for c in _BODY if c in local.columns and c in incoming.columns]
-    both = _folded(local.select("table_name", "column_name", "field", *body), "loc").join(
-        _folded(taken.select("table_name", "column_name", "field", *body), "inc"),
-        list(_KEY), "full")
-    return both.withColumn("f", F.coalesce("inc", "loc")).select(
+    taken = (F.col("inc").isNotNull() & F.col("importable")
+             & (F.col("v.action") == "write"))
+    both = _decided(local, incoming, _known_strategy(strategy), status)
+    return both.withColumn("f", F.when(taken, F.col("inc")).otherwise(F.col("loc"))).where(
+        F.col("f").isNotNull()).select(
         "table_name", "f.column_name", "field", *[F.col(f"f.{c}").alias(c) for c in body])
 
 
@@ -256,19 +288,21 @@ def undo(log: DataFrame, writes: int = 1) -> DataFrame:
         counts.first_per_group(ids, ["table_name"], [F.desc("write_id")], writes)
         .groupBy("table_name").agg(F.min("write_id").alias("cut"))
     )
-    return log.join(cut, "table_name").where(F.col("write_id") < F.col("cut")).drop("cut")
+    # One row per table beside a log that one table may fill.
+    return log.join(small_or_whole(written(cut, "cuts")), "table_name").where(
+        F.col("write_id") < F.col("cut")).drop("cut")
 
 
 def redact(facts: DataFrame) -> DataFrame:
     """Facts without the data-revealing fields of columns marked as personal."""
-    personal = (
-        facts.where((F.col("field") == "pii") & (F.lower("value") == "true")
-                    & F.col("column_name").isNotNull())
-        .select("table_name", "column_name").distinct()
-    )
-    safe = ~F.col("field").isin(*fixed.REDACTED_FIELDS)
-    revealing = facts.where(~safe).join(personal, ["table_name", "column_name"], "left_anti")
-    return facts.where(safe).unionByName(revealing)
+    keys = ["table_name", "column_key"]
+    personal = _keyed(facts.where(
+        (F.col("field") == "pii") & (F.lower("value") == "true")
+        & F.col("column_name").isNotNull())).select(*keys).distinct().withColumn(
+        "personal", F.lit(True))
+    revealing = F.col("field").isin(*fixed.REDACTED_FIELDS) & F.col("personal").isNotNull()
+    return _keyed(facts).join(personal, keys, "left").where(
+        ~F.coalesce(revealing, F.lit(False))).select(*facts.columns)
 
 
 def rename_tables(facts: DataFrame, names: Mapping[str, str] | DataFrame) -> DataFrame:
@@ -277,12 +311,13 @@ def rename_tables(facts: DataFrame, names: Mapping[str, str] | DataFrame) -> Dat
     ``names`` is a mapping or, for many tables, a frame ``(source, target)``.
     """
     if isinstance(names, DataFrame):
-        renamed = facts.join(names.select(F.col("source").alias("table_name"), "target"),
-                             "table_name", "left")
+        pairs = written(names.select(F.col("source").alias("table_name"), "target"), "names")
+        renamed = facts.join(small_or_whole(pairs), "table_name", "left")
         return renamed.withColumn(
             "table_name", F.coalesce("target", "table_name")).drop("target")
     if len(names) > LITERAL_RENAMES:
-        raise ValueError(f"{len(names)} renames; pass them as a DataFrame")
+        return rename_tables(facts, facts.sparkSession.createDataFrame(
+            list(names.items()), "source string, target string"))
     if not names:
         return facts
     literal = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
@@ -291,7 +326,7 @@ def rename_tables(facts: DataFrame, names: Mapping[str, str] | DataFrame) -> Dat
 
 
 def completeness(current: DataFrame, as_of: Column) -> DataFrame:
-    """How well each table is described, worst first.
+    """How well each table is described, worst first, and which columns lack what.
 
     Half the score is described columns, three tenths the listed values of columns that
     could list them, two tenths the age of the last write.
@@ -309,6 +344,7 @@ def completeness(current: DataFrame, as_of: Column) -> DataFrame:
             value("distinct_count").try_cast("double").alias("distinct"),
             F.max((F.col("field") == "valid_values") & filled()).alias("listed"),
             F.max("written_at").alias("written_at"),
+            F.max("column_name").alias("column_name"),
         )
     )
     text = F.lit(False)
@@ -317,7 +353,15 @@ def completeness(current: DataFrame, as_of: Column) -> DataFrame:
     target = F.coalesce(text & (F.col("distinct") > 1)
                         & (F.col("distinct") <= fixed.VALID_VALUES_CEILING), F.lit(False))
     column = F.col("of_column")
+
+    def names(which: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(which, F.col("column_name"))))
+
+    # The lists hold columns of one table.
     totals = per_column.groupBy("table_name").agg(
+        names(column & ~F.coalesce("described", F.lit(False))).alias("missing_descriptions"),
+        names(column & target & ~F.coalesce("listed", F.lit(False))).alias(
+            "missing_valid_values"),
         F.count_if(column).alias("column_count"),
         F.count_if(column & F.col("described")).alias("described"),
         F.count_if(column & target).alias("valid_values_targets"),
@@ -343,6 +387,7 @@ def completeness(current: DataFrame, as_of: Column) -> DataFrame:
         exact_round(covered("listed", "valid_values_targets"), 1).alias(
             "valid_values_coverage_pct"),
         "valid_values_targets", exact_round(days, 1).alias("freshness_days"),
+        "missing_descriptions", "missing_valid_values",
     ).orderBy("score", "table_name")
 
 

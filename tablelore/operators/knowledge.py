@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.names import temporal_by_name_and_type
-from ..functions.types import as_text, is_numeric, is_text, sql_struct
+from ..functions.types import as_text, is_nested, is_numeric, is_text, sql_struct
 from ..sources.rows import pick_columns, preview
 from ..sources.sampling import Scan
 from ..sources.tables import column_catalog
 from . import facts as f
 from .profile import approx_distinct, described, per_column, profile, top_sketch
 from .quality import quality
-from .values import top_values
+from .values import distinct_values, top_values
 
 # A sketch with this many slots lists every value of a column that the distinct
 # estimate puts below the bound; the bound leaves room for the estimate's error.
@@ -99,7 +99,8 @@ def suggestions(source: DataFrame | Scan, table: str, current: DataFrame,
                 force: bool = False) -> DataFrame:
     """Derived facts that are new: not stored already, not a person's field.
 
-    Constant columns and times get no list of values.
+    Only columns that the store knows get any. Constant columns and times get no list of
+    values.
     """
     df = source.data if isinstance(source, Scan) else source
     temporal = temporal_facts(column_catalog({table: df}), table)
@@ -108,7 +109,10 @@ def suggestions(source: DataFrame | Scan, table: str, current: DataFrame,
     candidates = temporal.unionByName(
         sparse_facts(profile(source, quick=True), table)).unionByName(listed)
     known = f._folded(current, "old")
-    joined = f._keyed(candidates).join(known, list(f._KEY), "left")
+    stored = current.where(F.col("column_name").isNotNull()).select(
+        "table_name", F.lower("column_name").alias("column_key")).distinct()
+    joined = f._keyed(candidates).join(stored, ["table_name", "column_key"], "left_semi").join(
+        known, list(f._KEY), "left")
     protected = f.is_human("old.") if not force else F.lit(False)
     # A list stored by hand and the same list stored by a scan compare alike.
     same = F.col("values").eqNullSafe(F.col("old.values")) & F.lower("value").eqNullSafe(
@@ -119,16 +123,16 @@ def suggestions(source: DataFrame | Scan, table: str, current: DataFrame,
 
 
 def facts_by_column(current: DataFrame, table: str) -> DataFrame:
-    """One row per column with the stored fields that scans show."""
+    """One row per column (``column_key``, lower-cased) with the stored fields scans show."""
     shown = f.shown_value()
 
     def field(name: str) -> Column:
         return F.max(F.when(F.col("field") == name, shown)).alias(name)
 
     return (
-        current.where((F.col("table_name") == table) & F.col("column_name").isNotNull()
+        current.where((F.lower("table_name") == table.lower()) & F.col("column_name").isNotNull()
                       & F.col("field").isin(*fixed.SCAN_COLUMN_FIELDS))
-        .groupBy("column_name")
+        .groupBy(F.lower("column_name").alias("column_key"))
         .agg(
             field("description"),
             F.max(F.when((F.col("field") == "valid_values") & (F.size("values") > 0),
@@ -140,7 +144,23 @@ def facts_by_column(current: DataFrame, table: str) -> DataFrame:
 
 def with_facts(stats: DataFrame, current: DataFrame, table: str) -> DataFrame:
     """Profile, quality or context rows with the stored facts of their columns."""
-    return stats.join(facts_by_column(current, table), "column_name", "left")
+    return _keyed_by_column(stats).join(
+        facts_by_column(current, table), "column_key", "left").drop("column_key")
+
+
+def _keyed_by_column(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("column_key", F.lower("column_name"))
+
+
+def values_with_facts(df: DataFrame, column: str, current: DataFrame, table: str,
+                      max_values: int | None = None, sort: str = "value") -> DataFrame:
+    """The distinct values of a column beside what is stored about it."""
+    listed = distinct_values(df, column, max_values, sort)
+    known = facts_by_column(current, table).where(
+        F.col("column_key") == column.lower()).select("description", "valid_values", "pii")
+    stored = known.agg(*(F.first(c).alias(c) for c in known.columns))  # one row, or nulls
+    return listed.withColumn("_f", stored.select(F.struct("*")).scalar()).select(
+        *listed.columns, "_f.*")
 
 
 def quality_with_facts(source: DataFrame | Scan, current: DataFrame, table: str,
@@ -155,13 +175,14 @@ def quality_with_facts(source: DataFrame | Scan, current: DataFrame, table: str,
     df = source.data if isinstance(source, Scan) else source
     known = facts_by_column(current, table)
     allowed = known.where(F.col("valid_values").isNotNull()).select(
-        "column_name", F.explode("valid_values").alias("value"))
-    checked = invalid_values(df, allowed, _text_like(df)).select(
+        F.col("column_key").alias("column_name"), F.explode("valid_values").alias("value"))
+    checked = invalid_values(df, allowed, _comparable(df)).select(
         "column_name", "invalid_count", "allowed_count")
     rows = quality(source, exact=exact).drop("invalid_count", "status", "issues")
     bad = F.col("invalid_count") > 0
     return (
-        rows.join(checked, "column_name", "left").join(known, "column_name", "left")
+        _keyed_by_column(rows.join(checked, "column_name", "left"))
+        .join(known, "column_key", "left").drop("column_key")
         .withColumn("status", F.when(bad, "fail").otherwise("ok"))
         .withColumn("issues", F.when(bad, F.array(issue_text(
             F.col("invalid_count"), F.col("allowed_count")))).otherwise(F.array()))
@@ -169,18 +190,18 @@ def quality_with_facts(source: DataFrame | Scan, current: DataFrame, table: str,
     )
 
 
-def _text_like(df: DataFrame) -> list[str]:
-    """Columns worth checking against listed values; doubles and nested types are not."""
-    return [s.name for s in df.schema.fields
-            if is_text(s.dataType) or s.dataType.typeName() in (
-                "boolean", "byte", "short", "integer", "long", "date")] or df.columns[:1]
+def _comparable(df: DataFrame) -> list[str]:
+    """Columns that listed values can be compared with: all but nested ones."""
+    return [s.name for s in df.schema.fields if not is_nested(s.dataType)]
 
 
 def context(source: DataFrame | Scan, table: str, current: DataFrame | None = None,
             sample_values: int = 5, exact: bool = False) -> DataFrame:
     """Schema, statistics, frequent values and stored facts of every column.
 
-    The default is one scan; ``exact`` groups the values instead of sketching them.
+    The default aggregates sketches in a few scans; ``exact`` groups the values instead.
+    ``all_values`` tells whether ``sample_values`` are all the column has: one more than
+    is shown was asked for and none came.
     """
     scan = source if isinstance(source, Scan) else Scan(source)
     df = scan.data
@@ -188,16 +209,19 @@ def context(source: DataFrame | Scan, table: str, current: DataFrame | None = No
         stats = profile(scan, exact=exact)
         named = [s.name for s in df.schema.fields if not is_numeric(s.dataType)]
         if named and sample_values:
-            listed = top_values(df, named, sample_values).groupBy("column_name").agg(
+            listed = top_values(df, named, sample_values + 1).groupBy("column_name").agg(
                 F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))),
                             lambda s: s["value"]).alias("top_values"))
             stats = stats.join(listed, "column_name", "left")
         else:
             stats = stats.withColumn("top_values", F.lit(None).cast("array<string>"))
     else:
-        stats = profile(scan, top=sample_values)
+        stats = profile(scan, top=sample_values + 1)
     schema = column_catalog({table: df}).select("column_name", "nullable", "comment")
-    rows = stats.join(schema, "column_name").withColumnRenamed("top_values", "sample_values")
+    rows = stats.join(schema, "column_name").withColumns({
+        "all_values": F.size("top_values") <= sample_values,
+        "sample_values": F.slice("top_values", 1, max(sample_values, 1)),
+    }).drop("top_values")
     return with_facts(rows, current, table) if current is not None else rows
 
 
@@ -205,9 +229,8 @@ def facts_from_context(context_rows: DataFrame, table: str) -> DataFrame:
     """Facts a context scan proves; values only when the sample holds them all."""
     size = F.size("sample_values")
     complete = (
-        (F.col("column_type") == "string") & (F.col("distinct_count") > 0)
-        & (F.col("distinct_count") < fixed.VALID_VALUES_CEILING)
-        & (size >= F.col("distinct_count"))
+        (F.col("column_type") == "string") & F.col("all_values") & (size > 0)
+        & (size < fixed.VALID_VALUES_CEILING)
     )
     listed = context_rows.where(complete).select(
         *_fact(table, F.col("column_name"), "valid_values", None,
@@ -246,19 +269,33 @@ def documentation(source: DataFrame | Scan, table: str, samples: int = 3,
     )
 
 
-def machine_facts(documented: DataFrame) -> DataFrame:
-    """Documentation rows as facts: what a refresh writes, with a place to describe."""
-    def entry(field: str, value: Column) -> Column:
-        return F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"))
+def machine_facts(documented: DataFrame, table_comment: str = "",
+                  primary_key: Sequence[str] = ()) -> DataFrame:
+    """Documentation rows as facts: what a refresh writes, with places to describe.
 
-    entries = F.array(
-        entry("type", F.col("column_type")), entry("nullable", F.col("nullable")),
-        entry("description", F.coalesce("comment", F.lit("<description>"))),
-        *[entry(c, F.col(c)) for c in (
+    The first column's row also yields the facts about the table, which have no column.
+    """
+    keys = [c.lower() for c in primary_key]
+
+    def entry(column: Column, field: str, value: Column) -> Column:
+        return F.struct(column.cast("string").alias("column_name"),
+                        F.lit(field).alias("field"), value.cast("string").alias("value"))
+
+    name, none = F.col("column_name"), F.lit(None)
+    columns = F.array(
+        entry(name, "type", F.col("column_type")), entry(name, "nullable", F.col("nullable")),
+        entry(name, "primary_key", F.lower(name).isin(*keys) if keys else F.lit(False)),
+        entry(name, "description", F.coalesce("comment", F.lit(fixed.DESCRIPTION_PLACE))),
+        *[entry(name, c, F.col(c)) for c in (
             "distinct_count", "null_count", "null_pct", "min_val", "max_val",
             "min_length", "max_length", "sample_values")],
     )
-    return documented.select("table_name", "column_name", F.inline(entries)).select(
+    table = F.array(
+        entry(none, "row_count", F.col("row_count")),
+        entry(none, "table_comment", F.lit(table_comment)),
+        *[entry(none, field, F.lit(place)) for field, place in fixed.TABLE_PLACES.items()])
+    entries = F.when(F.col("ordinal") == 1, F.concat(columns, table)).otherwise(columns)
+    return documented.select("table_name", F.inline(entries)).select(
         "table_name", "column_name", "field", "value",
         F.lit(None).cast("array<string>").alias("values"),
         F.lit(None).cast("string").alias("source"),

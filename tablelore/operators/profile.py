@@ -28,6 +28,8 @@ MAX_BATCHES = 16
 _ACCURACY = 10_000
 # Rank error of the median sketch is below a thousandth at this size.
 _SKETCH_SIZE = 4_000
+# Size of the distinct sketch: a unique key stays above the high-cardinality share.
+_DISTINCT_BITS = 14
 _BRACKET = (0.5 - 3 / _ACCURACY, 0.5 + 3 / _ACCURACY)
 _STEPS = 1000
 
@@ -121,8 +123,19 @@ def _sketches(df: DataFrame, pos: int, name: str, quick: bool, top: int) -> str:
 
 
 def approx_distinct(name: str, dt: T.DataType) -> str:
-    """SQL for the distinct sketch; nested values count by their text."""
-    return f"approx_count_distinct({sql_text(name, dt) if is_nested(dt) else sql_name(name)})"
+    """SQL for the distinct sketch, whose error is below one percent.
+
+    Whole numbers and texts count as they are, other values by their text. The extremes
+    settle what decisions hang on: one value is told from two exactly.
+    """
+    value = sql_text(name, dt) if is_nested(dt) else sql_name(name)
+    counted = value
+    if isinstance(dt, T.IntegralType):
+        counted = f"cast({value} as bigint)"
+    elif not isinstance(dt, (T.StringType, T.BinaryType)):
+        counted = sql_text(name, dt)
+    return (f"greatest(hll_sketch_estimate(hll_sketch_agg({counted}, {_DISTINCT_BITS})), "
+            f"if(min({value}) < max({value}), 2L, 0L))")
 
 
 def approx_median(x: str) -> str:
@@ -160,8 +173,8 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(pos, distinct_count, median_val)`` without bringing a column into one task.
 
     A percentile sketch brackets the median.  All values are counted once for distinct
-    counts and the ranks below the bracket; the few values inside it are cut into equal
-    steps, and only the steps that hold a middle rank are put in order.
+    counts and the ranks below the bracket; the few values inside it are cut into steps
+    of equally many values, and only the steps that hold a middle rank are put in order.
     """
     numeric = {i: c for i, c in enumerate(columns) if is_numeric(df.schema[c].dataType)}
     if not numeric:
@@ -197,15 +210,17 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return Window.partitionBy(*group).rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
 
-    step = F.when(high > low, F.least(
-        F.floor((x - low) / (high - low) * _STEPS), F.lit(_STEPS - 1))).otherwise(0)
     # The condition names ``n``, so it stays behind the counting, and the counted values
     # are read again instead of the table.
     within = F.when((x >= low) & (x <= high), F.col("n"))
-    inside = (
-        valued.where(F.coalesce(within, F.lit(0)) > 0)
-        .groupBy("pos", step.cast("int").alias("step"), "x").agg(F.sum("n").alias("n"))
-    )
+    bracketed = valued.where(F.coalesce(within, F.lit(0)) > 0).groupBy("pos", "x").agg(
+        F.sum("n").alias("n"))
+    # Steps hold equally many different values wherever those lie, so no window is large.
+    marks = ", ".join(f"{i / _STEPS}D" for i in range(1, _STEPS))
+    edges = bracketed.groupBy("pos").agg(
+        F.expr(f"approx_percentile(x, array({marks}), {_ACCURACY})").alias("edges"))
+    step = F.size(F.filter("edges", lambda e: e < F.col("x")))
+    inside = bracketed.join(edges, "pos").select("pos", step.alias("step"), "x", "n")
     steps = (
         inside.groupBy("pos", "step").agg(F.sum("n").alias("step_n"))
         .withColumn("upto", F.sum("step_n").over(running("pos").orderBy("step")))
@@ -242,7 +257,9 @@ def profile(
     """One row of statistics per column, in table order (``pos``).
 
     The default uses sketches for distinct counts and medians; nothing but a few bytes
-    per column is shuffled.  ``exact`` groups the values instead.  ``quick`` keeps null
+    per column is shuffled.  ``exact`` groups the values instead.  Extremes of floating
+    columns keep NaN and infinities, which the other statistics skip; medians of integers
+    beyond 2^53 are rounded to a double.  ``quick`` keeps null
     and distinct counts only.
     A sampled ``Scan`` reports the true ``row_count`` next to the scanned rows.
     ``top`` adds the most frequent values of non-numeric columns, from a sketch in the
@@ -278,11 +295,6 @@ def profile(
     )
 
 
-def is_wide(df: DataFrame) -> bool:
-    """Tables of fifty columns or more are profiled quickly unless asked otherwise."""
-    return len(df.columns) >= 50
-
-
 def approx_top_values(df: DataFrame, columns: Sequence[str] | str | None = None,
                       top: int = 5, tracked: int = TRACKED_VALUES) -> DataFrame:
     """Most frequent values per column from a sketch: one scan, no shuffle of values.

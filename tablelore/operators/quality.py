@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import fixed
 from ..functions.numbers import exact_round, fixed_text, share
@@ -79,17 +79,15 @@ def quality(
 ) -> DataFrame:
     """One row per column with null rate, uniqueness, extremes, signals and issues.
 
-    ``allowed`` maps a column to its permitted values; they are counted in the same
-    pass and the only thing that sets ``status`` to ``fail``.  ``row_count`` is the
+    ``allowed`` maps a column to its permitted values; a few of them are counted in the
+    same pass, many are joined to the counted values. They are the only thing that sets
+    ``status`` to ``fail``.  ``row_count`` is the
     number of rows scanned, so a sample reports its own size.
     """
     df = source.data if isinstance(source, Scan) else source
     names = pick_columns(df, columns)
     allowed = {c.lower(): v for c, v in (allowed or {}).items() if v}
-    for name, values in allowed.items():
-        if len(values) > LITERAL_VALUES:
-            raise ValueError(
-                f"{len(values)} allowed values for {name!r}; use invalid_values()")
+    large = {c: allowed.pop(c) for c in list(allowed) if len(allowed[c]) > LITERAL_VALUES}
     stats = per_column(df, names, lambda i, c: _checks(df, i, c, allowed.get(c.lower())),
                        batch_columns)
     second = per_column(df, names, lambda i, c: _sketched(df, i, c, not exact), batch_columns)
@@ -100,6 +98,16 @@ def quality(
         .withColumn("min_text", F.coalesce("min_text", "text_min"))
         .withColumn("max_text", F.coalesce("max_text", "text_max"))
     )
+    if large:
+        spark = df.sparkSession
+        listed = spark.createDataFrame([(c, str(v)) for c, vs in large.items() for v in vs],
+                                       "column_name string, value string")
+        counted = invalid_values(df, listed, [c for c in names if c.lower() in large]).select(
+            "pos", F.col("invalid_count").alias("outside"),
+            F.col("allowed_count").alias("listed"))
+        stats = stats.join(counted, "pos", "left").withColumns({
+            "invalid_count": F.coalesce("outside", "invalid_count"),
+            "allowed_count": F.coalesce(F.col("listed").cast("int"), "allowed_count")})
     rows = F.col("row_count")
     return (
         stats.withColumn("distinct_count", clamp_distinct(
@@ -123,15 +131,44 @@ def issue_text(invalid: Column, allowed: Column) -> Column:
     return F.format_string(fixed.INVALID_ISSUE, invalid.cast("string"), allowed.cast("string"))
 
 
+def _canonical(names: Sequence[str]) -> Column:
+    """The spelling of a column name in the table; null for other names."""
+    pairs = [F.lit(x) for c in names for x in (c.lower(), c)]
+    return F.element_at(F.create_map(*pairs), F.lower("column_name"))
+
+
+def _as_stored(df: DataFrame, names: Sequence[str]) -> Column:
+    """An allowed value in the text form that its column gives it; other texts stay."""
+    value = F.col("value")
+    by_type: dict[str, list[str]] = {}
+    for name in names:
+        dt = df.schema[name].dataType
+        if not is_text(dt) and not is_nested(dt):
+            by_type.setdefault(dt.simpleString(), []).append(name)
+    for kind, columns in by_type.items():
+        stored = F.col("value").try_cast(kind)
+        if isinstance(df.schema[columns[0]].dataType, T.IntegralType):
+            number = F.col("value").try_cast("decimal(38,10)")  # 2.0 is a whole number
+            stored = F.coalesce(stored, F.when(number == F.floor(number), number).try_cast(kind))
+        stored = stored.cast("string")
+        value = F.when(F.lower("column_name").isin(*[c.lower() for c in columns]),
+                       F.coalesce(stored, F.col("value"))).otherwise(value)
+    return value
+
+
 def invalid_values(df: DataFrame, allowed: DataFrame,
                    columns: Sequence[str] | str | None = None) -> DataFrame:
     """Check columns against a table of allowed values ``(column_name, value)``.
 
     The table's values are counted first, so the join sees one row per distinct value
     and no key is heavier than another.  Columns without allowed values do not appear.
+    Names match in any case, and values as the column has them: ``1.50`` allows ``1.5``
+    in a column of doubles.
     """
     names = pick_columns(df, columns)
-    permitted = allowed.select("column_name", "value").distinct()
+    permitted = allowed.select(_canonical(names).alias("column_name"),
+                               _as_stored(df, names).alias("value")).where(
+        F.col("column_name").isNotNull()).distinct()
     sizes = permitted.groupBy("column_name").agg(F.count("value").alias("allowed_count"))
     checked = (
         counts.text_counts(df, names)

@@ -24,24 +24,26 @@ def _grouped(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _totals(grouped: DataFrame, max_values: int) -> DataFrame:
+def _totals(grouped: DataFrame, max_values: int | None) -> DataFrame:
     return grouped.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias(
             "null_count"),
         F.count("value").alias("distinct_count"),
-    ).withColumn("truncated", F.col("distinct_count") > max_values)
+    ).withColumn("truncated", F.lit(False) if max_values is None
+                 else F.col("distinct_count") > max_values)
 
 
-def values_summary(df: DataFrame, column: str, max_values: int = 1000) -> DataFrame:
+def values_summary(df: DataFrame, column: str, max_values: int | None = None) -> DataFrame:
     """One row: total rows, nulls, distinct values, and whether a listing is cut."""
     return _totals(_grouped(df, column), max_values)
 
 
 def distinct_values(
-    df: DataFrame, column: str, max_values: int = 1000, sort: str = "value"
+    df: DataFrame, column: str, max_values: int | None = None, sort: str = "value"
 ) -> DataFrame:
-    """The most frequent distinct values with their counts and the column totals.
+    """All distinct values, or the ``max_values`` most frequent, with their counts and the
+    column totals.
 
     The rows are grouped once; the totals read the same grouped rows.  ``sort`` is
     ``"value"`` (by text form, so numbers sort as text) or ``"frequency"``.
@@ -50,12 +52,13 @@ def distinct_values(
         raise ValueError(f"sort must be 'value' or 'frequency', got {sort!r}")
     grouped = _grouped(df, column)
     totals = _totals(grouped, max_values).select(F.struct("*")).scalar()
-    # Null sorts behind every value, so the limit comes first and the grouped rows
-    # stay the same for the listing and the totals.
+    if max_values is not None:
+        # Null sorts behind every value, so the limit comes first and the grouped rows
+        # stay the same for the listing and the totals.
+        grouped = grouped.orderBy(F.col("value").isNull(), F.desc("n"), "value"
+                                  ).limit(max_values)
     listed = (
-        grouped.orderBy(F.col("value").isNull(), F.desc("n"), "value")
-        .limit(max_values)
-        .where(F.col("value").isNotNull())
+        grouped.where(F.col("value").isNotNull())
         .withColumn("_t", totals)
         .select("value", F.col("n").alias("count"), "_t.*")
     )

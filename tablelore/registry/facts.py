@@ -274,7 +274,11 @@ c as (select table_name, column_name,
       as listed,
     max(written_at) as written_at
   from dic group by table_name, column_name),
-t as (select table_name, count(*) as column_count, sum(described) as described,
+t as (select table_name, count(*) as column_count,
+    coalesce(string_agg(column_name, ';' order by column_name)
+      filter (where described = 0), '') as missing_descriptions,
+    coalesce(string_agg(column_name, ';' order by column_name)
+      filter (where dist > 1 and dist <= 20 and listed = 0), '') as missing_valid_values, sum(described) as described,
     count(*) filter (where dist > 1 and dist <= 20) as targets,
     count(*) filter (where dist > 1 and dist <= 20 and listed = 1) as listed,
     greatest(0.0, date_diff('microsecond', max(written_at), timestamp '{d.AS_OF}')
@@ -291,13 +295,16 @@ select table_name,
   column_count, cast(printf('%.1f', cast(dp as double)) as double) as column_description_pct,
   cast(printf('%.1f', cast(vp as double)) as double) as valid_values_coverage_pct,
   targets as valid_values_targets,
-  cast(printf('%.1f', cast(days as double)) as double) as freshness_days
+  cast(printf('%.1f', cast(days as double)) as double) as freshness_days,
+  missing_descriptions, missing_valid_values
 from p"""
 
 
 @query("facts_score", "F9", _SCORE_SQL)
 def _(spark, sf):
-    return f.completeness(d.dictionary(spark, sf), F.lit(d.AS_OF))
+    rows = f.completeness(d.dictionary(spark, sf), F.lit(d.AS_OF))
+    return rows.withColumns({c: F.concat_ws(";", c) for c in (
+        "missing_descriptions", "missing_valid_values")})
 
 
 @query("facts_score_average", "F9", f"""

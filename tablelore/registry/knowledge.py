@@ -9,7 +9,7 @@ from ..operators.columns import column_categories, columns_by_category
 from ..operators.profile import profile
 from ..sources.tables import catalog, enrich_catalog
 from .base import TABLES, profile_sql, quality_sql, query, read, read_all
-from .scans import LABELLED_COLUMNS, LABELLED_SQL, _catalog_sql, labelled
+from .scans import LABELLED_COLUMNS, LABELLED_SQL, _catalog_sql, _near, labelled
 
 # --- categories -------------------------------------------------------------------
 
@@ -44,6 +44,15 @@ for _table in ("lineitem", "orders", "events", "part"):
                                  ).select(*_CATEGORY)
 
 
+for _table in ("lineitem", "orders", "customer"):
+    @query(f"column_categories_default_{_table}", "K1 K2", f"""
+select column_name, column_type, role, category
+from ({_categories_sql(_table, TABLES[_table])})""")
+    def _(spark, sf, _t=_table):
+        return column_categories(profile(read(spark, sf, _t), quick=True)).select(
+            "column_name", "column_type", "role", "category")
+
+
 @query("column_categories_labelled", "K1 K2",
        _categories_sql(LABELLED_SQL, LABELLED_COLUMNS))
 def _(spark, sf):
@@ -187,7 +196,10 @@ select * from (values
 def _(spark, sf):
     # o_orderstatus is stored with the same list already, o_orderpriority with another.
     orders = read(spark, sf, "orders").withColumnRenamed("o_orderdate", "order_date")
-    return _flat(k.suggestions(orders, "orders", stored_facts(spark, sf)))
+    stored = stored_facts(spark, sf)
+    known = stored.where("field = 'description'").limit(1).withColumns({
+        "column_name": F.lit("Order_Date"), "value": F.lit("<description>")})
+    return _flat(k.suggestions(orders, "orders", stored.unionByName(known)))
 
 
 @query("catalog_enriched", "S9", f"""
@@ -289,9 +301,17 @@ def _(spark, sf):
     return _flat_context(rows).select(*_CONTEXT, "description", "pii", "temporal")
 
 
-@query("context_sketched_orders", "K9 A6 A9")
+@query("context_sketched_orders", "K9 A6 A9", f"""
+select c.column_name, c.column_type, c.total_rows, c.null_count, s.description, s.pii,
+  true as distinct_count_near, true as median_val_near
+from ({context_sql('orders', TABLES['orders'])}) c join ({STORED_SQL}) s using (column_name)
+""")
 def _(spark, sf):
-    return k.context(read(spark, sf, "orders"), "orders", stored_facts(spark, sf))
+    orders = read(spark, sf, "orders")
+    rows = k.context(orders, "orders", stored_facts(spark, sf))
+    near = _near(rows, profile(orders, exact=True), ("distinct_count", "median_val"))
+    return rows.select("column_name", "column_type", "total_rows", "null_count",
+                       "description", "pii").join(near, "column_name")
 
 
 @query("facts_from_context_events", "K6", "\nunion all\n".join([
@@ -318,20 +338,113 @@ def _(spark, sf):
                            exact=True).drop("ordinal", "nullable", "comment")
 
 
+_PLACES_SQL = """select cast(null as varchar) as column_name, field, value from (values
+  ('table_comment', ''), ('table_description', '<description>'), ('notes', ''),
+  ('data_owner', '<data_owner>'), ('update_frequency', '<update_frequency>')) v(field, value)"""
+
+
 @query("machine_facts_orders", "K8 F3", f"""
-with p as ({profile_sql('orders', TABLES['orders'])})
+with p as ({profile_sql('orders', TABLES['orders'])}),
+f as (select * from orders order by o_orderkey limit 3),
+s(column_name, sample_values) as (values {', '.join(
+    f"('{c}', (select string_agg(cast({c} as varchar), ', ' order by o_orderkey) from f))"
+    for c in TABLES['orders'])}),
+all_facts as (
 select column_name, 'distinct_count' as field, cast(distinct_count as varchar) as value
   from p
 union all select column_name, 'null_count', cast(null_count as varchar) from p
 union all select column_name, 'null_pct', cast(null_pct as varchar) from p
 union all select column_name, 'type', column_type from p
 union all select column_name, 'nullable', 'true' from p
+union all select column_name, 'primary_key',
+  cast(column_name = 'o_orderkey' as varchar) from p
 union all select column_name, 'description', '<description>' from p
 union all select column_name, 'max_length', cast(max_length as varchar) from p
-union all select column_name, 'min_length', cast(min_length as varchar) from p""")
+union all select column_name, 'min_length', cast(min_length as varchar) from p
+union all select column_name, 'sample_values', sample_values from s
+union all select null, 'row_count', cast(count(*) as varchar) from orders
+union all {_PLACES_SQL})
+select column_name, field, value, cast(null as double) as number from all_facts
+union all select column_name, 'min_val', null, min_val from p
+union all select column_name, 'max_val', null, max_val from p""")
 def _(spark, sf):
     rows = k.documentation(read(spark, sf, "orders"), "orders", order_by=["o_orderkey"],
                            exact=True)
-    return k.machine_facts(rows).where(
-        ~F.col("field").isin("min_val", "max_val", "sample_values")
-    ).select("column_name", "field", "value")
+    number = F.col("field").isin("min_val", "max_val")
+    return k.machine_facts(rows, primary_key=["O_OrderKey"]).select(
+        "column_name", "field", F.when(~number, F.col("value")).alias("value"),
+        F.when(number, F.col("value").cast("double")).alias("number"))
+
+
+@query("machine_facts_refreshed", "F3 K8", f"""
+select field, value from ({_PLACES_SQL}) where field <> 'table_description'
+union all select 'row_count', cast(count(*) as varchar) from orders
+union all select 'table_description', 'One row per order'""")
+def _(spark, sf):
+    from ..operators import facts as f
+
+    orders = read(spark, sf, "orders").select("o_orderkey")
+    stored = stored_facts(spark, sf)
+    fresh = k.machine_facts(k.documentation(orders, "orders", exact=True))
+    return f.refresh(stored, fresh).where(F.col("column_name").isNull()).select(
+        "field", "value")
+
+
+@query("values_with_facts_orders", "A10 K10", f"""
+select o_orderpriority as value, count(*) as count, 'How urgent the order is' as description,
+  {_ALLOWED_SQL} as valid_values, cast(null as varchar) as pii,
+  (select count(*) from orders) as total_rows
+from orders group by o_orderpriority""")
+def _(spark, sf):
+    rows = k.values_with_facts(read(spark, sf, "orders"), "O_OrderPriority",
+                               stored_facts(spark, sf), "Orders")
+    return rows.select("value", "count", "description",
+                       F.concat_ws(";", "valid_values").alias("valid_values"), "pii",
+                       "total_rows")
+
+
+@query("quality_typed_facts_orders", "K10 Q3", """
+with m as (select min(o_totalprice) as lo from orders)
+select 'o_custkey' as column_name, count(*) filter (where o_custkey not in (1, 2, 3)) as invalid_count,
+  case when count(*) filter (where o_custkey not in (1, 2, 3)) > 0 then 'fail' else 'ok' end as status
+from orders
+union all select 'o_orderdate', count(*) filter (where o_orderdate <>
+    (select min(o_orderdate) from orders)), 'fail' from orders
+union all select 'o_totalprice', count(*) filter (where o_totalprice <> lo),
+  case when count(*) filter (where o_totalprice <> lo) > 0 then 'fail' else 'ok' end
+from orders, m""")
+def _(spark, sf):
+    orders = read(spark, sf, "orders")
+    # Lists as a person writes them: other spelling of names and of numbers.
+    lists = orders.agg(
+        F.array(F.lit("1.0"), F.lit("2"), F.lit("03")).alias("O_CUSTKEY"),
+        F.array(F.min("o_totalprice").cast("decimal(20,6)").cast("string")).alias("o_TotalPrice"),
+        F.array(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd HH:mm:ss")).alias("o_orderdate"))
+    stored = lists.select(F.inline(F.array(*[
+        F.struct(F.lit("ORDERS").alias("table_name"), F.lit(c).alias("column_name"),
+                 F.lit("valid_values").alias("field"), F.lit(None).cast("string").alias("value"),
+                 F.col(c).alias("values"), F.lit(None).cast("string").alias("source"),
+                 F.lit(None).cast("double").alias("confidence"))
+        for c in lists.columns])))
+    return k.quality_with_facts(orders, stored, "orders", exact=True).where(
+        F.col("column_name").isin("o_custkey", "o_totalprice", "o_orderdate")).select(
+        "column_name", "invalid_count", "status")
+
+
+def _one_more_sql(n: int) -> str:
+    """A column with ``n`` values: listed up to the sample of ten, left out beyond."""
+    return f"""select 'n{n}' as column_name,
+  string_agg(distinct 'v' || lpad(cast(l_orderkey % {n} as varchar), 2, '0'), ';'
+    order by 'v' || lpad(cast(l_orderkey % {n} as varchar), 2, '0')) as valid_values
+from lineitem having {n} <= 10"""
+
+
+@query("facts_from_context_complete_sets", "K6", "\nunion all\n".join(
+    _one_more_sql(n) for n in range(8, 13)))
+def _(spark, sf):
+    lineitem = read(spark, sf, "lineitem").select(*[
+        F.concat(F.lit("v"), F.lpad((F.col("l_orderkey") % n).cast("string"), 2, "0")).alias(
+            f"n{n}") for n in range(8, 13)])
+    rows = k.facts_from_context(k.context(lineitem, "t", sample_values=10), "t")
+    return rows.where("field = 'valid_values'").select(
+        "column_name", F.concat_ws(";", "values").alias("valid_values"))

@@ -13,12 +13,24 @@ from .scans import (
 )
 
 
+def _others_sql() -> str:
+    """The columns of all tables but orders: a join candidate has the same name in one."""
+    return " union all ".join(f"select column_name from (describe select * from {t})"
+                              for t in TABLES if t != "orders")
+
+
 @query("table_report_orders", "K11", f"""
 with q as ({quality_sql('orders', TABLES['orders'])}),
 s as ({STORED_SQL})
 select q.column_name, q.row_count, q.null_count, q.distinct_count, q.signals,
-  case when q.column_name = 'o_orderpriority' then 'fail' else 'ok' end as status,
-  s.description, cast(0 as bigint) as join_count
+  case when (q.column_name = 'o_orderpriority' and exists (select 1 from orders
+      where o_orderpriority not in (select unnest(string_split(valid_values, ';')) from s
+        where column_name = 'o_orderpriority')))
+    or (q.column_name = 'o_orderstatus' and exists (select 1 from orders
+      where o_orderstatus not in (select unnest(string_split(valid_values, ';')) from s
+        where column_name = 'o_orderstatus'))) then 'fail' else 'ok' end as status,
+  s.description, (select count(*) from ({_others_sql()}) o
+    where lower(o.column_name) = lower(q.column_name)) as join_count
 from q join s using (column_name)""")
 def _(spark, sf):
     parts = recipes.table_report(read_all(spark, sf), "orders", stored_facts(spark, sf),
@@ -115,29 +127,51 @@ def _(spark, sf):
 _SNAPSHOT_SQL = f"""(select count(*) from events where ts < timestamp '{d.MIDDLE}')"""
 
 
+_SPARK_TYPE_SQL = """case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int'
+  when 'VARCHAR' then 'string' when 'DOUBLE' then 'double' when 'FLOAT' then 'float'
+  when 'BOOLEAN' then 'boolean' else 'timestamp_ntz' end"""
+
+
+def _columns_sql(table: str) -> str:
+    """Names and Spark types of a table's columns, as SQL reads them."""
+    return f"""select column_name, {_SPARK_TYPE_SQL} as data_type
+  from (describe select * from {table})"""
+
+
+def _change_sql(left: str, right: str) -> str:
+    """Columns of two listings, and how the right one differs."""
+    return f"""select coalesce(l.column_name, r.column_name) as column_name,
+  case when l.column_name is null then 'added' when r.column_name is null then 'removed'
+    when l.data_type <> r.data_type then 'changed' else 'unchanged' end as change
+from ({left}) l full join ({right}) r using (column_name)"""
+
+
+_SNAPSHOT_COLUMNS = (
+    ("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "int"),
+    ("event_type", "string"), ("value", "double"), ("session", "string"))
+
+
 @query("table_investigate_events", "K15 D2", f"""
 with q as ({quality_sql('events', TABLES['events'])}),
-v as ({_values_sql('events', 'event_type', 20)})
-select q.column_name, q.row_count, q.signals,
-  case q.column_name when 'props' then 'added' when 'user_id' then 'changed'
-    else 'unchanged' end as change,
+v as ({_values_sql('events', 'event_type', 20)}),
+snap(column_name, data_type) as (values {", ".join(map(str, _SNAPSHOT_COLUMNS))}),
+c as ({_change_sql('select * from snap', _columns_sql('events'))})
+select c.column_name, q.row_count, q.signals, c.change,
   (select count(*) from events) - {_SNAPSHOT_SQL} as row_count_delta,
   (select count(*) from v) as focus_values
-from q
-union all select 'session', null, null, 'removed',
-  (select count(*) from events) - {_SNAPSHOT_SQL}, (select count(*) from v)""")
+from c left join q using (column_name)""")
 def _(spark, sf):
     events = read(spark, sf, "events")
-    columns = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "int"),
-               ("event_type", "string"), ("value", "double"), ("session", "string")]
     snapshot = events.where(F.col("ts") < d.middle()).agg(
         F.max("ts").alias("taken_at"), F.count(F.lit(1)).alias("row_count")
     ).select(
         "taken_at", "row_count", F.lit("events").alias("table_name"), F.lit(True).alias(
             "nullable"),
         F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("data_type"))
-                           for c, t in columns])))
-    parts = recipes.table_investigate(events, "events", snapshots=snapshot,
+                           for c, t in _SNAPSHOT_COLUMNS])))
+    # The newest snapshots of many other tables lie in the same place.
+    parts = recipes.table_investigate(events, "events",
+                                      snapshots=snapshot.unionByName(d.snapshots(spark, sf)),
                                       focus="event_type", exact=True)
     focus = parts["values"].agg(F.count(F.lit(1))).scalar()
     quality = parts["quality"].select("column_name", "row_count", F.concat_ws(
@@ -146,16 +180,20 @@ def _(spark, sf):
         quality, "column_name", "left").withColumn("focus_values", focus)
 
 
-@query("schema_compare_halves", "K16 D1 D4 D5", """
-select 'orders' as pair, (select count(*) from orders) as right_rows,
-  'o_orderkey' as column_name, 'unchanged' as change
-union all select 'orders', (select count(*) from orders), 'o_custkey', 'changed'
-union all select 'orders', (select count(*) from orders), 'o_totalprice', 'removed'
-union all select 'orders', (select count(*) from orders), 'o_year', 'added'
-union all select 'join o_orderkey = o_orderkey', (select count(*) from orders),
-  'exact_name', '0.9'
-union all select 'join o_custkey = o_custkey', (select count(*) from orders),
-  'exact_name', '0.5'""")
+_LEFT_SQL = "(select o_orderkey, o_custkey, o_totalprice from orders)"
+_RIGHT_SQL = """(select o_orderkey, cast(o_custkey as varchar) as o_custkey,
+  cast(year(o_orderdate) as integer) as o_year from orders)"""
+
+
+@query("schema_compare_halves", "K16 D1 D4 D5", f"""
+with l as ({_columns_sql(_LEFT_SQL)}), r as ({_columns_sql(_RIGHT_SQL)}),
+n as (select count(*) as right_rows from {_RIGHT_SQL})
+select 'orders' as pair, right_rows, column_name, change
+from ({_change_sql('select * from l', 'select * from r')}), n
+union all
+select 'join ' || l.column_name || ' = ' || r.column_name, right_rows, 'exact_name',
+  case when l.data_type = r.data_type then '0.9' else '0.5' end
+from l join r using (column_name), n""")
 def _(spark, sf):
     orders = read(spark, sf, "orders")
     left = orders.select("o_orderkey", "o_custkey", "o_totalprice")
@@ -172,12 +210,22 @@ def _(spark, sf):
     ).withColumn("right_rows", rows)
 
 
+def _null_columns_sql(table: str, columns) -> str:
+    return " union all ".join(f"select '{c}' as column_name, count(*) - count({c}) as nulls "
+                              f"from {table}" for c in columns)
+
+
 @query("migration_check_labels", "D4 D5 Q7 K16", f"""
-with n as (select (select count(*) from labels) as b, (select count(*) from {LABELLED_SQL}) as a)
+with n as (select (select count(*) from labels) as b, (select count(*) from {LABELLED_SQL}) as a),
+c as ({_change_sql(_columns_sql('labels'), _columns_sql(LABELLED_SQL))}),
+w as (select count(*) as worse from ({_null_columns_sql('labels', TABLES['labels'])}) x
+  join ({_null_columns_sql(LABELLED_SQL, TABLES['labels'])}) y using (column_name)
+  where y.nulls > x.nulls)
 select b as before_rows, a as after_rows, abs(a - b) * cast(100 as double) / b as drift_pct,
   abs(a - b) * cast(100 as double) / b <= 1.0 as passed,
-  cast(4 as bigint) as added, cast(0 as bigint) as removed,
-  cast(2 as bigint) as columns_with_new_nulls from n""")
+  (select count(*) from c where change = 'added') as added,
+  (select count(*) from c where change = 'removed') as removed,
+  worse as columns_with_new_nulls from n, w""")
 def _(spark, sf):
     parts = recipes.migration_check(read(spark, sf, "labels"), labelled(spark, sf))
     counted = parts["schema"].agg(F.struct(

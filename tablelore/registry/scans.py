@@ -232,9 +232,23 @@ def _(spark, sf):
                    ).withColumn("median_val", F.round("median_val", 4)).select(*_PROFILE)
 
 
-@query("profile_approx_lineitem", "A4 A6")
+def _near(rows, exact, columns, error=0.05):
+    """Whether sketched numbers are within the error of the exact ones, per column."""
+    own = rows.select("column_name", *columns)
+    true = exact.select("column_name", *(F.col(c).alias(f"true_{c}") for c in columns))
+    return own.join(true, "column_name").select("column_name", *(
+        F.coalesce(F.abs(F.col(c) - F.col(f"true_{c}")) <= error * F.abs(F.col(f"true_{c}")),
+                   F.col(c).eqNullSafe(F.col(f"true_{c}"))).alias(f"{c}_near")
+        for c in columns))
+
+
+@query("profile_approx_lineitem", "A4 A6", f"""
+select column_name, true as distinct_count_near, true as median_val_near
+from ({profile_sql("lineitem", TABLES["lineitem"])})""")
 def _(spark, sf):
-    return profile(read(spark, sf, "lineitem"))
+    lineitem = read(spark, sf, "lineitem")
+    return _near(profile(lineitem), profile(lineitem, exact=True),
+                 ("distinct_count", "median_val"))
 
 
 # --- values -----------------------------------------------------------------------
@@ -273,9 +287,14 @@ def _(spark, sf):
         "value", "count", "total_rows")
 
 
-@query("approx_top_lineitem", "A9")
+@query("approx_top_lineitem", "A9", f"""
+with t as ({_top_sql("lineitem", ("l_returnflag", "l_linestatus", "l_linenumber"), 5)})
+select column_name, value, count, total_rows from t""")
 def _(spark, sf):
-    return approx_top_values(read(spark, sf, "lineitem"), top=5)
+    lineitem = read(spark, sf, "lineitem")
+    # Fewer values than the sketch has slots: its counts are exact.
+    return approx_top_values(lineitem, "l_returnflag,l_linestatus,l_linenumber", top=5
+                             ).select("column_name", "value", "count", "total_rows")
 
 
 @query("sample_values_part", "A15 U2", "\nunion all\n".join(f"""
@@ -298,6 +317,14 @@ select value, count,
 from g where value is not null order by count desc, value limit {most}"""
 
 
+@query("values_custkey_all", "A10 L4", """
+select o_custkey as value, count(*) as count, (select count(distinct o_custkey) from orders)
+  as distinct_count, false as truncated from orders group by o_custkey""")
+def _(spark, sf):
+    return distinct_values(read(spark, sf, "orders"), "o_custkey").select(
+        "value", "count", "distinct_count", "truncated")
+
+
 @query("values_event_type", "A10 L3", _values_sql("events", "event_type", 1000))
 def _(spark, sf):
     return distinct_values(read(spark, sf, "events"), "EVENT_TYPE")

@@ -17,7 +17,7 @@ from ..operators.quality import invalid_values, quality
 from ..sources.tables import catalog, open_tables
 from . import derived as d
 from .base import TABLES, quality_sql, query, read, read_all
-from .scans import LABELLED_COLUMNS, LABELLED_SQL, _catalog_sql, labelled
+from .scans import LABELLED_COLUMNS, LABELLED_SQL, _catalog_sql, _near, labelled
 
 # --- quality ----------------------------------------------------------------------
 
@@ -51,9 +51,31 @@ def _(spark, sf):
     return _flat(quality(read(spark, sf, "orders"), exact=True, allowed=_PRIORITIES))
 
 
-@query("quality_approx_lineitem", "Q1 A4")
+@query("quality_approx_lineitem", "Q1 A4", f"""
+select column_name, row_count, null_count, status, true as distinct_count_near
+from ({quality_sql("lineitem", TABLES["lineitem"])})""")
 def _(spark, sf):
-    return quality(read(spark, sf, "lineitem"))
+    lineitem = read(spark, sf, "lineitem")
+    rows = quality(lineitem)
+    near = _near(rows, quality(lineitem, exact=True), ("distinct_count",))
+    return rows.select("column_name", "row_count", "null_count", "status").join(
+        near, "column_name")
+
+
+# More allowed values than a scan carries as literals, two thirds of all keys.
+_MANY_KEYS = [n for n in range(6000) if n % 3]
+
+
+@query("quality_many_allowed_orders", "Q3", """
+select 'o_custkey' as column_name, count(*) as row_count,
+  count(*) filter (where o_custkey % 3 = 0 or o_custkey >= 6000) as invalid_count,
+  case when count(*) filter (where o_custkey % 3 = 0 or o_custkey >= 6000) > 0
+    then 'fail' else 'ok' end as status
+from orders""")
+def _(spark, sf):
+    rows = quality(read(spark, sf, "orders"), "o_custkey", exact=True,
+                   allowed={"O_CustKey": _MANY_KEYS})
+    return rows.select("column_name", "row_count", "invalid_count", "status")
 
 
 _ALLOWED_SQL = """

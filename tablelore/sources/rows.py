@@ -79,13 +79,13 @@ def scratch(df: DataFrame, name: str, rows: int,
     return df.sparkSession.table(view)
 
 
-def capped_query(spark: SparkSession, sql: str, limit: int = 1000) -> DataFrame:
-    """Any SELECT under an outer row limit; 0 removes the limit."""
+def capped_query(spark: SparkSession, sql: str, limit: int = 0) -> DataFrame:
+    """Any SELECT, whole or under an outer row limit; 0 is no limit."""
     df = spark.sql(sql.rstrip().rstrip(";"))
     return df.limit(limit) if limit > 0 else df
 
 
-def capped_query_summary(spark: SparkSession, sql: str, limit: int = 1000) -> DataFrame:
+def capped_query_summary(spark: SparkSession, sql: str, limit: int = 0) -> DataFrame:
     """Rows returned by a capped query and whether the limit was reached."""
     counted = capped_query(spark, sql, limit).agg(F.count(F.lit(1)).alias("row_count"))
     reached = F.col("row_count") >= limit if limit > 0 else F.lit(False)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Rows of a few numbers or names that every executor may hold.
+SMALL_TABLE_ROWS = 1_000_000
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -32,3 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_or_whole(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """A narrow written table, marked for broadcast if it has at most ``rows`` rows.
+
+    Beyond that a join shuffles both sides. Written, because its rows are counted here.
+    """
+    return F.broadcast(table) if table.count() <= rows else table

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablelore.operators import facts as f
 from tablelore.operators import knowledge as k
+from tablelore.operators.columns import column_categories
 from tablelore.operators.profile import profile
 from tablelore.operators.quality import quality
 from tablelore.plans import recipes
@@ -241,6 +242,9 @@ def test_suggestions_are_new_only(spark, facts):
                     ("b", "valid_values", ["mine"], None, 0),
                     ("c", "valid_values", ["s0"], 0.8, 0)])
     assert set(flat(k.suggestions(df, "t", stored))) == {("c", "valid_values")}
+    # a column that the store does not know gets none
+    unknown = df.withColumn("e", F.col("b"))
+    assert set(flat(k.suggestions(unknown, "t", stored))) == {("c", "valid_values")}
     assert set(flat(k.suggestions(df, "t", stored, force=True))) == {
         ("b", "valid_values"), ("c", "valid_values")}
 
@@ -274,6 +278,43 @@ def test_context_samples(frame):
     assert got == {("s", "valid_values"): ["a", "b"]}
 
 
+def test_sets_are_complete_only_if_one_more_was_asked_for(spark):
+    # Columns with 6 to 20 values each, ten of which are sampled.
+    sizes = {f"n{n}_{i}": n for n in range(6, 21) for i in range(14)}
+    df = spark.range(400).select(*[
+        F.concat(F.lit(f"{c}v"), F.col("id") % n).alias(c) for c, n in sizes.items()])
+    got = flat(k.facts_from_context(k.context(df, "t", sample_values=10), "t"))
+    assert {c for c, _ in got} == {c for c, n in sizes.items() if n <= 10}
+    assert all(len(v) == sizes[c] for (c, _), v in got.items())
+
+
+def test_default_categories_are_those_of_the_exact_profile(spark):
+    df = spark.range(20_000).select(
+        *[(F.xxhash64("id", F.lit(i)) % 1_000_000_007 * 20_000 + F.col("id")).alias(f"key{i}")
+          for i in range(20)],
+        *[F.concat(F.lit(f"x{i}"), F.col("id") % 2).alias(f"two{i}") for i in range(100)],
+        F.lit("one").alias("one"))
+    got = {r.column_name: r.category for r in column_categories(profile(df, quick=True)).collect()}
+    assert {got[f"key{i}"] for i in range(20)} == {"high_cardinality"}
+    assert "constant" not in {got[f"two{i}"] for i in range(100)} and got["one"] == "constant"
+
+
+def test_stored_lists_hold_for_every_type_and_spelling(spark):
+    df = spark.sql("select cast(1.5 as decimal(10,2)) d, cast(2.5 as double) f, 3 i, 's' s, "
+                   "timestamp_ntz'2024-01-02 00:00:00' ts, true b")
+    lists = {"D": ["1.5"], "f": ["2.50"], "I": ["3.0"], "S": ["s"], "TS": ["2024-01-02"],
+             "B": ["TRUE"]}
+    for wrong in (False, True):
+        stored = spark.createDataFrame(
+            [("T", c, "valid_values", None, ["7"] if wrong else v, None, None)
+             for c, v in lists.items()],
+            "table_name string, column_name string, field string, value string, "
+            "values array<string>, source string, confidence double")
+        rows = by(k.quality_with_facts(df, stored, "t", exact=True), "column_name")
+        assert {r["status"] for r in rows.values()} == {"fail" if wrong else "ok"}, rows
+        assert all(r["valid_values"] for r in rows.values())
+
+
 def test_documentation_becomes_facts(frame):
     df = frame("id int, s string", [(1, "x"), (2, None), (3, "z"), (4, "w")])
     rows = by(k.documentation(df, "t", order_by=["id"], exact=True), "column_name")
@@ -281,6 +322,8 @@ def test_documentation_becomes_facts(frame):
     assert rows["id"]["max_val"] == 4.0 and rows["s"]["null_count"] == 1
     got = flat(k.machine_facts(k.documentation(df, "t", exact=True)))
     assert got["id", "distinct_count"] == "4" and got["s", "description"] == "<description>"
+    assert got[None, "row_count"] == "4" and got[None, "data_owner"] == "<data_owner>"
+    assert got["id", "primary_key"] == "false"
 
 
 def test_recipes_have_their_parts(frame, facts):

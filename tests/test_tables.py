@@ -88,8 +88,8 @@ def test_preview_sort_and_select(spark):
 
 
 def test_capped_query(spark):
-    assert capped_query(spark, "select * from range(2000);").count() == 1000
-    assert capped_query(spark, "select * from range(2000)", 0).count() == 2000
+    assert capped_query(spark, "select * from range(2000);").count() == 2000
+    assert capped_query(spark, "select * from range(2000)", 1000).count() == 1000
     got = [capped_query_summary(spark, "select * from range(10)", n).collect()[0]
            for n in (5, 10, 20, 0)]
     assert [(r.row_count, r.limited) for r in got] == [
