@@ -19,9 +19,9 @@ from tablelore.llm import (
     packing,
     quality_rules,
 )
-from tablelore.llm.frames import fresh, small_or_whole
+from tablelore.llm.frames import fresh
 from tablelore.llm.queries import fold, table, tokenizer_file
-from tablelore.llm.store import shared_folder, written
+from tablelore.store import shared_folder, small_or_whole, written
 
 #: Below this a text is as near to a second language as to the first.
 LEAST_LANGUAGE_SCORE = 0.505

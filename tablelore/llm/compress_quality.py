@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import samples
 from .batches import portions
-from .workers import ship
+from .workers import ship, tidy
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ class CompressionModel:
         @F.arrow_udf("double")
         def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = shared.value
-            for batch in batches:
+            for batch in tidy(batches):
                 yield pa.array(model.score(model._texts(batch)), pa.float64())
 
         return score(text)
@@ -108,7 +108,7 @@ class CompressionModel:
 
         @F.arrow_udf("array<double>")
         def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
+            for batch in tidy(batches):
                 yield pa.array(list(shared.value._texts(batch)), pa.list_(pa.float64()))
 
         return measure(text)

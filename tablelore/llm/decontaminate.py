@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import portions
-from .workers import ship
+from .workers import ship, tidy
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,7 @@ def match_column(spark, text: Column, items: tuple[tuple[int, str], ...],
     @F.arrow_udf(_MATCHES)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         finder = _finder(shared.value, settings)
-        for batch in batches:
+        for batch in tidy(batches):
             rows = []
             for low, high in portions(batch):
                 for text in batch[low:high].to_pylist():

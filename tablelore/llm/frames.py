@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Rows of a few numbers that every executor may hold.
-SMALL_TABLE_ROWS = 1_000_000
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -16,10 +12,3 @@ def fresh(df: DataFrame, name: str) -> str:
         name = f"_{name}"
     return name
 
-
-def small_or_whole(written: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """A written table of a few numbers, marked for broadcast if it has at most ``rows`` rows.
-
-    Beyond that a join shuffles both sides. Written, because its rows are counted here.
-    """
-    return F.broadcast(written) if written.count() <= rows else written

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import portions
-from .workers import ship
+from .workers import ship, tidy
 
 #: Elements that begin and end a line.
 _BLOCKS = frozenset("""
@@ -296,7 +296,7 @@ def text_column(spark, html: Column, settings: Settings = Settings()) -> Column:
 
     @F.arrow_udf(_RESULT)
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             texts = [main_text(page, settings) for begin, end in portions(batch)
                      for page in batch[begin:end].to_pylist()]
             yield pa.StructArray.from_arrays(

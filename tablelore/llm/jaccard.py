@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..store import small_or_whole, written
 from .batches import in_portions
 from .components import components
-from .frames import small_or_whole
-from .store import written
 from .tokens import Memory
-from .workers import ship
+from .workers import ship, tidy
 
 _BITS = 1024
 _U64 = np.uint64
@@ -182,7 +181,7 @@ def _set_rows(settings: Settings):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen = WordHashes(), set()
-        for batch in in_portions(batches, "text", 1_000_000):
+        for batch in in_portions(tidy(batches), "text", 1_000_000):
             sizes, set1, set2, bits, entries = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(words_of(text), settings.words, memory)
@@ -227,7 +226,7 @@ def _verify(settings: Settings):
                     known.popitem(last=False)
             return known[node]
 
-        for batch in batches:
+        for batch in tidy(batches):
             a, b = [], []
             for i in range(batch.num_rows):
                 left, right, one, two = (batch.column(c)[i].as_py() for c in range(4))

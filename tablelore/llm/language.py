@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import samples
 from .batches import portions
 from .frames import fresh
-from .workers import ship
+from .workers import ship, tidy
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -42,7 +42,7 @@ class Settings:
 
     texts: int = 400
     bytes_per_text: int = 240
-    total_bytes: int = 96_000
+    total_bytes: int = 80_000
     block: int = 256
     seed: int = 4
 
@@ -101,15 +101,20 @@ class CrossParser:
         tables, self._starts, offset = [], [], 0
         for _, text in texts:
             step = suffix_automaton(text)
-            table = np.full((len(step), width), -1, dtype=np.int64)
-            for state, after in enumerate(step):
-                for byte, target in after.items():
+            table = np.full((len(step), width), -1, dtype=np.int32)
+            for state in range(len(step)):
+                for byte, target in step[state].items():
                     table[state, code[byte]] = target
+                if state:
+                    step[state] = {}  # done with
             first = np.where(table[0] >= 0, table[0], 0)
             missing = table < 0
-            after = (np.where(missing, first[None, :], table) + offset) * width * 2 + missing
-            after[:, self._end] = (np.arange(len(step)) + offset) * width * 2
-            tables.append(after.astype(np.int32))
+            np.copyto(table, first[None, :], where=missing)
+            table[:, self._end], missing[:, self._end] = np.arange(len(step)), False
+            table += offset
+            table *= width * 2
+            table += missing
+            tables.append(table)
             self._starts.append(offset * width)
             offset += len(step)
         self._table = np.concatenate(tables).ravel()
@@ -177,7 +182,7 @@ class LanguageModel:
 
         @F.arrow_udf(_RESULT)
         def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
+            for batch in tidy(batches):
                 names: list[str] = []
                 scores: list[float] = []
                 for begin, end in portions(batch, 1_000_000):

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..store import written
 from .batches import in_portions
-from .store import written
 from .tokens import WordIds
-from .workers import ship
+from .workers import ship, tidy
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, *, key: str = "doc_id",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds(shared.value)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in in_portions(batches, "text"):
+        for batch in in_portions(tidy(batches), "text"):
             out: list[list] = [[], [], [], [], []]
             for doc, content in zip(batch.column("key").to_pylist(),
                                     batch.column("text").to_pylist(), strict=True):

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from . import samples
 from .batches import portions
 from .frames import fresh
-from .workers import ship
+from .workers import ship, tidy
 
 WINDOW = 5
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
@@ -106,7 +106,7 @@ def count_column(spark, text: Column) -> Column:
 
     @F.arrow_udf(_RESULT)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in tidy(batches):
             parts = [count_texts(batch[b:e].to_pylist()) for b, e in portions(batch)]
             yield pa.StructArray.from_arrays(
                 [pa.array(np.concatenate([p[n] for p in parts]) if parts else [], pa.int64())

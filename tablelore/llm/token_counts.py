@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .batches import portions
 from .tokens import PieceCounts
-from .workers import ship
+from .workers import ship, tidy
 
 _FIELDS = ("n_words", "n_tokens", "n_unknown", "longest_word")
 _RESULT = T.StructType([T.StructField(n, T.LongType()) for n in _FIELDS])
@@ -46,7 +46,7 @@ def count_column(spark, text: Column, vocabulary: tuple[bytes, ...]) -> Column:
     @F.arrow_udf(_RESULT)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counts = _counts(shared.value)
-        for batch in batches:
+        for batch in tidy(batches):
             rows = [measure(t, counts) for begin, end in portions(batch)
                     for t in batch[begin:end].to_pylist()]
             yield pa.StructArray.from_arrays(
