@@ -128,7 +128,7 @@ def approx_distinct(name: str, dt: T.DataType) -> str:
     Whole numbers and texts count as they are, other values by their text. The extremes
     settle what decisions hang on: one value is told from two exactly.
     """
-    value = sql_text(name, dt) if is_nested(dt) else sql_name(name)
+    value = sql_name(name) if is_orderable(dt) and not is_nested(dt) else sql_text(name, dt)
     counted = value
     if isinstance(dt, T.IntegralType):
         counted = f"cast({value} as bigint)"
