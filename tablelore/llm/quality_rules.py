@@ -9,6 +9,7 @@ aside. The ordered rules are a Spark conditional expression over the statistics.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -143,8 +144,8 @@ Rule = tuple[Condition, ...]
 class Settings:
     """Bounds of the sample, of rules and conditions, and how right a rule must be.
 
-    A rule must cover ``least_cover`` bad texts and ``least_share`` of them all: what only
-    a few texts show is no rule.
+    A rule must cover ``least_cover`` bad texts, however few of all bad texts they are, and
+    more of them than ``chance`` allows for the best of all rules of its length.
     """
 
     texts: int = 4000
@@ -153,7 +154,7 @@ class Settings:
     thresholds: int = 64
     precision: float = 0.9
     least_cover: int = 3
-    least_share: float = 0.02
+    chance: float = 0.01
     seed: int = 8
 
 
@@ -183,30 +184,41 @@ def _covered(rule: Rule, features: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _grow(features: pd.DataFrame, bad: np.ndarray, weight: np.ndarray,
+def _gains(features: pd.DataFrame, bad: np.ndarray, weight: np.ndarray, inside: np.ndarray,
+           settings: Settings) -> list[tuple[float, Condition]]:
+    """The condition of each feature and direction that gains most, the best of all first."""
+    out: list[tuple[float, Condition]] = []
+    p0, n0 = weight[inside & bad].sum(), weight[inside & ~bad].sum()
+    for name in FEATURES:
+        value = features[name].to_numpy()
+        some = np.unique(np.quantile(value[inside & bad], np.linspace(0, 1, settings.thresholds),
+                                     method="inverted_cdf"))
+        for at_least in (True, False):
+            best: tuple[float, Condition] | None = None
+            for threshold in some:
+                condition = Condition(name, at_least, float(threshold))
+                hit = inside & condition.holds(features)
+                p, n = weight[hit & bad].sum(), weight[hit & ~bad].sum()
+                if p:
+                    gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
+                    if gain > (best[0] if best else 0) + 1e-9:
+                        best = gain, condition
+            if best is not None:
+                out.append(best)
+    return sorted(out, key=lambda g: -g[0])
+
+
+def _grow(first: Condition, features: pd.DataFrame, bad: np.ndarray, weight: np.ndarray,
           settings: Settings) -> Rule:
     """Conditions added one by one, each the one with the largest information gain."""
-    rule: list[Condition] = []
-    inside = np.ones(len(bad), dtype=bool)
+    rule = [first]
+    inside = first.holds(features)
     while len(rule) < settings.conditions and (inside & ~bad).any():
-        p0, n0 = weight[inside & bad].sum(), weight[inside & ~bad].sum()
-        best: tuple[float, Condition] | None = None
-        for name in FEATURES:
-            value = features[name].to_numpy()
-            some = np.unique(np.quantile(value[inside & bad], np.linspace(0, 1, settings.thresholds)))
-            for at_least in (True, False):
-                for threshold in some:
-                    condition = Condition(name, at_least, float(threshold))
-                    hit = inside & condition.holds(features)
-                    p, n = weight[hit & bad].sum(), weight[hit & ~bad].sum()
-                    if p:
-                        gain = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))
-                        if best is None or gain > best[0] + 1e-9:
-                            best = gain, condition
-        if best is None or best[0] <= 1e-9:
+        gains = _gains(features, bad, weight, inside, settings)
+        if not gains:
             break
-        rule.append(best[1])
-        inside &= best[1].holds(features)
+        rule.append(gains[0][1])
+        inside &= gains[0][1].holds(features)
     return tuple(rule)
 
 
@@ -228,28 +240,72 @@ def _shortest(rule: Rule) -> Rule:
     return tuple(last.values())
 
 
+def _widened(rule: Rule, features: pd.DataFrame, bad: np.ndarray) -> Rule:
+    """The rule with each threshold half way to the next good text that it keeps out."""
+    out = list(rule)
+    for i, c in enumerate(rule):
+        near = features[c.feature].to_numpy()[
+            ~bad & ~c.holds(features) & _covered((*out[:i], *out[i + 1:]), features)]
+        if len(near):
+            edge = near.max() if c.at_least else near.min()
+            out[i] = Condition(c.feature, c.at_least, float((c.threshold + edge) / 2))
+    return tuple(out)
+
+
+def _by_chance(covered: int, bad_covered: int, rows: int, bad: int) -> float:
+    """Log of the chance that ``covered`` rows drawn blindly hold so many bad ones or more."""
+    def ways(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    terms = [ways(bad, k) + ways(rows - bad, covered - k) - ways(rows, covered)
+             for k in range(max(bad_covered, covered - rows + bad), min(covered, bad) + 1)]
+    return max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms))
+
+
+def _accepted(rule: Rule, hit: np.ndarray, left: np.ndarray, bad: np.ndarray,
+              weight: np.ndarray, settings: Settings) -> bool:
+    """Whether a rule covers enough bad texts, is right often enough, and not by chance."""
+    right, wrong = weight[hit & bad].sum(), weight[hit & ~bad].sum()
+    found = int((hit & bad).sum())
+    if found < settings.least_cover or right < settings.precision * (right + wrong):
+        return False
+    tried = len(rule) * math.log(2 * settings.thresholds * len(FEATURES))
+    return tried + _by_chance(int(hit.sum()), found, int(left.sum()),
+                              int((left & bad).sum())) <= math.log(settings.chance)
+
+
 def cover(features: pd.DataFrame, bad: np.ndarray, weight: np.ndarray,
           settings: Settings = Settings()) -> DecisionList:
-    """A decision list for the rows marked ``bad``; every third row only serves to prune."""
+    """A decision list for the rows marked ``bad``; every third row only serves to prune.
+
+    Where a rule is refused, the next one begins with another condition; if none is
+    accepted, the bad rows of the first no longer grow rules, so others are looked for.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), dtype=bool)
+    refused = np.zeros(len(bad), dtype=bool)
     prunes = np.arange(len(bad)) % 3 == 2
-    least = max(settings.least_cover, settings.least_share * bad.sum())
     while len(rules) < settings.rules:
-        grow, check = left & ~prunes, left & prunes
-        if not (bad & grow).any():
-            break
-        rule = _grow(features[grow], bad[grow], weight[grow], settings)
-        if not rule:
-            break
-        if (bad & check).any():
-            rule = _prune(rule, features[check], bad[check], weight[check])
-        hit = left & _covered(rule, features)
-        right, wrong = weight[hit & bad].sum(), weight[hit & ~bad].sum()
-        if (hit & bad).sum() < least or right < settings.precision * (right + wrong):
+        grow, check = left & ~refused & ~prunes, left & ~refused & prunes
+        if not (bad & grow).any() or not (~bad & grow).any():
             break
-        rules.append(_shortest(rule))
-        left &= ~hit
+        of = features[grow], bad[grow], weight[grow]
+        missed = None
+        for _, first in _gains(*of, np.ones(grow.sum(), dtype=bool), settings):
+            rule = _grow(first, *of, settings)
+            if (bad & check).any():
+                rule = _prune(rule, features[check], bad[check], weight[check])
+            rule = _widened(_shortest(rule), features[left], bad[left])
+            hit = left & _covered(rule, features)
+            if _accepted(rule, hit, left, bad, weight, settings):
+                rules.append(rule)
+                left &= ~hit
+                break
+            missed = hit & bad if missed is None else missed
+        else:
+            if missed is None:
+                break
+            refused |= missed
     return DecisionList(tuple(rules))
 
 

@@ -161,6 +161,24 @@ def test_rules_find_a_planted_conjunction():
     assert "symbol_share >=" in str(rules) and str(rules).endswith("else good")
 
 
+def test_rules_find_a_rare_kind_of_bad_text():
+    rnd = np.random.default_rng(6)
+    n = 3500
+    features = pd.DataFrame({f: rnd.random(n) / 20 for f in quality_rules.FEATURES})
+    kinds = rnd.permutation(n)
+    common, rare, noise = kinds[:285], kinds[285:290], kinds[290:296]
+    features["symbol_share"] = 0.0
+    features.loc[common, "symbol_share"] = 0.1 + rnd.random(len(common))
+    features.loc[rare, "same_word_share"] = 0.4 + rnd.random(len(rare)) / 2
+    bad = np.zeros(n, dtype=bool)
+    bad[np.concatenate([common, rare, noise])] = True  # nothing tells the noise from good text
+    rules = quality_rules.cover(features, bad, np.ones(n)).rules
+    hit = np.zeros(n, dtype=bool)
+    for rule in rules:
+        hit |= quality_rules._covered(rule, features)
+    assert hit[rare].all() and hit[common].mean() > 0.98 and not hit[~bad].any()
+
+
 def test_rules_on_documents(spark):
     docs, labels = labelled(spark)
     rules = quality_rules.learn(docs, labels)
