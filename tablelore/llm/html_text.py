@@ -3,9 +3,9 @@
 Parser events of the standard library are read once from front to back. They make lines,
 one for each block, with their text, the number of tags in them and the sections they lie
 in. The ratio of text to tags, smoothed along the page by a Gaussian, tells content from
-the rest: lines above a threshold seed the content. The region then is the section that
-holds most of the seeds' text: an article or main element, or else the smallest element
-around most of it. Lines in parts that are marked as something else (menus, headers,
+the rest: lines above a threshold seed the content. The region then is every article or
+main element that holds seeds, with the lines outside that reach the threshold alone, or else the smallest element
+around all seeds; seeds that are mostly links widen nothing. Lines in parts that are marked as something else (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) never count.
 """
 
@@ -66,7 +66,6 @@ class Settings:
     sigma: float = 1.0
     radius: int = 3
     level: float = 0.5
-    majority: float = 0.7
 
     def kernel(self) -> list[float]:
         weights = [math.exp(-d * d / (2 * self.sigma ** 2))
@@ -228,23 +227,34 @@ def _trunk(section: Section) -> Section | None:
     return found
 
 
-def _heaviest(weights: list[tuple[Section, int]], majority: float) -> Section:
-    """The element that holds the seeds: a trunk, or the smallest with most of their text."""
-    trunks: dict[int, tuple[Section, int]] = {}
-    total = 0
-    for section, weight in weights:
-        total += weight
-        if (trunk := _trunk(section)) is not None:
-            trunks[id(trunk)] = (trunk, trunks.get(id(trunk), (trunk, 0))[1] + weight)
-    if trunks:
-        return max(trunks.values(), key=lambda t: t[1])[0]
-    held: dict[int, tuple[Section, int]] = {}
-    for section, weight in weights:
-        at: Section | None = section
-        while at is not None:
-            held[id(at)] = (at, held.get(id(at), (at, 0))[1] + weight)
-            at = at.parent
-    return max((s for s, w in held.values() if w >= majority * total), key=lambda s: s.depth)
+def _around(sections: list[Section]) -> Section:
+    """The smallest element around all of the sections."""
+    root = sections[0]
+    for section in sections:
+        while not _within(section, root) and root.parent is not None:
+            root = root.parent
+    return root
+
+
+def _seeds(lines: list[Line], settings: Settings) -> tuple[list[int], set[int]]:
+    """The unmarked lines over the threshold, or all unmarked ones if none is.
+
+    The second are those that reach the threshold without their neighbours.
+    """
+    usable = [i for i, line in enumerate(lines) if not line.apart]
+    if not usable:
+        return [], set()
+    ratios = [0.0 if line.apart else (len(line.text) - min(line.linked, len(line.text)))
+              / max(1, line.tags) for line in lines]
+    kernel, radius = settings.kernel(), settings.radius
+    padded = [0.0] * radius + ratios + [0.0] * radius
+    smooth = [sum(w * padded[i + k] for k, w in enumerate(kernel))
+              for i in range(len(ratios))]
+    mean = sum(smooth) / len(smooth)
+    spread = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
+    threshold = min(settings.level * spread, mean)
+    return ([i for i in usable if smooth[i] >= threshold] or usable,
+            {i for i in usable if ratios[i] >= threshold})
 
 
 def main_text(html: str | None, settings: Settings = Settings()) -> str:
@@ -258,32 +268,23 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
         line.text = " ".join("".join(line.parts).split())
         if line.text:
             lines.append(line)
-    usable = [line for line in lines if not line.apart]
-    if not usable:
-        return ""
-    ratios = [0.0 if line.apart else (len(line.text) - min(line.linked, len(line.text)))
-              / max(1, line.tags) for line in lines]
-    kernel, radius = settings.kernel(), settings.radius
-    padded = [0.0] * radius + ratios + [0.0] * radius
-    smooth = [sum(w * padded[i + k] for k, w in enumerate(kernel))
-              for i in range(len(ratios))]
-    mean = sum(smooth) / len(smooth)
-    spread = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth))
-    threshold = min(settings.level * spread, mean)
-    seeds = [i for i, (line, s) in enumerate(zip(lines, smooth, strict=True))
-             if not line.apart and s >= threshold]
+    seeds, strong = _seeds(lines, settings)
     if not seeds:
-        seeds = [i for i, line in enumerate(lines) if not line.apart]
-    root = _heaviest([(lines[i].section, len(lines[i].text)) for i in seeds],
-                     settings.majority)
-    inside = [i for i in seeds if _within(lines[i].section, root)]
-    first, last = min(inside), max(inside)
-    trunk = root.tag in ("article", "main")
+        return ""
+    trunks: dict[int, Section] = {}
+    for i in seeds:
+        if (trunk := _trunk(lines[i].section)) is not None:
+            trunks[id(trunk)] = trunk
+    links = [2 * line.linked > len(line.text) for line in lines]
+    sown = [i for i in seeds if not links[i]] or seeds
+    chosen = strong.intersection(sown)
+    roots = list(trunks.values()) or [_around([lines[i].section for i in sown])]
+    first, last = min(sown), max(sown)
     return "\n\n".join(
         line.text for i, line in enumerate(lines)
-        if not line.apart and _within(line.section, root)
+        if not line.apart and (i in chosen or any(_within(line.section, r) for r in roots))
         # Outside an article, lists of links around the seeds are menus.
-        and (trunk or first <= i <= last or 2 * line.linked <= len(line.text)))
+        and (trunks or first <= i <= last or not links[i]))
 
 
 _RESULT = T.StructType([T.StructField("text", T.StringType()),

@@ -35,6 +35,27 @@ def test_pages(name):
     assert main_text(html) == "\n\n".join(blocks)
 
 
+REGIONS = {
+    "headline beside the body": (f"<body><div><h1>Head</h1><div class=body><p>{BODY * 3}</p><p>{BODY}"
+                                 f"</p></div></div></body>", ["Head", (BODY * 3).strip(), BODY.strip()]),
+    "list with most of the text": (f"<body><div><p>{BODY}before</p><ul><li>{BODY * 9}</li></ul><p>{BODY}"
+                                   f"after</p></div></body>",
+                                   [BODY + "before", (BODY * 9).strip(), BODY + "after"]),
+    "two divisions": (f"<body><div><p>{BODY * 3}</p></div><div><p>{BODY}</p></div></body>",
+                      [(BODY * 3).strip(), BODY.strip()]),
+    "sibling articles": (f"<body><nav>Menu</nav><article><p>{BODY * 2}</p></article><article><p>{BODY}"
+                         f"</p></article></body>", [(BODY * 2).strip(), BODY.strip()]),
+    "a menu of links": (f"<body><div><a href=x>a</a><p><a href=y>b</a></div><div><h2>Head</h2><p>{BODY * 3}"
+                        f"</p></div></body>", ["Head", (BODY * 3).strip()]),
+}
+
+
+@pytest.mark.parametrize("name", list(REGIONS))
+def test_every_region_over_the_threshold_stays(name):
+    html, blocks = REGIONS[name]
+    assert main_text(html) == "\n\n".join(blocks)
+
+
 def test_awkward_rows(spark):
     long = "<article>" + "".join(f"<p>{BODY}{i}</p>" for i in range(3000)) + "</article>"
     rows = [(1, "u", None, 5), (1, None, "", 5), (None, "u", "<p></p>", 5), (2, "u", long, 5),
