@@ -43,7 +43,8 @@ _VOID = frozenset("""
     area base br col embed hr img input link meta param source track wbr""".split())
 #: Sections that are no main text.
 _APART = frozenset("nav header footer aside form dialog menu search fieldset".split())
-#: Words of a class, id or role that mark an element as no main text.
+#: A class, id or role of these words alone marks an element as no main text, but neither
+#: an article or main element in it, nor an element that holds most of the seeds' text.
 _MARKS = frozenset("""
     ad ads advert adverts advertisement advertising sponsor sponsored promo promotion
     banner billboard nav navbar navigation menu menubar breadcrumb breadcrumbs toc header
@@ -52,9 +53,19 @@ _MARKS = frozenset("""
     cookie cookies consent gdpr notice notification popup modal overlay dialog newsletter
     subscribe subscription signup login search form pagination pager comment comments
     commentlist respond replies disqus discussion reactions hidden noprint sr""".split())
-#: On these only the words for reader comments count.
+#: Further whole names that mark an element.
+_NAMES = frozenset("""
+    sr-only visually-hidden screen-reader-text site-header site-footer site-nav
+    site-navigation main-nav main-navigation main-menu nav-bar nav-menu nav-links
+    menu-item widget-area cookie-bar cookie-banner share-buttons social-links
+    related-posts related-articles login-form search-form page-footer""".split())
+#: On these only the names for reader comments count, which also mark articles in them.
 _TRUNKS = frozenset("html body main article".split())
 _COMMENTS = frozenset("comment comments commentlist replies respond disqus discussion".split())
+_COMMENT_NAMES = frozenset("""
+    comment-list comments-list comments-area comment-area comment-section comments-section
+    comment-thread comments-thread comment-body comment-content comment-respond
+    comment-form disqus_thread""".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[a-z]+")
 
@@ -75,12 +86,13 @@ class Settings:
 
 @dataclass
 class Section:
-    """An element that can hold lines."""
+    """An element that can hold lines; a mark by name is judged when the page is read."""
 
     tag: str
     parent: Section | None
     apart: bool
     depth: int
+    named: bool = False
 
 
 @dataclass
@@ -109,19 +121,24 @@ class _Lines(HTMLParser):
         self.lines.append(self._line)
         self._line = Line(self._section, self._section.apart or bool(self._inner))
 
-    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """How an element is marked: for good, by its name, or not at all."""
+        found = ""
         for name, value in attrs:
             if name == "hidden":
-                return tag not in _TRUNKS
-            if name in ("class", "id", "role") and value:
-                words = _WORD.findall(value.lower())
-                if not (_COMMENTS if tag in _TRUNKS else _MARKS).isdisjoint(words):
-                    return tag not in _HEADINGS
+                found = "hidden"
+            elif name in ("class", "id", "role") and value:
+                for token in value.lower().split():
+                    words = set(_WORD.findall(token))
+                    if token in _COMMENT_NAMES or words and words <= _COMMENTS:
+                        return "" if tag in _HEADINGS else "comments"
+                    if token in _NAMES or words and words <= _MARKS:
+                        found = found or ("" if tag in _HEADINGS else "name")
             elif name == "aria-hidden" and value == "true":
-                return tag not in _TRUNKS
+                found = "hidden"
             elif name == "style" and value and "display:none" in value.replace(" ", ""):
-                return tag not in _TRUNKS
-        return False
+                found = "hidden"
+        return "" if tag in _TRUNKS else found
 
     def handle_starttag(self, tag, attrs):
         if self._silent:
@@ -140,15 +157,16 @@ class _Lines(HTMLParser):
         if tag in _BLOCKS:
             if tag in _LOOSE:
                 self._inner = [t for t in self._inner if t not in _LOOSE]
-            marked = bool(attrs) and self._marked(tag, attrs)
+            marked = self._marked(tag, attrs) if attrs else ""
             if tag in _LOOSE:
                 if marked and tag not in _VOID:
                     self._inner.append(tag)
             else:
                 self._inner.clear()
                 here = self._section
-                self._section = Section(tag, here, here.apart or tag in _APART or marked,
-                                        here.depth + 1)
+                self._section = Section(
+                    tag, here, here.apart or tag in _APART or marked in ("hidden", "comments"),
+                    here.depth + 1, marked == "name")
             self._new_line()
         else:
             if tag in _SPACES:
@@ -257,6 +275,36 @@ def _seeds(lines: list[Line], settings: Settings) -> tuple[list[int], set[int]]:
             {i for i in usable if ratios[i] >= threshold})
 
 
+def _named(section: Section) -> list[Section]:
+    """The elements marked by name around a section, up to the outermost article or main."""
+    trunk, out, at = _trunk(section), [], section
+    while at is not None and at is not trunk:
+        if at.named:
+            out.append(at)
+        at = at.parent
+    return out
+
+
+def _set_apart(lines: list[Line], settings: Settings) -> None:
+    """Mark the lines in elements marked by name that don't hold most of the seeds' text.
+
+    Where articles or main elements hold seeds, theirs are the ones that count.
+    """
+    around = [_named(line.section) for line in lines]
+    if not any(around):
+        return
+    held: dict[int, int] = {}
+    total = 0
+    seeds = _seeds(lines, settings)[0]
+    for i in [i for i in seeds if _trunk(lines[i].section) is not None] or seeds:
+        total += len(lines[i].text)
+        for section in around[i]:
+            held[id(section)] = held.get(id(section), 0) + len(lines[i].text)
+    for line, sections in zip(lines, around, strict=True):
+        if any(2 * held.get(id(s), 0) <= total for s in sections):
+            line.apart = True
+
+
 def main_text(html: str | None, settings: Settings = Settings()) -> str:
     """The main text of a page: its blocks, joined by two line feeds; empty if there is none."""
     if not html:
@@ -268,6 +316,7 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
         line.text = " ".join("".join(line.parts).split())
         if line.text:
             lines.append(line)
+    _set_apart(lines, settings)
     seeds, strong = _seeds(lines, settings)
     if not seeds:
         return ""
@@ -312,7 +361,7 @@ def extract_text(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...]
     """One row per page: the ``keep`` columns, ``text`` and ``n_chars``.
 
     Whole pages are read. A null or empty page, one without tags' worth of text and one
-    of boilerplate alone give an empty text; text without any tag is its own main text.
+    of elements for boilerplate alone give an empty text; text without any tag is its own main text.
     Repeated rows and null keys stay. Other columns are left out, so names cannot clash;
     an empty table gives an empty result. No shuffle; pages go to Python in portions.
     """

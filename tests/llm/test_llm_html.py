@@ -56,6 +56,26 @@ def test_every_region_over_the_threshold_stays(name):
     assert main_text(html) == "\n\n".join(blocks)
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "overflow-hidden", "with-toc", "no-header",
+                                  "sidebar", "widget"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_marks_on_wrappers(name, tag):
+    html = (f"<body><div class='{name}'><{tag}><p>{BODY}</p><p>{BODY}</p></{tag}><div class='ad'>{BODY}"
+            f"</div></div><div class='comments'><article><p>{BODY * 9}</p></article></div></body>")
+    assert main_text(html) == "\n\n".join([BODY.strip()] * 2)
+
+
+def test_a_long_advert_beside_a_short_article():
+    html = f"<body><div class='ad'><p>{BODY * 3}</p></div><article><p>Short text.</p></article></body>"
+    assert main_text(html) == "Short text."
+
+
+def test_marks_inside_the_text():
+    html = (f"<body><div id='site-header'>{BODY}</div><main><p>{BODY * 3}</p><div class='related'><article>"
+            f"<p>{BODY}</p></article></div><div class='no-ad'><p>{BODY}</p></div></main></body>")
+    assert main_text(html) == "\n\n".join([(BODY * 3).strip(), BODY.strip()])
+
+
 def test_awkward_rows(spark):
     long = "<article>" + "".join(f"<p>{BODY}{i}</p>" for i in range(3000)) + "</article>"
     rows = [(1, "u", None, 5), (1, None, "", 5), (None, "u", "<p></p>", 5), (2, "u", long, 5),
