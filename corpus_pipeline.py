@@ -45,22 +45,27 @@ def well_formed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, 0.8 alike.
 
-    The document with the smallest id stays, and one of its rows where they repeat. An id
-    with several texts goes if any of them is in a group with a smaller id. Documents
-    without words are in no group and stay, as do rows with a null id.
+    Rows are compared, not ids: the row with the smallest id of a group stays, of several
+    texts under one id any one, and one of rows that repeat. Null ids name no document, so
+    of a group's rows without id one stays, too. Rows without words are in no group and
+    stay. A row is known by a 64-bit hash of its id and text.
     """
-    found = written(jaccard.link_components(docs).where(
-        (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()), "groups")
-    beaten = small_or_whole(written(found.where(
-        F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "beaten"))
-    repeated = small_or_whole(written(found.groupBy("doc_id").count().where(
-        "count > 1").select("doc_id"), "repeated"))
-    docs = docs.join(beaten, "doc_id", "left_anti")
-    name = fresh(docs, "text_hash")
+    row = fresh(docs, "row_key")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    once = (docs.join(repeated, "doc_id", "left_semi").withColumn(name, F.xxhash64("text"))
-            .dropDuplicates(["doc_id", name]))
-    return docs.join(repeated, "doc_id", "left_anti").select(*columns).unionAll(
+    docs = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    found = written(jaccard.link_components(docs, key=row).where("n_shingles > 0").select(
+        F.col(row).alias("row"), "component_id"), "groups")
+    ids = docs.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).distinct()
+    named = written(found.distinct().join(ids, "row"), "named")
+    first = named.groupBy("component_id", F.col("id").isNull().alias("nameless")).agg(
+        F.min(F.struct("id", "row")).alias("least")).select("least.row")
+    beaten = small_or_whole(written(named.select(F.col("row").alias(row)).join(
+        first.withColumnRenamed("row", row), row, "left_anti"), "beaten"))
+    repeated = small_or_whole(written(found.groupBy(F.col("row").alias(row)).count().where(
+        "count > 1").select(row), "repeated"))
+    docs = docs.join(beaten, row, "left_anti")
+    once = docs.join(repeated, row, "left_semi").dropDuplicates([row])
+    return docs.join(repeated, row, "left_anti").select(*columns).unionAll(
         once.select(*columns))
 
 

@@ -90,6 +90,15 @@ def test_near_duplicates_of_awkward_rows(spark):
         (str(d), str(t)) for d, t, _ in [rows[1], *rows[3:]])
 
 
+def test_near_duplicates_are_rows(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = [(3, a), (5, a + " more"), (5, b), (9, b + " more"), (5, "a text that nothing else is like"),
+            (7, c), (7, c + " more"), (None, d), (None, d), (None, d + " more"), (None, "no other like it")]
+    got = corpus_pipeline.unlike(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted((str(r.doc_id), r.text.removesuffix(" more")) for r in got) == sorted(
+        [("3", a), ("5", b), ("5", rows[4][1]), ("7", c), ("None", d), ("None", rows[10][1])])
+
+
 def test_fresh_names(spark):
     df = spark.createDataFrame([(1, 2)], "Counts int, _counts int")
     assert fresh(df, "counts") == "__counts"
