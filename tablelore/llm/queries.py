@@ -13,6 +13,7 @@ from . import (
     html_text,
     jaccard,
     language,
+    merkle,
     packing,
     quality_rules,
     shards,
@@ -168,3 +169,93 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"),
                                    jaccard.Settings(words=3, share=90))
+
+
+# --- 12: Merkle manifest --------------------------------------------------------------
+
+def _merkle_sql(levels: int = 9) -> str:
+    """Leaves of up to 8 ** ``levels`` rows a language, a level of nodes at a time.
+
+    A node is (tree, level, pos, digest); ``leaf_sql`` gives a row's digest with any text.
+    """
+    def leaf_sql(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(
+            f"coalesce(octet_length(encode(CAST({f} AS VARCHAR))) || ':' || CAST({f} AS VARCHAR), '-')"
+            for f in fields) + ")"
+
+    def tree(name: str, leaves: str, up: int) -> str:
+        """Tables ``name``_0 to ``name``_``up``: a finished tree keeps its one node."""
+        parts = [f"{name}_0 AS ({leaves})"]
+        for k in range(up):
+            parts.append(f"""{name}_{k + 1} AS (
+        SELECT tree, pos // 8 AS pos, CASE WHEN any_value(size) = 1 THEN any_value(digest)
+               ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest,
+               (any_value(size) + 7) // 8 AS size
+        FROM {name}_{k} GROUP BY tree, pos // 8)""")
+        return ",\n    ".join(parts)
+
+    def siblings(name: str, up: int) -> str:
+        """Per level the run's other digests before and after a node."""
+        return ",\n    ".join(f"""{name}_s{k} AS (
+        SELECT tree, pos, size,
+               coalesce(string_agg(digest, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+               coalesce(string_agg(digest, '') OVER (PARTITION BY tree, pos // 8 ORDER BY pos
+                   ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+        FROM {name}_{k})""" for k in range(up))
+
+    def fold(of: str, name: str, tree: str, pos: str, up: int, out: str) -> str:
+        """``of`` (row, proof, folded) carried through the levels of a tree."""
+        parts, last = [], of
+        for k in range(up):
+            parts.append(f"""{out}{k} AS (
+        SELECT f.* EXCLUDE (proof, folded), proof || before || after AS proof,
+               CASE WHEN s.size = 1 THEN folded ELSE sha256(before || folded || after) END AS folded
+        FROM {last} f JOIN {name}_s{k} s
+          ON s.tree IS NOT DISTINCT FROM f.{tree} AND s.pos = f.{pos} // {8 ** k})""")
+            last = f"{out}{k}"
+        return ",\n    ".join(parts)
+
+    crc = """list_reduce(list_prepend(4294967295, list_transform(string_split(
+        CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda crc, byte:
+        xor(crc >> 8, list_reduce(list_prepend(xor(crc, byte) & 255,
+            [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y:
+            CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+    top = 4
+    return f"""
+    WITH rows AS (
+        SELECT doc_id, lang AS tree, {leaf_sql("text")} AS digest,
+               {leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS other,
+               xor({crc}, 4294967295) % 3 = 0 AS tampered
+        FROM documents),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1
+                  AS pos, count(*) OVER (PARTITION BY tree) AS size
+        FROM rows),
+    {tree("lower", "SELECT tree, pos, digest, size FROM placed", levels)},
+    {tree("upper", f"""SELECT 1 AS tree, tree AS name, digest,
+        row_number() OVER (ORDER BY encode(tree) NULLS FIRST) - 1 AS pos,
+        count(*) OVER () AS size FROM lower_{levels}""", top)},
+    {siblings("lower", levels)},
+    {siblings("upper", top)},
+    start AS (
+        SELECT p.doc_id, p.tree, p.pos, p.digest AS leaf, u.pos AS upper_pos, 1 AS one,
+               u.digest AS subroot, '' AS proof,
+               CASE WHEN tampered THEN other ELSE p.digest END AS folded
+        FROM placed p JOIN upper_0 u ON u.name IS NOT DISTINCT FROM p.tree),
+    {fold("start", "lower", "tree", "pos", levels, "a")},
+    {fold(f"a{levels - 1}", "upper", "one", "upper_pos", top, "b")}
+    SELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256,
+           folded AS folded_root, folded = r.digest AS verified
+    FROM b{top - 1}, upper_{top} r"""
+
+
+@query("op12_merkle_dataset_manifest", sql=_merkle_sql())
+def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(
+        table(spark, sf_dir, "documents"), changed=tampered,
+        tampered={"text": merkle.ascii_lower(F.col("text"))}).select(
+        F.col("key").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
+        "folded_root", "verified")
