@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    collocations,
     compress_quality,
     decontaminate,
     html_text,
@@ -259,3 +260,44 @@ def op12_merkle_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         tampered={"text": merkle.ascii_lower(F.col("text"))}).select(
         F.col("key").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256",
         "folded_root", "verified")
+
+
+# --- 13: collocations -----------------------------------------------------------------
+
+@query("op13_phrase_collocation_mining", sql=f"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents),
+    worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+    spread AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
+    runs AS (
+        SELECT lang, s AS size, array_to_string(w[i:i + s - 1], ' ') AS words
+        FROM spread, (VALUES (1), (2), (3), (4)) t(s) WHERE i + s - 1 <= len(w)),
+    f AS (SELECT lang, size, words, count(*) AS f FROM runs GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+    candidates AS (
+        SELECT lang, size, words AS phrase, string_split(words, ' ') AS w, f AS a
+        FROM f WHERE size > 1 AND f >= 30),
+    cuts AS (
+        SELECT c.lang, c.size, phrase, a, k, x.f AS l, y.f AS r,
+               CAST(CAST(a AS HUGEINT) * 2000000 // (x.f + y.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates) c
+        JOIN f x ON x.lang = c.lang AND x.size = k AND x.words = array_to_string(w[1:k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.size = c.size - k
+                AND y.words = array_to_string(w[k + 1:c.size], ' ')),
+    weakest AS (
+        SELECT * FROM cuts
+        QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    kept AS (
+        SELECT * FROM weakest s WHERE NOT EXISTS (
+            SELECT 1 FROM candidates c WHERE c.lang = s.lang AND c.size > s.size
+               AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' ')
+               AND 100 * CAST(c.a AS HUGEINT) >= 80 * CAST(s.a AS HUGEINT))),
+    ranked AS (
+        SELECT *, row_number() OVER (
+            PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score
+    FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op13_phrase_collocation_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
