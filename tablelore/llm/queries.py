@@ -16,6 +16,7 @@ from . import (
     language,
     merkle,
     packing,
+    personal,
     quality_rules,
     shards,
     token_counts,
@@ -172,6 +173,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    jaccard.Settings(words=3, share=90))
 
 
+# --- 11: personal data ----------------------------------------------------------------
+
+@query("op11_pii")
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return personal.report(documents, personal.learn(documents))
+
+
 # --- 12: Merkle manifest --------------------------------------------------------------
 
 def _merkle_sql(levels: int = 9) -> str:
