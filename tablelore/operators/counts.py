@@ -31,6 +31,10 @@ def _slot(dt: T.DataType) -> tuple[str, str]:
     return "v_" + "".join(ch if ch.isalnum() else "_" for ch in kind), kind
 
 
+def slot_name(dt: T.DataType) -> str:
+    return _slot(dt)[0]
+
+
 def _slot_value(name: str, dt: T.DataType) -> str:
     if is_nested(dt):
         return f"to_json({sql_name(name)})"
@@ -41,23 +45,27 @@ def slots(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     return dict(_slot(df.schema[c].dataType) for c in columns)
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(pos, one slot per type, n)``; all slots null is the null group of a column."""
+def unfolded(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(pos, one slot per type)``: a row for every value of every column."""
     used = slots(df, columns)
 
     def entry(pos: int, name: str) -> str:
-        dt = df.schema[name].dataType
-        own = _slot(dt)[0]
+        own = _slot(df.schema[name].dataType)[0]
         return sql_struct({"pos": str(pos), **{
-            slot: _slot_value(name, dt) if slot == own else f"cast(null as {kind})"
-            for slot, kind in used.items()}})
+            slot: _slot_value(name, df.schema[name].dataType) if slot == own
+            else f"cast(null as {kind})" for slot, kind in used.items()}})
 
     entries = [entry(i, c) for i, c in enumerate(columns)]
-    unfolded = reduce(DataFrame.unionByName, [
+    return reduce(DataFrame.unionByName, [
         df.selectExpr(f"inline(array({', '.join(entries[i:i + _BATCH])}))")
         for i in range(0, len(entries), _BATCH)
     ])
-    return unfolded.groupBy("pos", *used).agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(pos, one slot per type, n)``; all slots null is the null group of a column."""
+    return unfolded(df, columns).groupBy("pos", *slots(df, columns)).agg(
+        F.count(F.lit(1)).alias("n"))
 
 
 def text_of(used: dict[str, str]) -> Column:

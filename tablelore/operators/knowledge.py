@@ -200,8 +200,8 @@ def context(source: DataFrame | Scan, table: str, current: DataFrame | None = No
     """Schema, statistics, frequent values and stored facts of every column.
 
     The default aggregates sketches in a few scans; ``exact`` groups the values instead.
-    ``all_values`` tells whether ``sample_values`` are all the column has: one more than
-    is shown was asked for and none came.
+    ``all_values`` tells whether ``sample_values`` are proved to be all the column has:
+    their counts add up to all its rows, or one more was asked for and none came.
     """
     scan = source if isinstance(source, Scan) else Scan(source)
     df = scan.data
@@ -215,13 +215,12 @@ def context(source: DataFrame | Scan, table: str, current: DataFrame | None = No
             stats = stats.join(listed, "column_name", "left")
         else:
             stats = stats.withColumn("top_values", F.lit(None).cast("array<string>"))
+        stats = stats.withColumn("all_values", F.size("top_values") <= sample_values)
     else:
-        stats = profile(scan, top=sample_values + 1)
+        stats = profile(scan, top=sample_values)
     schema = column_catalog({table: df}).select("column_name", "nullable", "comment")
-    rows = stats.join(schema, "column_name").withColumns({
-        "all_values": F.size("top_values") <= sample_values,
-        "sample_values": F.slice("top_values", 1, max(sample_values, 1)),
-    }).drop("top_values")
+    rows = stats.join(schema, "column_name").withColumn(
+        "sample_values", F.slice("top_values", 1, max(sample_values, 1))).drop("top_values")
     return with_facts(rows, current, table) if current is not None else rows
 
 

@@ -89,12 +89,15 @@ def described(rows: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFra
         "column_type": listed([df.schema[c].dataType.simpleString() for c in columns])})
 
 
-def _column_stats(df: DataFrame, pos: int, name: str, quick: bool) -> str:
+def _column_stats(df: DataFrame, pos: int, name: str, quick: bool, top: int = 0) -> str:
     dt = df.schema[name].dataType
     fields = {"pos": str(pos), "total_rows": "count(1)",
               "non_null": f"count({sql_name(name)})"}
     if quick:
         return sql_struct(fields)
+    if top:
+        fields["some_values"] = ("cast(null as array<string>)" if is_numeric(dt)
+                                 else some_values(name, dt, top))
     if is_numeric(dt):
         x, none = sql_number(name, dt), "cast(null as bigint)"
         fields |= extremes(name, dt)
@@ -116,9 +119,9 @@ def _sketches(df: DataFrame, pos: int, name: str, quick: bool, top: int) -> str:
         fields["median_val"] = (approx_median(sql_number(name, dt)) if is_numeric(dt)
                                 else "cast(null as double)")
     if top:
-        fields["top_values"] = (
-            "cast(null as array<string>)" if is_numeric(dt)
-            else f"transform({top_sketch(name, dt, top, TRACKED_VALUES)}, s -> s.value)")
+        fields["listed"] = (
+            "cast(null as array<struct<value:string,count:bigint>>)" if is_numeric(dt)
+            else top_sketch(name, dt, top, TRACKED_VALUES))
     return sql_struct(fields)
 
 
@@ -144,11 +147,54 @@ def approx_median(x: str) -> str:
             f"kll_sketch_agg_double({x}, {_SKETCH_SIZE}), 0.5D), null)")
 
 
+def can_be_tracked(dt: T.DataType) -> bool:
+    """Whether a frequency sketch takes values of a type: no intervals and no nested types."""
+    return is_orderable(dt) and "interval" not in dt.typeName()
+
+
+def _countable(name: str, dt: T.DataType) -> str:
+    return sql_name(name) if can_be_tracked(dt) else sql_text(name, dt)
+
+
+def some_values(name: str, dt: T.DataType, top: int) -> str:
+    """SQL for up to ``top`` different values: the least of each of as many hash classes."""
+    value = _countable(name, dt)
+    least = ", ".join(f"min(if(pmod(xxhash64({value}), {top}) = {i}, {value}, null))"
+                      for i in range(top))
+    return f"array_sort(transform(array_compact(array({least})), v -> cast(v as string)))"
+
+
+def count_error(non_null: Column, distinct: Column, tracked: int = TRACKED_VALUES) -> Column:
+    """How far counts of a frequency sketch may be off: nothing while all values fit."""
+    slots = 1 << math.ceil(math.log2(tracked / 0.75))
+    return F.when(distinct < tracked // 2, F.lit(0)).otherwise(
+        F.ceil(non_null * F.lit(3.5 / slots))).cast("bigint")
+
+
+def certified(listed: Column, some: Column, non_null: Column, distinct: Column, top: int
+              ) -> tuple[Column, Column]:
+    """Values of a sketch with their counts, and whether they are proved to be all.
+
+    They are all if there are as many as different values, and their counts add up to all
+    rows with a value: a sketch that had to give up any value would fail the first, one
+    that still holds all counts exactly, so that the second holds only for the whole set.
+    Where the sketch is sure of fewer than ``top`` values, as on long tails and keys, any
+    others fill up, with the count of one that is known of them.
+    """
+    proved = (F.size(listed) == distinct) & (
+        F.aggregate(listed, F.lit(0).cast("bigint"), lambda n, v: n + v["count"]) == non_null)
+    known = F.transform(listed, lambda v: v["value"])
+    others = F.transform(F.array_except(some, known), lambda v: F.struct(
+        v.alias("value"), F.lit(1).cast("bigint").alias("count")))
+    return F.slice(F.concat(listed, others), 1, top), proved
+
+
 def top_sketch(name: str, dt: T.DataType, top: int, tracked: int) -> str:
-    """SQL for the most frequent non-null values with estimated counts, from a sketch."""
-    # Frequency sketches take no intervals and no nested types.
-    plain = is_orderable(dt) and "interval" not in dt.typeName()
-    value = sql_name(name) if plain else sql_text(name, dt)
+    """SQL for the most frequent non-null values with estimated counts, from a sketch.
+
+    A sketch lists only values that it is sure are frequent, so there may be none.
+    """
+    value = _countable(name, dt)
     # The sketch ranks null like a value, so one more item is asked for.
     return (f"transform(slice(filter(approx_top_k({value}, {top + 1}, {tracked}), "
             f"s -> s.item is not null), 1, {top}), "
@@ -263,7 +309,8 @@ def profile(
     and distinct counts only.
     A sampled ``Scan`` reports the true ``row_count`` next to the scanned rows.
     ``top`` adds the most frequent values of non-numeric columns, from a sketch in the
-    sketch pass; it needs ``exact=False``.
+    sketch pass, and ``all_values``, whether those are proved to be all; it needs
+    ``exact=False``. Long tails are filled up with any values.
     """
     scan = source if isinstance(source, Scan) else Scan(source)
     df = scan.data
@@ -272,7 +319,8 @@ def profile(
         raise ValueError("top belongs to the sketched profile; use top_values() instead")
     # Plain aggregates compile to one loop, sketches do not; kept apart, the plain ones
     # stay fast, and reading the columns twice costs less than interpreting them once.
-    stats = per_column(df, names, lambda i, c: _column_stats(df, i, c, quick), batch_columns)
+    stats = per_column(df, names, lambda i, c: _column_stats(df, i, c, quick, top),
+                       batch_columns)
     if exact:
         second = (exact_distincts if quick else exact_medians)(df, names)
     else:
@@ -284,6 +332,11 @@ def profile(
         "null_count": nulls, "null_pct": sql_round(share(nulls, F.col("total_rows")), 2),
         "distinct_count": clamp_distinct(
             F.coalesce("distinct_count", F.lit(0)), F.col("total_rows"))})
+    if top:
+        values, proved = certified(F.col("listed"), F.col("some_values"), F.col("non_null"),
+                                   F.col("distinct_count"), top)
+        stats = stats.withColumns({
+            "top_values": F.transform(values, lambda v: v["value"]), "all_values": proved})
     if not quick:
         stats = stats.withColumns({
             c: sql_round(F.col(c), 4) for c in ("mean_val", "stddev_val")})
@@ -291,7 +344,7 @@ def profile(
                  else F.col("total_rows"))
     return stats.select(
         "pos", *(_QUICK if quick else _FULL), true_rows.alias("row_count"),
-        F.lit(scan.sampled).alias("sampled"), *(["top_values"] if top else []),
+        F.lit(scan.sampled).alias("sampled"), *(["top_values", "all_values"] if top else []),
     )
 
 
@@ -299,13 +352,26 @@ def approx_top_values(df: DataFrame, columns: Sequence[str] | str | None = None,
                       top: int = 5, tracked: int = TRACKED_VALUES) -> DataFrame:
     """Most frequent values per column from a sketch: one scan, no shuffle of values.
 
-    Counts are estimates; ``null_count`` and ``total_rows`` are exact.
+    Every column has rows. Where the sketch is sure of fewer values than asked for, any
+    others follow with a count of at least one; a column without values has one row with
+    a null value. Counts are right within ``max_error``, which is nothing while all values
+    fit the sketch; ``all_values`` says that the listed ones are proved to be all.
+    ``null_count`` and ``total_rows`` are exact.
     """
     names = pick_columns(df, columns)
-    rows = per_column(df, names, lambda i, name: sql_struct({
-        "pos": str(i), "total_rows": "count(1)",
-        "null_count": f"count(1) - count({sql_name(name)})",
-        "top": top_sketch(name, df.schema[name].dataType, top, tracked),
-    }))
+
+    def entry(i: int, name: str) -> str:
+        dt = df.schema[name].dataType
+        return sql_struct({
+            "pos": str(i), "total_rows": "count(1)", "non_null": f"count({sql_name(name)})",
+            "distinct": approx_distinct(name, dt), "some": some_values(name, dt, top),
+            "listed": top_sketch(name, dt, top, tracked)})
+
+    rows = per_column(df, names, entry)
+    values, proved = certified(F.col("listed"), F.col("some"), F.col("non_null"),
+                               F.col("distinct"), top)
     return described(rows, df, names).select(
-        "pos", "column_name", "total_rows", "null_count", F.inline("top"))
+        "pos", "column_name", "total_rows",
+        (F.col("total_rows") - F.col("non_null")).alias("null_count"),
+        count_error(F.col("non_null"), F.col("distinct"), tracked).alias("max_error"),
+        proved.alias("all_values"), F.inline_outer(values))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import knowledge as k
 from ..operators.columns import column_categories, columns_by_category
-from ..operators.profile import profile
+from ..operators.counts import text_counts
+from ..operators.profile import approx_top_values, profile
+from ..operators.values import top_values
 from ..sources.tables import catalog, enrich_catalog
 from .base import TABLES, profile_sql, quality_sql, query, read, read_all
 from .scans import LABELLED_COLUMNS, LABELLED_SQL, _catalog_sql, _near, labelled
@@ -448,3 +450,74 @@ def _(spark, sf):
     rows = k.facts_from_context(k.context(lineitem, "t", sample_values=10), "t")
     return rows.where("field = 'valid_values'").select(
         "column_name", F.concat_ws(";", "values").alias("valid_values"))
+
+
+# Neighbouring words have a long tail, places in the text are a key.
+_TAILS_SQL = """
+tails as (select w[i] || ' ' || w[i + 1] as pair, doc_id || ':' || i as place,
+    lang, cast(doc_id % 3 as varchar) as third
+  from (select doc_id, lang, w, unnest(range(1, len(w))) as i
+    from (select *, string_split(text, ' ') as w from documents)))"""
+
+
+def _tails(spark, sf):
+    words = F.split("text", " ")
+    # Unfolded as pairs: every row of an unfolded index would carry the whole text.
+    pairs = F.zip_with(words, F.slice(words, 2, 1_000_000_000), lambda a, b: F.concat_ws(
+        " ", a, F.when(b.isNotNull(), b)))
+    return read(spark, sf, "documents").select(
+        "doc_id", "lang", F.posexplode(F.slice(pairs, F.lit(1), F.size(words) - 1)).alias(
+            "at", "pair")).select(
+        "pair", F.concat_ws(":", F.col("doc_id"), F.col("at") + 1).alias("place"), "lang",
+        (F.col("doc_id") % 3).cast("string").alias("third"))
+
+
+@query("context_long_tails", "K9 K6", f"""
+with {_TAILS_SQL}
+{" union all ".join(f"""
+select '{c}' as column_name, count(distinct {c}) <= 5 as all_values,
+  least(count(distinct {c}), 5) as shown,
+  case when count(distinct {c}) <= 5 then string_agg(distinct {c}, ';' order by {c}) end
+    as valid_values
+from tails""" for c in ("pair", "place", "lang", "third"))}""")
+def _(spark, sf):
+    rows = k.context(_tails(spark, sf), "t")
+    stored = k.facts_from_context(rows, "t").where("field = 'valid_values'").select(
+        "column_name", F.concat_ws(";", "values").alias("valid_values"))
+    return rows.select("column_name", "all_values", F.size("sample_values").cast(
+        "bigint").alias("shown")).join(stored, "column_name", "left")
+
+
+# Words: a few are frequent and settle the column; pairs of words need grouping.
+@query("top_values_long_tails", "A8 W1", f"""
+with {_TAILS_SQL},
+words as (select pair, split_part(pair, ' ', 1) as word, lang from tails)
+{" union all ".join(f"""
+select * from (select '{c}' as column_name, {c} as value, count(*) as count,
+  cast(row_number() over (order by count(*) desc, {c}) as integer) as rank
+  from words where {c} is not null group by {c}) where rank <= 10"""
+                    for c in ("pair", "word", "lang"))}""")
+def _(spark, sf):
+    words = _tails(spark, sf).select(
+        "pair", F.split_part("pair", F.lit(" "), F.lit(1)).alias("word"), "lang")
+    return top_values(words, top=10).select("column_name", "value", "count", "rank")
+
+
+@query("approx_top_long_tails", "A9", f"""
+with {_TAILS_SQL}
+{" union all ".join(f"""
+select '{c}' as column_name, (select count(*) from tails) as total_rows,
+  least(count(*), 5) as shown, true as within_error, count(*) <= 5 as all_values
+from (select {c}, count(*) as n from tails where {c} is not null group by {c})"""
+                    for c in ("pair", "place", "lang", "third"))}""")
+def _(spark, sf):
+    tails = _tails(spark, sf)
+    found = approx_top_values(tails, top=5)
+    exact = text_counts(tails, tails.columns).select("column_name", "value", F.col("n"))
+    return found.join(exact, ["column_name", "value"]).groupBy(
+        "column_name", "total_rows").agg(
+        F.count(F.lit(1)).alias("shown"),
+        # A filled-up value is only known to occur; the sketch's counts are near.
+        F.min((F.abs(F.col("count") - F.col("n")) <= F.col("max_error"))
+              | ((F.col("count") == 1) & (F.col("n") >= 1))).alias("within_error"),
+        F.min("all_values").alias("all_values"))

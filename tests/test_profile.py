@@ -161,6 +161,56 @@ def test_top_values_ride_along(frame):
         profile(df, exact=True, top=5)
 
 
+@pytest.fixture(scope="module")
+def tails(spark):
+    """A long tail, a key, a column without values and one with three values."""
+    return spark.range(0, 300_000, numPartitions=4).select(
+        F.when(F.col("id") % 5 < 3, F.concat(F.lit("v"), F.col("id") % 5)).otherwise(
+            F.concat(F.lit("t"), F.col("id"))).alias("tail"),
+        F.concat(F.lit("k"), F.col("id")).alias("key"),
+        F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") % 3).cast("string")).alias("three"))
+
+
+def test_only_proved_values_are_all(tails):
+    rows = by(profile(tails, top=4), "column_name")
+    assert {n: r["all_values"] for n, r in rows.items()} == {
+        "tail": False, "key": False, "none": True, "three": True}
+    assert {n: len(r["top_values"]) for n, r in rows.items()} == {
+        "tail": 4, "key": 4, "none": 0, "three": 3}
+    assert {"v0", "v1", "v2"} < set(rows["tail"]["top_values"])
+    # asked for as many as there are, and for fewer
+    assert by(profile(tails, ["three"], top=3), "column_name")["three"]["all_values"]
+    assert not by(profile(tails, ["three"], top=2), "column_name")["three"]["all_values"]
+
+
+def test_every_column_has_top_values(tails):
+    rows = approx_top_values(tails, top=5).collect()
+    assert {r.column_name for r in rows} == set(tails.columns)
+    assert [r.value for r in rows if r.column_name == "none"] == [None]
+    for r in rows:
+        assert r.total_rows == 300_000
+        if r.column_name == "key":
+            assert r["count"] == 1 and r.max_error > 0 and not r.all_values
+        if r.value in ("v0", "v1", "v2"):
+            assert abs(r["count"] - 60_000) <= r.max_error
+        if r.column_name == "three":
+            assert r.max_error == 0 and r.all_values and r.null_count == 42_858
+
+
+def test_no_false_list_in_many_columns(spark):
+    """Columns of every size around the number asked for."""
+    sizes = {f"c{n}_{skew}": (n, skew) for n in range(1, 21) for skew in (0, 1)}
+    df = spark.range(0, 40_000, numPartitions=3).select(*[
+        F.concat(F.lit("x"), F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(
+            F.col("id") % n) if skew else F.col("id") % n).alias(c)
+        for c, (n, skew) in sizes.items()])
+    rows = by(profile(df, top=10), "column_name")
+    real = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns]).first().asDict()
+    assert {c: r["all_values"] for c, r in rows.items()} == {
+        c: n <= 10 for c, n in real.items()}
+
+
 def test_approx_top_values_skip_nulls(frame):
     df = frame("s string", [("a",), ("a",), (None,), (None,), (None,), ("b",)])
     rows = [(r.value, r["count"], r.null_count) for r in approx_top_values(df, top=2).collect()]
@@ -216,11 +266,50 @@ def test_samples_of_files_of_any_size(uneven, seed):
             (percent_sample(uneven, 10.0, seed), 1),
             (block_sample(uneven, 10.0, seed, block_rows=100), 100)):
         row = drawn.agg(F.count("id").alias("n"), F.avg("id").alias("mean")).first()
-        assert abs(row.n - 44_000) < 4_400
+        assert abs(row.n - 44_000) < 6 * (44_000 * rows_together) ** 0.5
         error = 440_000 / 12**0.5 / (44_000 / rows_together) ** 0.5
         assert abs(row.mean - 220_000) < 5 * error
 
 
+@pytest.mark.parametrize("n", [1, 17, 999, 44_000, 439_999, 440_000])
+def test_sample_of_exactly_n_rows(uneven, n):
+    assert sample_rows(uneven, n, 440_000, seed=n).count() == min(n, 440_000)
+
+
+def test_exact_sample_is_repeatable_and_spread(uneven, spark):
+    def ids(seed):
+        return sorted(r.id for r in sample_rows(uneven, 5_000, 440_000, seed).collect())
+
+    first = ids(1)
+    parts = sample_rows(uneven, 5_000, 440_000, 1).groupBy(F.spark_partition_id()).count()
+    assert len(set(first)) == 5_000 and parts.count() > 1 and ids(2) != first
+    plan = sample_rows(uneven, 5_000, 440_000, 1)._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString() and "Sort" not in plan.toString()
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        assert ids(1) == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_exact_sample_of_repeated_rows(spark):
+    same = spark.range(1_000).select(F.lit("x").alias("a"))
+    assert sample_rows(same, 123, 1_000).count() == 123
+    mixed = same.unionAll(spark.range(1_000).select(F.col("id").cast("string")))
+    assert sample_rows(mixed, 1_500, 2_000).count() == 1_500
+    assert sample_rows(mixed, 3_000, 4_000).count() == 2_000  # a table that has shrunk
+
+
+def test_block_sample_outlives_a_copy(spark, tmp_path):
+    rows = spark.range(0, 20_000, numPartitions=3)
+    drawn = []
+    for name in ("first", "second"):
+        rows.write.parquet(str(tmp_path / name))
+        table = spark.read.parquet(str(tmp_path / name))
+        drawn.append(sorted(r.id for r in block_sample(table, 30.0, block_rows=10).collect()))
+    assert drawn[0] == drawn[1] and 4_000 < len(drawn[0]) < 8_000
+
+
 def test_block_sample_keeps_neighbours(uneven, spark):
     rows = block_sample(uneven, 10.0, 3, block_rows=100).where("id < 400000").groupBy(
         (F.col("id") / 100).cast("int")).count().collect()

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from tablelore.operators.pivot import model_metrics, pivot
 from tablelore.operators.values import (
-    categories, distinct_values, distribution, histogram, sample_values, top_values,
-    values_summary,
+    categories, distinct_values, distribution, histogram, sample_values, settled_counts,
+    top_values, values_summary,
 )
 
 
@@ -156,3 +156,94 @@ def test_metrics_by_name(frame):
     assert set(rows["e"]) == {"region", "row_count", "sum_revenue", "avg_click_rate"}
     assert rows["e"]["sum_revenue"] == 3.0
     assert rows["e"]["avg_click_rate"] == pytest.approx(0.3)
+
+
+# --- top values in two rounds -------------------------------------------------------
+
+def shuffled_rows(spark, run):
+    """Rows that all stages of a run write for others."""
+    context = spark._jsparkSession.sparkContext()
+    context.listenerBus().waitUntilEmpty()
+
+    def total():
+        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = context.statusStore().stageList(
+            spark._jvm.java.util.ArrayList(), False, False, none, spark._jvm.java.util.ArrayList())
+        found = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages)
+        return sum(x.shuffleWriteRecords() for x in found)
+
+    before = total()
+    run()
+    context.listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+@pytest.fixture(scope="module")
+def skewed(spark, tmp_path_factory):
+    """A hot value, a long tail behind frequent values, a key, few values, many types."""
+    path = str(tmp_path_factory.mktemp("skewed") / "t")
+    i = F.col("id")
+    spark.range(0, 200_000, numPartitions=4).select(
+        F.when(i % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), i % 40)).alias("hot"),
+        F.when(i % 2 == 0, (F.pmod(F.xxhash64("id"), F.lit(20)))).otherwise(i).alias("tail"),
+        i.alias("key"), (i % 5 / 2).alias("few"),
+        F.when(i % 7 > 0, i % 11 == 0).alias("flag"),
+        F.expr("date'2024-01-01' + cast(id % 30 as int)").alias("day"),
+        (i % 50).cast("decimal(9, 2)").alias("price"), F.array(i % 4).alias("nested"),
+        F.lit(None).cast("string").alias("none"),
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def grouped(df, column, top):
+    counted = df.where(F.col(column).isNotNull()).groupBy(
+        (F.to_json(column) if column == "nested" else F.col(column)).alias("v")).count()
+    return [(r.v if isinstance(r.v, str) else r.text, r["count"]) for r in counted.withColumn(
+        "text", F.col("v").cast("string")).orderBy(F.desc("count"), "text").limit(top).collect()]
+
+
+@pytest.mark.parametrize("top", [1, 3, 10])
+def test_top_values_are_those_of_grouping(skewed, top):
+    rows = top_values(skewed, top=top).orderBy("pos", "rank").collect()
+    for c in skewed.columns:
+        assert [(r.value, r["count"]) for r in rows if r.column_name == c] == grouped(
+            skewed, c, top), c
+
+
+def test_columns_are_settled_only_by_proof(skewed):
+    _, settled = settled_counts(skewed, skewed.columns, 10)
+    assert {skewed.columns[r.pos] for r in settled.collect()} == {
+        "hot", "tail", "few", "flag", "day", "price", "none"}
+    # twenty frequent values; the twenty-first is one of a hundred thousand
+    _, settled = settled_counts(skewed, ["tail"], 21)
+    assert settled.collect() == []
+    # and all are right in the end
+    assert len(top_values(skewed, ["tail"], 21).collect()) == 21
+
+
+def test_skewed_columns_are_not_shuffled(spark, skewed):
+    few = shuffled_rows(spark, lambda: top_values(skewed, ["tail"], 5).collect())
+    many = shuffled_rows(spark, lambda: skewed.groupBy("tail").count().collect())
+    assert many > 90_000 and few < 4 * 2 * (4_096 + 210) + 1_000
+
+
+def test_smallest_values_are_not_shuffled(spark, skewed):
+    few = shuffled_rows(spark, lambda: sample_values(skewed, ["key"], 25).collect())
+    assert few < 4 * 2 * (1_024 + 100)
+    rows = [r.value for r in sample_values(skewed, ["key"], 25).orderBy("rank").collect()]
+    assert rows == sorted(map(str, range(200_000)))[:25]
+
+
+@pytest.mark.parametrize("limit", [1, 2, 40, 5_000])
+def test_smallest_values_of_any_number(skewed, limit):
+    rows = sample_values(skewed, ["hot", "key", "none", "day"], limit).collect()
+    for c in ("hot", "key", "none", "day"):
+        want = sorted(str(r[0]) for r in skewed.select(c).distinct().dropna().collect())
+        assert sorted(r.value for r in rows if r.column_name == c) == want[:limit]
+
+
+def test_two_rounds_of_nothing(frame):
+    df = frame("a string, b bigint", [])
+    assert top_values(df).collect() == [] and sample_values(df).collect() == []
+    df = frame("a string, b bigint", [(None, None), (None, None)])
+    assert top_values(df).collect() == [] and sample_values(df).collect() == []
