@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import facts as f
 from ..operators.diff import fingerprint_status, fingerprints
 from ..operators.search import rank_documents, search_facts
+from ..operators.search_index import build_index, search_index
+from ..store import temporary_folder
 from . import derived as d
 from .base import query, read
 
@@ -326,8 +328,10 @@ def _tokens_sql(text: str) -> str:
             "then list_concat([t], regexp_split_to_array(t, '[-_]')) else [t] end))")
 
 
-@query("search_documents", "F10", f"""
-with q(term) as (values ('the'), ('reation'), ('thering')),
+def _search_sql(words: str, limit: int) -> str:
+    asked = ", ".join(f"('{w}')" for w in words.split())
+    return f"""
+with q(term) as (values {asked}),
 d as (select doc_id, lang, source, text, {_tokens_sql('text')} as toks from documents),
 l as (select *, len(toks) as dl from d),
 s as (select count(*) as n, sum(dl) as total from l),
@@ -337,10 +341,13 @@ parts as (select doc_id, sum(case when tf > 0 then
     ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5
       / (tf + 1.5 * (0.25 + 0.75 * dl / (total / n)))) else 0 end) as bm
   from tf join df using (term), s group by doc_id)
-select doc_id, lang, source, round(bm + case when contains(lower(text), '{_WORDS}')
+select doc_id, lang, source, round(bm + case when contains(lower(text), '{words}')
   then 2.0 else 0.0 end, 3) as score
 from parts join documents using (doc_id) where bm > 0
-order by score desc, doc_id limit 20""")
+order by score desc, doc_id limit {limit}"""
+
+
+@query("search_documents", "F10", _search_sql(_WORDS, 20))
 def _(spark, sf):
     return rank_documents(
         read(spark, sf, "documents"), _WORDS, {"text": 1}, excerpt="text",
@@ -348,6 +355,23 @@ def _(spark, sf):
     ).select("doc_id", "lang", "source", "score")
 
 
+def _indexed(spark, sf, words, limit):
+    documents = read(spark, sf, "documents")
+    folder = temporary_folder(spark, "index")
+    build_index(documents, {"text": 1}, ["doc_id", "lang", "source"], folder)
+    return search_index(spark, folder, words, limit, ["doc_id"], documents, "text").select(
+        "doc_id", "lang", "source", "score")
+
+
+# The same question to a stored index: three words, a rare one, and one that all have.
+for _name, _asked, _limit in (("search_index_three", "the reation thering", 40),
+                              ("search_index_rare", "thering", 7),
+                              ("search_index_mail", "example mail7 com", 25)):
+    @query(_name, "F10", _search_sql(_asked, _limit))
+    def _(spark, sf, _w=_asked, _n=_limit):
+        return _indexed(spark, sf, _w, _n)
+
+
 @query("search_conversations", "F10", f"""
 with q(term, qf) as (values ('data-set', 1), ('data', 1), ('set', 1), ('ouen', 2)),
 d as (select conv_id, turn, {_tokens_sql('text')} as toks from conversations),

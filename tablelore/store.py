@@ -13,27 +13,39 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is named, a local one is made, but only for a local master: on a cluster
+    each machine would write to a folder of its own, and tables would come back empty.
+    """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tablelore-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; the driver deletes it when it ends."""
+    path = f"{shared_folder(spark)}/tablelore-{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read again.
 
     The files outlive lost executors, so nothing above is computed a second time. The
     driver deletes them when it ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tablelore-{name}-{uuid.uuid4().hex}"
+    path = f"{temporary_folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_or_whole(table: DataFrame, rows: int = SMALL_TABLE_ROWS) -> DataFrame:

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelore.functions.text import terms
+from tablelore.operators import search_index as search_index_module
 from tablelore.operators.search import query_terms, rank_documents, search_facts
+from tablelore.operators.search_index import _postings, build_index, search_index
+from tablelore.store import temporary_folder, written
 
 
 def test_terms(spark):
@@ -94,3 +97,76 @@ def test_name_bonus(facts):
     # Same name 8, name contains 3, excerpt contains 2, one query term in the names 0.8.
     with_bonus = {r.column_name: r.score for r in search_facts(facts, "email").collect()}
     assert 13.8 < with_bonus["email"] < 13.8 + 6
+
+
+# --- the stored index ---------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def library(spark):
+    """Thousands of short documents of a few common and many rare words."""
+    rng = random.Random(4)
+    common = ["the", "of", "data", "set", "data-set", "a_b", "long"]
+    rows = [(i, " ".join(rng.choice(common) if rng.random() < 0.7 else f"w{rng.randrange(3000)}"
+                         for _ in range(rng.randrange(1, 25))), f"t{i % 7} data")
+            for i in range(9_000)]
+    rows += [(9_001, None, None), (9_002, "", "w1"), (9_003, "Data-Set of THE", None)]
+    rows += [(9_100 + i, "the perfect match of words", "title") for i in range(3)]
+    return written(spark.createDataFrame(rows, "id long, body string, title string")
+                   .repartition(3), "library")
+
+
+@pytest.fixture(scope="module")
+def index(spark, library):
+    folder = f"{temporary_folder(spark, 'index')}/own"
+    build_index(library, {"body": 2, "title": 3}, ["id"], folder)
+    return folder
+
+
+@pytest.mark.parametrize("query", [
+    "the", "data-set", "w17 w18", "the of data set", "perfect match of words", "t3 data w5",
+    "w99999", "a_b A_B the", "w1 w2 w3 w4 w5 w6 w7 w8", "", "!?"])
+@pytest.mark.parametrize("limit", [1, 10, 60])
+def test_index_ranks_like_reading_all(spark, library, index, query, limit):
+    want = rank_documents(library, query, {"body": 2, "title": 3}, excerpt="body",
+                          order=("id",), limit=limit).collect()
+    got = search_index(spark, index, query, limit, ["id"], library, "body").collect()
+    assert [(r.id, r.score, r.matched_terms) for r in got] == [
+        (r.id, r.score, r.matched_terms) for r in want]
+
+
+def test_only_asked_terms_are_read(spark, index):
+    rows = _postings(spark, index, ["w17"])
+    assert {r.term for r in rows.collect()} == {"w17"}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    folders, pushed = (plan.split(f"{part}Filters: [")[1] for part in ("Partition", "Pushed"))
+    assert "folder" in folders and "w17" in pushed
+    assert rows.count() < spark.read.parquet(f"{index}/terms").count() / 100
+
+
+def test_blocks_that_cannot_win_are_skipped(spark, tmp_path, monkeypatch):
+    """The one block with the word often decides; the word's other blocks stay unread."""
+    docs = spark.range(0, 60_000, numPartitions=1).select("id", F.when(
+        F.col("id").between(20_000, 20_050), F.lit("rare rare rare")).when(
+        F.col("id") % 100 == 0, F.concat(F.lit("rare "), F.repeat(F.lit("x "), F.lit(40))))
+        .otherwise("x").alias("body"))
+    folder = str(tmp_path / "index")
+    build_index(docs, {"body": 1}, ["id"], folder)
+    seen = []
+    real = search_index_module.written
+
+    def spied(df, name):
+        table = real(df, name)
+        seen.append((name, table))
+        return table
+
+    monkeypatch.setattr(search_index_module, "written", spied)
+    got = search_index(spark, folder, "rare", 10, ["id"])
+    assert [r.id for r in got.collect()] == list(range(20_000, 20_010))
+    bounds = sorted(r.bound for _, t in seen for r in t.collect())
+    assert len(bounds) == 15 and bounds[-1] > 2 * bounds[-3]
+
+
+def test_index_of_nothing(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    build_index(spark.createDataFrame([], "id long, body string"), {"body": 1}, ["id"], folder)
+    assert search_index(spark, folder, "word", 3).collect() == []
