@@ -125,22 +125,34 @@ def _sketches(df: DataFrame, pos: int, name: str, quick: bool, top: int) -> str:
     return sql_struct(fields)
 
 
-def approx_distinct(name: str, dt: T.DataType) -> str:
-    """SQL for the distinct sketch, whose error is below one percent.
+def distinct_sketch(name: str, dt: T.DataType) -> str:
+    """SQL for the distinct sketch of a column, which can be stored and united.
 
-    Whole numbers and texts count as they are, other values by their text. The extremes
-    settle what decisions hang on: one value is told from two exactly.
+    Whole numbers and texts count as they are, other values by their text.
     """
     value = sql_name(name) if is_orderable(dt) and not is_nested(dt) else sql_text(name, dt)
-    counted = value
     if isinstance(dt, T.IntegralType):
-        counted = f"cast({value} as bigint)"
+        value = f"cast({value} as bigint)"
     elif not isinstance(dt, (T.StringType, T.BinaryType)):
-        counted = sql_text(name, dt)
-    return (f"greatest(hll_sketch_estimate(hll_sketch_agg({counted}, {_DISTINCT_BITS})), "
+        value = sql_text(name, dt)
+    return f"hll_sketch_agg({value}, {_DISTINCT_BITS})"
+
+
+def approx_distinct(name: str, dt: T.DataType) -> str:
+    """SQL for the number of distinct values, from a sketch whose error is below one percent.
+
+    The extremes settle what decisions hang on: one value is told from two exactly.
+    """
+    value = sql_name(name) if is_orderable(dt) and not is_nested(dt) else sql_text(name, dt)
+    return (f"greatest(hll_sketch_estimate({distinct_sketch(name, dt)}), "
             f"if(min({value}) < max({value}), 2L, 0L))")
 
 
+def quantile_sketch(x: str) -> str:
+    """SQL for the quantile sketch of a number, which can be stored and merged; or null."""
+    return f"if(count({x}) > 0, kll_sketch_agg_double({x}, {_SKETCH_SIZE}), null)"
+
+
 def approx_median(x: str) -> str:
     """SQL for the median from a KLL sketch; null without values."""
     return (f"if(count({x}) > 0, kll_sketch_get_quantile_double("

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pivot import model_metrics, pivot
 from ..operators.profile import approx_top_values, profile
+from ..operators.profile_states import current_states, profile_of_states, refresh_states
 from ..operators.quality import duplicate_rows
 from ..operators.values import (
     categories, distinct_values, histogram, sample_values, top_values, values_summary,
@@ -19,6 +20,7 @@ from ..sources.sampling import (
 from ..sources.tables import (
     catalog, inspect, list_tables, open_tables, row_counts, search_catalog,
 )
+from ..store import temporary_folder
 from .base import TABLES, profile_sql, query, read, read_all
 
 LABELLED_COLUMNS = {**TABLES["documents"], "quality": "int", "toxic": "int"}
@@ -261,6 +263,28 @@ def _near(rows, exact, columns, error=0.05):
         for c in columns))
 
 
+# A table grows by files; each refresh reads the new ones, and the states of all are merged.
+@query("profile_refreshed_orders", "F3 D2 A1", f"""
+select * exclude (distinct_count, median_val), true as distinct_count_near,
+  true as median_val_near, 2 as first_files, 1 as second_files, 0 as third_files
+from ({profile_sql("orders", TABLES["orders"])})""")
+def _(spark, sf):
+    orders, folder = read(spark, sf, "orders"), temporary_folder(spark, "profile")
+    table, states = f"{folder}/table", f"{folder}/states"
+    third = F.col("o_orderkey") % 3
+    orders.where(third < 2).repartition(2).write.parquet(table)
+    first = refresh_states(spark, table, states)
+    orders.where(third == 2).coalesce(1).write.mode("append").parquet(table)
+    second = refresh_states(spark, table, states)
+    third = refresh_states(spark, table, states)
+    rows = profile_of_states(current_states(spark, table, states))
+    near = _near(rows, profile(orders, exact=True), ("distinct_count", "median_val"))
+    return rows.select(*(c for c in _PROFILE if c not in ("distinct_count", "median_val"))).join(
+        near, "column_name").withColumns({
+            "first_files": F.lit(len(first)), "second_files": F.lit(len(second)),
+            "third_files": F.lit(len(third))})
+
+
 @query("profile_approx_lineitem", "A4 A6", f"""
 select column_name, true as distinct_count_near, true as median_val_near
 from ({profile_sql("lineitem", TABLES["lineitem"])})""")
