@@ -161,17 +161,25 @@ def index_entries(hashes: np.ndarray, settings: Settings) -> np.ndarray:
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def parity_bits(hashes: np.ndarray) -> np.ndarray:
-    """How often each of 1024 hash values occurs, modulo two, as 16 numbers.
+def parity_bits(hashes: np.ndarray, bits: int = _BITS) -> np.ndarray:
+    """How often each of so many hash values occurs, modulo two, 64 of them a number.
 
-    Two sets differ in at least as many shingles as these bits differ.
+    Two sets differ in at least as many shingles as these bits differ. The bits of half as
+    many values are the first half and the second half, one xor the other.
     """
-    odd = np.bincount((hashes & _U64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+    odd = np.bincount((hashes & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_bits(hashes: np.ndarray) -> np.ndarray | None:
+    """Parity bits that tell large sets apart, at least one a shingle; none for others."""
+    if len(hashes) <= _BITS:
+        return None
+    return parity_bits(hashes, 1 << (len(hashes) - 1).bit_length())
+
+
 _SETS = ("key long, t1 long, t2 long, size long, set1 long, set2 long, "
-         "bits array<long>, entries array<long>")
+         "bits array<long>, wide array<long>, entries array<long>")
 
 
 def _set_rows(settings: Settings):
@@ -182,7 +190,7 @@ def _set_rows(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen = WordHashes(), set()
         for batch in in_portions(tidy(batches), "text", 1_000_000):
-            sizes, set1, set2, bits, entries = [], [], [], [], []
+            sizes, set1, set2, bits, wide, entries = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(words_of(text), settings.words, memory)
                 sizes.append(len(hashes))
@@ -192,18 +200,20 @@ def _set_rows(settings: Settings):
                 set2.append(two)
                 if not len(hashes) or (one, two) in seen:
                     bits.append(None)
+                    wide.append(None)
                     entries.append(None)
                     continue
                 if len(seen) < 100_000:
                     seen.add((one, two))
                 bits.append(parity_bits(hashes))
+                wide.append(wide_bits(hashes))
                 entries.append(index_entries(hashes, settings))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("t1"), batch.column("t2"),
                  pa.array(sizes, pa.int64()), pa.array(set1, pa.int64()),
                  pa.array(set2, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
-                 pa.array(entries, pa.list_(pa.int64()))],
-                names=["key", "t1", "t2", "size", "set1", "set2", "bits", "entries"])
+                 pa.array(wide, pa.list_(pa.int64())), pa.array(entries, pa.list_(pa.int64()))],
+                names=["key", "t1", "t2", "size", "set1", "set2", "bits", "wide", "entries"])
     return run
 
 
@@ -240,13 +250,35 @@ def _verify(settings: Settings):
     return run
 
 
+def _few_differ(x: str, y: str, settings: Settings) -> str:
+    return (f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x) "
+            f"<= (x_size + y_size) * {100 - settings.share} div {100 + settings.share}")
+
+
 def _possible(settings: Settings):
     """Whether sizes and parity bits leave it possible that two sets are similar."""
     return F.expr(f"""
         least(x_size, y_size) * 100 >= {settings.share} * greatest(x_size, y_size)
-        AND aggregate(zip_with(x_bits, y_bits, (x, y) -> bit_count(x ^ y)), 0,
-                      (n, x) -> n + x)
-            <= (x_size + y_size) * {100 - settings.share} div {100 + settings.share}""")
+        AND {_few_differ("x_bits", "y_bits", settings)}""")
+
+
+def _still_possible(pairs: DataFrame, wide: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (with sizes) that the wide bits of large sets do not tell apart.
+
+    Bits are worth their shuffle: the texts that they save are a hundred times as long.
+    """
+    def folded(bits: str, other: str) -> str:
+        half = f"cast(size({bits}) / 2 as int)"
+        return (f"if(size({bits}) > size({other}), zip_with(slice({bits}, 1, {half}), "
+                f"slice({bits}, {half} + 1, {half}), (a, b) -> a ^ b), {bits})")
+
+    for side in ("x", "y"):
+        pairs = pairs.join(wide.select(F.col("node").alias(f"{side}_node"),
+                                       F.col("wide").alias(f"{side}_wide")),
+                           f"{side}_node", "left")
+    return pairs.where(f"""x_wide is null or y_wide is null or {_few_differ(
+        folded("x_wide", "y_wide"), folded("y_wide", "x_wide"), settings)}""").drop(
+        "x_wide", "y_wide")
 
 
 def _side(nodes: DataFrame, side: str) -> DataFrame:
@@ -310,7 +342,8 @@ def link_components(documents: DataFrame, settings: Settings = Settings(), *,
     table gives an empty result.
 
     What is shuffled: index entries (two numbers each, about a sixth of the shingles at a
-    similarity of 0.9), then only the sets that share an entry, and texts of candidates.
+    similarity of 0.9), then only the sets that share an entry, and texts of candidates
+    whose parity bits do not tell them apart, as many bits as a large set has shingles.
     Copies are one set. Text hashes of 128 bits find texts again; sets have a 128-bit
     print, the index 64 bits of it, and links are verified on the words themselves.
     """
@@ -325,26 +358,30 @@ def link_components(documents: DataFrame, settings: Settings = Settings(), *,
     bucket = Window.partitionBy("entry")
     shared = written(
         entries.select("entry", "node", F.min("node").over(bucket).alias("least"),
-                       F.max("node").over(bucket).alias("most"))
-        .where("least < most").select("entry", "node").distinct(), "shared")
+                       F.max("node").over(bucket).alias("most"),
+                       F.count(F.lit(1)).over(bucket).alias("members"))
+        .where("least < most").groupBy("entry", "node").agg(
+            F.max("members").alias("members")), "shared")
     met = shared.select("node").distinct()
     nodes = written(full.where(F.col("entries").isNotNull()).withColumnRenamed("set1", "node")
                     .join(met, "node", "left_semi").groupBy("node")
                     .agg(F.min(F.struct("size", "bits", "t1", "t2")).alias("s"))
                     .select("node", "s.*"), "nodes")
+    wide = full.where("wide is not null").withColumnRenamed("set1", "node").join(
+        met, "node", "left_semi").groupBy("node").agg(F.min("wide").alias("wide"))
+    wide = written(wide, "wide")
 
     # The hub of a bucket is the set that shares most with others: the middle of a group.
-    crowded = shared.groupBy("entry").agg(F.count(F.lit(1)).alias("members"))
-    ranked = shared.join(crowded, "entry")
-    weight = ranked.groupBy("node").agg(F.sum("members").alias("weight"))
+    weight = shared.groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = shared.join(weight, "node").groupBy("entry").agg(
         F.max(F.struct("weight", "node")).alias("hub")).select("entry", "hub.node")
-    stars = (shared.withColumnRenamed("node", "y_node")
+    stars = (shared.select("entry", F.col("node").alias("y_node"))
              .join(hubs.withColumnRenamed("node", "x_node"), "entry")
              .where("x_node != y_node").select("x_node", "y_node").distinct())
     stars = written(stars.join(_side(nodes, "x"), "x_node").join(_side(nodes, "y"), "y_node")
                     .where(_possible(settings)).drop("x_bits", "y_bits"), "stars")
-    links = written(_similar(stars, documents, text, settings), "similar")
+    near = written(_still_possible(stars, wide, settings), "near-stars")
+    links = written(_similar(near, documents, text, settings), "similar")
     groups = components(links)
 
     # Whatever shares a bucket and is still apart.
@@ -365,11 +402,11 @@ def link_components(documents: DataFrame, settings: Settings = Settings(), *,
                         F.greatest("x_node", "y_node").alias("g"))
     rest = rest.join(done, (F.least("x_node", "y_node") == F.col("l"))
                      & (F.greatest("x_node", "y_node") == F.col("g")), "left_anti")
-    where = nodes.select("node", "t1", "t2")
+    where = nodes.select("node", "size", "t1", "t2")
     for side in ("x", "y"):
         rest = rest.join(where.select(*(F.col(c).alias(f"{side}_{c}") for c in
-                                        ("node", "t1", "t2"))), f"{side}_node")
-    rest = written(rest, "rest")
+                                        ("node", "size", "t1", "t2"))), f"{side}_node")
+    rest = written(_still_possible(rest, wide, settings), "rest")
     more = written(_similar(rest, documents, text, settings), "similar")
     if not more.isEmpty():
         groups = _joined(groups, more)
