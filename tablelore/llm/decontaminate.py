@@ -26,10 +26,10 @@ from .workers import ship, tidy
 
 @dataclass(frozen=True)
 class Settings:
-    """Edits allowed per character of an item, and the shortest item that is searched for.
+    """Edits allowed per character of an item, and the shortest item that may be changed.
 
-    Items of fewer than ``least_chars`` normalised characters are ordinary phrases that
-    tell nothing about a leak. ``items_per_block`` bounds the automaton of one pass.
+    Items of fewer than ``least_chars`` normalised characters are searched for as whole
+    words and without edits. ``items_per_block`` bounds the automaton of one pass.
     """
 
     error_rate: float = 0.07
@@ -37,9 +37,11 @@ class Settings:
     items_per_block: int = 5000
 
     def budget(self, chars: int) -> int:
-        return int(chars * self.error_rate)
+        return int(chars * self.error_rate) if chars >= self.least_chars else 0
 
 
+#: Runs of characters are gathered for stretches of a text that begin at multiples of this.
+_STRETCH = 1_024
 #: ASCII characters that are neither letter nor digit become blanks.
 _BLANKS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(r"(?:[^\W_]|[^\x00-\x7f])+")
@@ -86,6 +88,11 @@ def nearest(masks: dict[str, int], length: int, text: str, anchored: bool = Fals
     return best, end
 
 
+def grams(text: str) -> set[str]:
+    """All runs of three characters; an edit takes three of them at most."""
+    return {text[i:i + 3] for i in range(len(text) - 2)}
+
+
 @dataclass(frozen=True)
 class Match:
     item: int
@@ -96,18 +103,23 @@ class Match:
 
 
 class ItemFinder:
-    """Pieces of many items in one automaton, and the verification around their hits."""
+    """Pieces of many items in one automaton, and the verification around their hits.
+
+    Where many items begin alike, a hit of what they share is a hit of all of them. The
+    distance is only computed where enough of an item's runs of three characters are near.
+    """
 
     def __init__(self, items: Iterable[tuple[int, str]], settings: Settings):
-        self._items: list[tuple[int, str, int, dict[str, int]]] = []
+        self._items: list[tuple[int, str, int, dict[str, int], set[str]]] = []
+        self._least = settings.least_chars
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
             pattern = normal(text)
-            if len(pattern) < settings.least_chars:
+            if not pattern:
                 continue
             budget = settings.budget(len(pattern))
             at = len(self._items)
-            self._items.append((item, pattern, budget, edit_masks(pattern)))
+            self._items.append((item, pattern, budget, edit_masks(pattern), grams(pattern)))
             edges = [len(pattern) * i // (budget + 1) for i in range(budget + 2)]
             for begin, end in zip(edges, edges[1:], strict=False):
                 pieces.setdefault(pattern[begin:end], []).append((at, begin))
@@ -127,11 +139,23 @@ class ItemFinder:
             for at, begin in places:
                 starts.setdefault(at, set()).add(last + 1 - length - begin)
         found = []
+        near: dict[tuple[int, int], set[str]] = {}
         for at, where in starts.items():
-            item, pattern, budget, masks = self._items[at]
+            item, pattern, budget, masks, own = self._items[at]
+            if len(pattern) < self._least:
+                begin = next((b for b in sorted(where) if _whole_words(
+                    plain, b, b + len(pattern))), None)
+                if begin is not None:
+                    found.append(Match(item, 0, 0, begin, begin + len(pattern)))
+                continue
             best: tuple[int, int] | None = None
             for low, high in _runs(sorted(where), 2 * budget):
                 low, high = max(0, low - budget), high + len(pattern) + budget
+                around = low // _STRETCH, -(-high // _STRETCH)
+                if around not in near:
+                    near[around] = grams(plain[around[0] * _STRETCH:around[1] * _STRETCH])
+                if len(own - near[around]) > 3 * budget:
+                    continue
                 distance, end = nearest(masks, len(pattern), plain[low:high])
                 if distance <= budget and (best is None or distance < best[0]):
                     best = distance, low + end
@@ -143,6 +167,10 @@ class ItemFinder:
         return sorted(found, key=lambda m: m.item)
 
 
+def _whole_words(plain: str, begin: int, end: int) -> bool:
+    return plain[begin - 1:begin] in ("", " ") and plain[end:end + 1] in ("", " ")
+
+
 def _runs(sorted_values: list[int], gap: int) -> Iterator[tuple[int, int]]:
     """First and last of each run of values that are at most ``gap`` apart."""
     first = last = sorted_values[0]
@@ -232,7 +260,8 @@ def find_items(documents: DataFrame, items: DataFrame, settings: Settings = Sett
     ``budget``, ``begin``, ``end`` (code points of the text, whole words).
 
     Of several occurrences the nearest counts, then the first. Documents without a match
-    have no row; null and empty texts and items never match. Repeated documents keep
+    have no row; null and empty texts and items never match, nor do items without a letter
+    or digit; short items match as whole words, without edits. Repeated documents keep
     their rows, repeated items count once, null keys stay. Extra columns are left out.
     Empty tables give an empty result. Whole texts are searched, in one pass over the
     documents per block of items; nothing is shuffled but the items.

@@ -1,7 +1,9 @@
 """Decontamination and similarity links against brute force, and on awkward rows."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tablelore.llm import decontaminate, jaccard
@@ -182,3 +184,65 @@ def test_components(spark):
     rows = components(df).collect()
     assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
     assert components(df.limit(0)).count() == 0
+
+
+def test_short_items_are_whole_words_without_edits():
+    finder = decontaminate.ItemFinder(
+        [(1, "What is 17 times 23?"), (2, "cat"), (3, "?!"), (4, "")], decontaminate.Settings())
+
+    def found(text):
+        return [(m.item, m.distance) for m in finder.matches(text)]
+
+    assert found("So: what is 17 times 23? A bobcat.") == [(1, 0)]
+    assert found("The cat") == found("CAT") == found("cats, cat!") == [(2, 0)]
+    assert found("what is 17 times 234") == found("what is 17 times 2 3") == found("") == []
+
+
+def test_items_that_begin_alike():
+    """Hits of a shared beginning cost little, and items are told apart behind it."""
+    rng = random.Random(2)
+    stem = "Which of the following statements about "
+    items = [(i, stem + " ".join("".join(rng.choice("abcdefgh") for _ in range(6))
+                                 for _ in range(10))) for i in range(2_000)]
+    finder = decontaminate.ItemFinder(items, decontaminate.Settings())
+    clean = " ".join(stem + "x" * 60 for _ in range(5))
+    begun = time.process_time()
+    assert finder.matches(clean) == []
+    assert time.process_time() - begun < 1
+    changed = items[17][1].replace("b", "z", 3)
+    assert [(m.item, m.distance) for m in finder.matches(f"{clean} {changed} {clean}")] == [(17, 3)]
+
+
+@pytest.mark.parametrize("differ", [0, 30, 400, 3_000])
+def test_wide_bits_bound_the_difference(differ):
+    rng = np.random.default_rng(differ)
+    one = np.unique(rng.integers(0, 2**64, 4_000, dtype=np.uint64))
+    two = np.unique(np.concatenate(
+        [one[differ:], rng.integers(0, 2**64, differ + 200, dtype=np.uint64)]))
+
+    def bits(hashes, size):
+        return np.unpackbits(jaccard.parity_bits(hashes, size).view(np.uint8))
+
+    true = len(set(one.tolist()) ^ set(two.tolist()))
+    wide = [jaccard.wide_bits(x) for x in (one, two)]
+    assert len(wide[0]) == 4_096 // 64 and jaccard.wide_bits(one[:1_024]) is None
+    for size in (1_024, 4_096, 8_192):
+        assert (bits(one, size) != bits(two, size)).sum() <= true
+    # half as many bits are the halves, one xor the other
+    whole = jaccard.parity_bits(one, 8_192)
+    assert (whole[:64] ^ whole[64:] == jaccard.parity_bits(one, 4_096)).all()
+    apart = (bits(one, 4_096) != bits(two, 4_096)).sum()
+    bound = jaccard.Settings().differences(len(one), len(two))
+    assert (apart > bound) == (differ >= 3_000)
+
+
+def test_large_sets_of_unlike_sizes(spark):
+    """Pairs on both sides of a power of two, with the bits of one folded."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2_300)]
+    rows = [(1, " ".join(words[:2_000])), (2, " ".join(words[:2_200])),
+            (3, " ".join(words[:1_000] + words[1_300:])), (4, " ".join(words[1_200:])),
+            (5, " ".join(words[:1_010])), (6, " ".join(words[:1_100]))]
+    got = {r.doc_id: r.component_id for r in jaccard.link_components(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
