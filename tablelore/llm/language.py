@@ -35,14 +35,14 @@ _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()),
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the model: texts per language, bytes of them, bytes of all languages.
+    """Bounds of the model, for each language: texts, bytes of a text, and bytes in all.
 
-    A phrase never goes past a block of ``block`` bytes of the text it is cut from.
+    The automata take about half a kilobyte of memory a byte. A phrase never goes past a block of ``block`` bytes of the text it is cut from.
     """
 
     texts: int = 400
     bytes_per_text: int = 240
-    total_bytes: int = 80_000
+    bytes_per_language: int = 24_000
     block: int = 256
     seed: int = 4
 
@@ -185,7 +185,7 @@ class LanguageModel:
             for batch in tidy(batches):
                 names: list[str] = []
                 scores: list[float] = []
-                for begin, end in portions(batch, 1_000_000):
+                for begin, end in portions(batch, 500_000):
                     for out, more in zip((names, scores), shared.value.predict(
                             batch[begin:end].to_pylist()), strict=True):
                         out.extend(more)
@@ -214,8 +214,7 @@ def learn(documents: DataFrame, settings: Settings = Settings(), *, text: str =
     for row in sorted(found):
         for label in of[row["h"]]:
             texts.setdefault(label, []).append(plain(row["text"])[:settings.bytes_per_text])
-    share = settings.total_bytes // max(1, len(texts))
-    return LanguageModel(tuple((label, b"\n".join(parts)[:share])
+    return LanguageModel(tuple((label, b"\n".join(parts)[:settings.bytes_per_language])
                                for label, parts in sorted(texts.items())), settings)
 
 
