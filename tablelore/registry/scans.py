@@ -18,7 +18,7 @@ from ..sources.sampling import (
     block_sample, modulus_sample, percent_sample, plan_scan, sample_rows,
 )
 from ..sources.tables import (
-    catalog, inspect, list_tables, open_tables, row_counts, search_catalog,
+    catalog, inspect, list_tables, open_tables, row_counts, row_counts_of, search_catalog,
 )
 from ..store import temporary_folder
 from .base import TABLES, profile_sql, query, read, read_all
@@ -55,6 +55,16 @@ def _(spark, sf):
     return row_counts(open_tables(spark, {t: f"{sf}/{t}.parquet" for t in TABLES}))
 
 
+@query("row_shares_of_files", "S4 U1", f"""
+select table_name, row_count,
+  round(100.0 * row_count / sum(row_count) over (), 2) as share_pct from ({_COUNTS_SQL})""")
+def _(spark, sf):
+    counts = row_counts_of(spark, {t: f"{sf}/{t}.parquet" for t in TABLES})
+    total = counts.agg(F.sum("row_count")).scalar()
+    return counts.withColumn(
+        "share_pct", F.round(F.try_divide(100.0 * F.col("row_count"), total), 2))
+
+
 @query("tables_listed", "S2 S4", f"""
 select table_name, 'view' as table_type, row_count from ({_COUNTS_SQL})""")
 def _(spark, sf):

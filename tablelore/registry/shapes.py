@@ -12,6 +12,7 @@ from ..operators.diff import (
     latest_snapshot, null_regression, schema_diff,
 )
 from ..operators.freshness import freshness, freshness_candidates
+from ..operators.join_catalog import catalog_evidence, key_pairs, key_sketches
 from ..operators.joins import join_candidates, key_evidence
 from ..operators.quality import invalid_values, quality
 from ..sources.tables import catalog, open_tables
@@ -308,6 +309,33 @@ for _name, _args in {
         ).withColumn("joined_rows", F.col("joined_rows").cast("bigint"))
 
 
+_KEY_COLUMNS = [(t, c, "text" if k == "string" else k.replace("bigint", "int"))
+                for t, cols in TABLES.items() for c, k in cols.items()
+                if k in ("int", "bigint", "string", "timestamp_ntz")]
+
+
+def _contained_sql(least: float) -> str:
+    values = "\nunion all\n".join(
+        f"select distinct '{t}' as t, '{c}' as c, '{k}' as kind, cast({c} as varchar) as v "
+        f"from {t} where {c} is not null" for t, c, k in _KEY_COLUMNS)
+    return f"""
+with v as materialized ({values}),
+sizes as (select t, c, count(*) as d from v group by t, c),
+hits as (select s.t as t, s.c as c, x.t as target_table, x.c as target_col, count(*) as m
+  from v s join v x on s.kind = x.kind and s.v = x.v and s.t <> x.t group by all)
+select t as source_table, c as source_col, target_table, target_col
+from hits join sizes using (t, c) where m >= {least} * d"""
+
+
+@query("contained_columns", "J3", _contained_sql(0.9))
+def _(spark, sf):
+    """Pairs of columns of all tables, near keys or not, whose source is in the target."""
+    tables = read_all(spark, sf)
+    pairs = key_pairs(key_sketches(tables), unique=0.0)
+    return catalog_evidence(tables, pairs, least=0.9).where("holds").select(
+        "source_table", "source_col", "target_table", "target_col")
+
+
 @query("nation_top_suppliers", "J4", """
 select n_name, count(*) as suppliers from nation join supplier on n_nationkey = s_nationkey
 group by n_name order by suppliers desc, n_name limit 10""")
