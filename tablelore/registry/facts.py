@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import facts as f
 from ..operators.diff import fingerprint_status, fingerprints
+from ..operators.fact_snapshots import facts_now, facts_undone, store_snapshot
 from ..operators.search import rank_documents, search_facts
 from ..operators.search_index import build_index, search_index
-from ..store import temporary_folder
+from ..store import temporary_folder, written
 from . import derived as d
 from .base import query, read
 
@@ -231,6 +232,35 @@ def _(spark, sf):
     return _flat(f.current_facts(f.undo(_log(spark, sf), 3))).select(*_BODY_COLUMNS)
 
 
+def _snapshot_of_half(spark, sf):
+    """The log, and a folder with snapshots of its first quarter and half."""
+    log = written(_log(spark, sf), "fact-log")
+    folder = temporary_folder(spark, "fact-snapshots")
+    last = log.agg(F.max("write_id")).collect()[0][0] or 0
+    for share in (4, 2):
+        store_snapshot(log.where(F.col("write_id") <= last // share), folder)
+    return log, folder
+
+
+@query("facts_from_snapshot", "F1", f"""
+select table_name, field, count(*) as facts, max(write_id) as last_write,
+  count(value) as with_value from {_CURRENT_SQL} group by table_name, field""")
+def _(spark, sf):
+    return facts_now(*_snapshot_of_half(spark, sf)).groupBy("table_name", "field").agg(
+        F.count(F.lit(1)).alias("facts"), F.max("write_id").alias("last_write"),
+        F.count("value").alias("with_value"))
+
+
+@query("facts_undone_from_snapshot", "F6", f"""
+with log as ({d.LOG_SQL}),
+ids as (select table_name, write_id, dense_rank() over (partition by table_name
+  order by write_id desc) as rk from log),
+kept as (select log.* from log join ids using (table_name, write_id) where rk > 7)
+select {_BODY} from {d.latest_sql('select * from kept')}""")
+def _(spark, sf):
+    return _flat(facts_undone(*_snapshot_of_half(spark, sf), 7)).select(*_BODY_COLUMNS)
+
+
 @query("facts_redact", "F7", f"""
 with dic as ({d.DICTIONARY_SQL}),
 pii as (select distinct table_name, column_name from dic
