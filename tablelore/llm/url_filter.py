@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..store import small_or_whole, written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPES = "array<struct<labels:int,chars:int>>"
 
@@ -56,8 +58,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, key: str = "page_id", url:
     empty result, or the default for all.
 
     Only hosts and paths are shuffled. Matches are gathered by (host, path), so equal
-    urls are one row per task before the shuffle; a hot url is then on the streamed side
-    of a left join, which adaptive execution can split.
+    urls are one row per task before the shuffle, and written. The join that follows has
+    plain tables on both sides: up to a number of matched urls they are broadcast, and
+    beyond it adaptive execution splits a hot url, null ones too, over many tasks.
     """
     rules = rules.select("host", "path", "action").dropna().distinct()
     shapes = _shapes(rules)
@@ -81,9 +84,9 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, key: str = "page_id", url:
             F.array_join(F.expr("slice(parts, -s.labels, s.labels)"), "."),
             F.expr("left(path, s.chars)")).alias("digest"))
     expressions = expressions.withColumn("prefix", F.substring("digest", 1, prefix_digits))
-    best = (expressions.join(rules, "prefix")
-            .where(F.col("digest") == F.col("rule_digest"))
-            .groupBy("host", "path").agg(F.max("found").alias("found")))
-    return parts.join(best, ["host", "path"], "left").select(
+    best = written(expressions.join(rules, "prefix")
+                   .where(F.col("digest") == F.col("rule_digest"))
+                   .groupBy("host", "path").agg(F.max("found").alias("found")), "url-rules")
+    return parts.join(small_or_whole(best), ["host", "path"], "left").select(
         key, "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
