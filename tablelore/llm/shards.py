@@ -7,7 +7,8 @@ room. Nothing else moves, so balance is guaranteed and movement is limited to ov
 
 The ring is planned from document counts per cell, a number of counts that is a
 parameter and not a size of the data. Documents then only look up where their rank
-within their cell falls.
+within their cell falls. Cells are ranked in parts, so one key may hold any share of them;
+ties between points of the ring go by the order of keys, sizes and checksums.
 """
 
 from __future__ import annotations
@@ -21,6 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..store import written
+
+#: Parts of a cell that are ranked apart, and copies of a row that are unfolded at once.
+_PARTS = 64
+_STEP = 4096
+
 
 @dataclass(frozen=True)
 class Ring:
@@ -100,39 +107,57 @@ def plan(ring: Ring, counts: dict[int, int]) -> dict[str, np.ndarray]:
     return {n: np.array([r[i] for r in out], dtype=np.int64) for i, n in enumerate(names)}
 
 
+def _counted(documents: DataFrame, ring: Ring, key: str, text: str) -> DataFrame:
+    """Distinct rows with their cell, their part of it and how often they occur."""
+    content = F.coalesce(F.col(text), F.lit(""))
+    rows = documents.select(
+        F.col(key).alias("key"),
+        F.pmod(point(F.col(key)), F.lit(ring.cells)).cast("int").alias("at"),
+        (F.octet_length(content) + 1).cast("long").alias("size"),
+        F.crc32(content.cast("binary")).alias("text_crc32"))
+    return rows.groupBy("at", "key", "size", "text_crc32").agg(
+        F.count(F.lit(1)).alias("copies")).withColumn("part", F.pmod(
+            F.xxhash64("key", "size", "text_crc32"), F.lit(_PARTS)).cast("int"))
+
+
 def assign_shards(documents: DataFrame, ring: Ring, *, key: str = "doc_id",
                   text: str = "text") -> DataFrame:
     """One row per document: ``key``, ``size``, ``text_crc32``, ``shard``, ``slot``.
 
     ``size`` is the number of UTF-8 bytes plus one, the checksum unsigned; a null text
-    counts as empty. ``slot`` numbers the documents of a shard from 0 without gaps. With
-    no slack shard counts differ by one at most. Documents with a null key share one
-    point of the ring. Repeated rows (same key, size and checksum) are counted before
-    they are shuffled and all come back, so a key that repeats does not gather rows in
-    one task. Other columns are left out. An empty table gives an empty result.
-
-    Documents are read twice, the first time only their keys. Rows of a few numbers are
-    shuffled, never texts.
+    counts as empty, a very long one as one row. ``slot`` numbers the documents of a
+    shard from 0 without gaps. With no slack shard counts differ by one at most. Documents
+    with a null key, or with one key, share a cell of the ring; so may other keys. Within
+    a cell they are put in order by a hash of key, size and checksum, in parts of about
+    equal size, so no cell is ranked in one task. Rows that agree in all three are
+    counted before they are shuffled and all come back, unfolded in steps. Other columns
+    are left out. An empty table gives an empty result.
+
+    Documents are read once; rows of a few numbers are written and shuffled, never texts.
     """
     spark = documents.sparkSession
-    cell = F.pmod(point(F.col(key)), F.lit(ring.cells)).cast("int")
-    counts = {r["cell"]: r["count"] for r in
-              documents.select(cell.alias("cell")).groupBy("cell").count().collect()}
+    rows = written(_counted(documents, ring, key, text), "shard-rows")
+    # At most as many rows as the ring has parts of cells, whatever the size of the data.
+    sizes = written(rows.groupBy("at", "part").agg(F.sum("copies").alias("n")), "shard-cells")
+    counts = {r["at"]: r["n"] for r in
+              sizes.groupBy("at").agg(F.sum("n").alias("n")).collect()}
     ranges = plan(ring, counts)
     where = spark.createDataFrame(pa.table(
         ranges, schema=pa.schema([(n, pa.int64()) for n in ranges])))
 
-    content = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(
-        F.col(key).alias("key"), cell.alias("at"),
-        (F.octet_length(content) + 1).cast("long").alias("size"),
-        F.crc32(content.cast("binary")).alias("text_crc32"))
-    same = ["at", "key", "size", "text_crc32"]
-    in_cell = Window.partitionBy("at").orderBy(point(F.col("key")), *same[1:])
-    ranked = (rows.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
-              .withColumn("end", F.sum("copies").over(
-                  in_cell.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("rank", F.explode(F.expr("sequence(end - copies, end - 1)"))))
+    before = Window.partitionBy("at").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, -1)
+    starts = sizes.select("at", "part", F.coalesce(
+        F.sum("n").over(before), F.lit(0)).alias("start"))
+    in_part = Window.partitionBy("at", "part").orderBy(
+        point(F.col("key")), "key", "size", "text_crc32").rowsBetween(
+        Window.unboundedPreceding, 0)
+    ends = rows.join(starts, ["at", "part"]).withColumn(
+        "end", F.col("start") + F.sum("copies").over(in_part))
+    steps = ends.withColumn("first", F.explode(F.expr(
+        f"sequence(end - copies, end - 1, {_STEP}L)"))).repartition("at", "first")
+    ranked = steps.withColumn("rank", F.explode(F.expr(
+        f"sequence(first, least(end, first + {_STEP}L) - 1)")))
     # At most one range per cell plus one per overflow: bounded by the ring, not the data.
     found = ranked.join(F.broadcast(where), (F.col("at") == F.col("cell"))
                         & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))

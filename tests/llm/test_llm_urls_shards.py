@@ -65,6 +65,27 @@ def test_empty_tables(spark):
     assert judged(spark, ["http://a.org"], [])[0][2:] == (None, "allow")
 
 
+def test_a_hot_url_is_split(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "small_or_whole", lambda table: table)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        ids = spark.range(0, 60_000, numPartitions=16)
+        urls = ids.selectExpr("xxhash64(id) as page_id", "case when id % 3 > 0 then "
+                              "concat('http://h', id % 5000, '.org/en/', id) end as url")
+        rules = spark.createDataFrame(RULES, "host string, path string, action string")
+        judged = url_filter.judge_urls(urls, rules)
+        assert len(judged.collect()) == 60_000
+        assert "skew=true" in judged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("rows", [0, 1, 5, 16, 1000, 1003])
 def test_plan_balances_and_keeps_all(rows):
     ring = shards.Ring(16, cells=64)
@@ -117,3 +138,48 @@ def test_shards_of_documents(spark):
     again = shards.assign_shards(df.repartition(7), shards.Ring(4)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
     assert shards.assign_shards(df.limit(0), shards.Ring(4)).count() == 0
+
+
+def test_hot_keys_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(shards, "_STEP", 7)
+    ids = spark.range(9_000)
+    df = ids.selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 5 else id end as doc_id",
+                        "case when id < 4000 then 'same' else concat('t', id) end as text")
+    ring = shards.Ring(8)
+    groups = shards._counted(df, ring, "doc_id", "text").groupBy("at", "part").count()
+    assert max(r["count"] for r in groups.collect()) < 9_000 // 60
+    got = shards.assign_shards(df, ring).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in df.collect())
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert [len(slots[s]) for s in range(8)] == [1125] * 8
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "é" * 2_000_000), (2, "a")], "doc_id long, text string")
+    got = {r.doc_id: r["size"] for r in shards.assign_shards(df, shards.Ring(2)).collect()}
+    assert got == {1: 4_000_001, 2: 2}
+
+
+def test_the_ring_walked_row_by_row(spark):
+    """Every arc offers its rows to its node's shard, then all go on one node at a time."""
+    ring = shards.Ring(3, nodes_per_shard=4, cells=97)
+    df = spark.createDataFrame([(i % 40, f"t{i}") for i in range(200)], "doc_id long, text string")
+    rows = sorted((r.at, r.part, r.hash, r.key, r["size"], r.text_crc32) for r in shards._counted(
+        df, ring, "doc_id", "text").selectExpr("*", "xxhash64(key) as hash").collect())
+    nodes = ring.nodes()
+    room = dict(enumerate(ring.capacities(200)))
+    arc = [next((i for i, (cell, _) in enumerate(nodes) if cell >= r[0]), 0) for r in rows]
+    placed, step = {}, 0
+    while len(placed) < 200:
+        for a in range(len(nodes)):
+            shard = nodes[(a + step) % len(nodes)][1]
+            for i, r in enumerate(rows):
+                if arc[i] == a and i not in placed and room[shard]:
+                    placed[i] = shard
+                    room[shard] -= 1
+        step += 1
+    got = {(r.doc_id, r.text_crc32): r.shard for r in shards.assign_shards(df, ring).collect()}
+    assert got == {(rows[i][3], rows[i][5]): s for i, s in placed.items()}
