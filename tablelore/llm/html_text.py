@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -68,6 +70,8 @@ _COMMENT_NAMES = frozenset("""
     comment-form disqus_thread""".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[a-z]+")
+#: Decimal references beyond all code points, which have too many digits to be read.
+_BIG_NUMBER = re.compile(r"&#0*[1-9][0-9]{7,};?")
 
 
 @dataclass(frozen=True)
@@ -91,8 +95,19 @@ class Section:
     tag: str
     parent: Section | None
     apart: bool
-    depth: int
+    enter: int
     named: bool = False
+    trunk: Section | None = None  # the outermost article or main element around it
+    leave: int = 0  # sections within have numbers from enter up to this
+
+    def __post_init__(self):
+        if self.parent is not None:
+            self.trunk = self.parent.trunk
+        if self.trunk is None and self.tag in ("article", "main"):
+            self.trunk = self
+
+    def holds(self, other: Section) -> bool:
+        return self.enter <= other.enter < self.leave
 
 
 @dataclass
@@ -105,21 +120,68 @@ class Line:
     text: str = ""
 
 
+class _Open:
+    """Open elements, innermost last; a tag that is not open is known without a search."""
+
+    def __init__(self):
+        self._tags: list[str] = []
+        self._count: Counter[str] = Counter()
+
+    def __len__(self) -> int:
+        return len(self._tags)
+
+    def push(self, tag: str) -> None:
+        self._tags.append(tag)
+        self._count[tag] += 1
+
+    def close(self, tag: str) -> bool:
+        """Close the innermost element of a tag and all in it; false if none is open."""
+        if not self._count[tag]:
+            return False
+        while self._tags[-1] != tag:
+            self._pop()
+        self._pop()
+        return True
+
+    def cut(self, size: int) -> None:
+        """Close all but the outermost ``size`` elements."""
+        while len(self._tags) > size:
+            self._pop()
+
+    def _pop(self) -> None:
+        self._count[self._tags.pop()] -= 1
+
+    def clear(self) -> None:
+        self._tags.clear()
+        self._count.clear()
+
+
 class _Lines(HTMLParser):
-    """The lines of a page in order."""
+    """The lines of a page in order, in time that grows with its length."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self._section = Section("", None, False, 0)
-        self._silent: list[str] = []
-        self._inner: list[str] = []  # open marked elements that are no sections
+        self.sections = [Section("", None, False, 0)]
+        self._section = self.sections[0]
+        self._depths: Counter[str] = Counter()  # open sections by tag
+        self._silent = _Open()
+        self._inner = _Open()  # open marked elements that are no sections
+        self._loose = ""  # the open marked block that holds no sections
+        self._before = 0  # how many of the inner elements were open when it began
         self._links = 0
+        self._unclosed = False  # no comment after this ends
         self._line = Line(self._section, False)
 
     def _new_line(self) -> None:
         self.lines.append(self._line)
-        self._line = Line(self._section, self._section.apart or bool(self._inner))
+        self._line = Line(self._section, self._section.apart or bool(self._inner)
+                          or bool(self._loose))
+
+    def _leave(self) -> None:
+        self._section.leave = len(self.sections)
+        self._depths[self._section.tag] -= 1
+        self._section = self._section.parent
 
     def _marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         """How an element is marked: for good, by its name, or not at all."""
@@ -143,36 +205,39 @@ class _Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if self._silent:
             if tag in _SILENT and tag not in _VOID:
-                self._silent.append(tag)
+                self._silent.push(tag)
             elif tag == "body":  # an open head ends here
                 self._silent.clear()
             else:
                 return
         elif tag in _SILENT:
             if tag not in _VOID:
-                self._silent.append(tag)
+                self._silent.push(tag)
             return
         if tag == "a":
             self._links = 1
         if tag in _BLOCKS:
             if tag in _LOOSE:
-                self._inner = [t for t in self._inner if t not in _LOOSE]
+                self._loose = ""
             marked = self._marked(tag, attrs) if attrs else ""
             if tag in _LOOSE:
                 if marked and tag not in _VOID:
-                    self._inner.append(tag)
+                    self._loose, self._before = tag, len(self._inner)
             else:
                 self._inner.clear()
+                self._loose = ""
                 here = self._section
                 self._section = Section(
                     tag, here, here.apart or tag in _APART or marked in ("hidden", "comments"),
-                    here.depth + 1, marked == "name")
+                    len(self.sections), marked == "name")
+                self.sections.append(self._section)
+                self._depths[tag] += 1
             self._new_line()
         else:
             if tag in _SPACES:
                 self._line.parts.append(" ")
             elif attrs and tag not in _VOID and self._marked(tag, attrs):
-                self._inner.append(tag)
+                self._inner.push(tag)
                 self._new_line()
         self._line.tags += 1
 
@@ -184,24 +249,25 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         if self._silent:
-            if tag in self._silent:
-                while self._silent.pop() != tag:
-                    pass
+            self._silent.close(tag)
             return
         if tag == "a":
             self._links = 0
-        if tag in self._inner:
-            while self._inner.pop() != tag:
-                pass
+        if tag == self._loose:
+            self._loose = ""
+            self._inner.cut(self._before)
+            self._new_line()
+        elif self._inner.close(tag):
+            if len(self._inner) < self._before:
+                self._loose = ""
             self._new_line()
         if tag in _BLOCKS:
-            if tag not in _LOOSE:
-                at = self._section
-                while at.parent is not None and at.tag != tag:
-                    at = at.parent
-                if at.parent is not None:
-                    self._section = at.parent
-                    self._inner.clear()
+            if tag not in _LOOSE and self._depths[tag]:
+                while self._section.tag != tag:
+                    self._leave()
+                self._leave()
+                self._inner.clear()
+                self._loose = ""
             self._new_line()
         elif tag in _SPACES:
             self._line.parts.append(" ")
@@ -220,36 +286,34 @@ class _Lines(HTMLParser):
         end = self.rawdata.find(">", i + 2)
         return end + 1 if end >= 0 else -1
 
-    def finish(self) -> list[Line]:
-        self.close()
+    def parse_comment(self, i, report=1):
+        """Where one comment has no end, none after it has, and none is searched for."""
+        if self._unclosed:
+            return -1
+        end = super().parse_comment(i, report)
+        self._unclosed = end < 0
+        return end
+
+    def read(self, html: str) -> list[Line]:
+        """All lines. What follows the last ``>`` has no tags and is read as text."""
+        at = html.rfind(">") + 1
+        self.feed(_BIG_NUMBER.sub("&#xFFFD;", html[:at]))
+        if self.rawdata:
+            self.close()
+        if not self.cdata_elem:
+            self.handle_data(unescape(_BIG_NUMBER.sub("&#xFFFD;", html[at:])))
         self._new_line()
+        while self._section.parent is not None:
+            self._leave()
+        self._section.leave = len(self.sections)
         return self.lines
 
 
-def _within(section: Section, root: Section) -> bool:
-    at: Section | None = section
-    while at is not None and at.depth >= root.depth:
-        if at is root:
-            return True
-        at = at.parent
-    return False
-
-
-def _trunk(section: Section) -> Section | None:
-    """The outermost article or main element around a section."""
-    found, at = None, section
-    while at is not None:
-        if at.tag in ("article", "main"):
-            found = at
-        at = at.parent
-    return found
-
-
 def _around(sections: list[Section]) -> Section:
     """The smallest element around all of the sections."""
     root = sections[0]
     for section in sections:
-        while not _within(section, root) and root.parent is not None:
+        while not root.holds(section):
             root = root.parent
     return root
 
@@ -275,34 +339,31 @@ def _seeds(lines: list[Line], settings: Settings) -> tuple[list[int], set[int]]:
             {i for i in usable if ratios[i] >= threshold})
 
 
-def _named(section: Section) -> list[Section]:
-    """The elements marked by name around a section, up to the outermost article or main."""
-    trunk, out, at = _trunk(section), [], section
-    while at is not None and at is not trunk:
-        if at.named:
-            out.append(at)
-        at = at.parent
-    return out
-
-
-def _set_apart(lines: list[Line], settings: Settings) -> None:
+def _set_apart(lines: list[Line], sections: list[Section], settings: Settings) -> None:
     """Mark the lines in elements marked by name that don't hold most of the seeds' text.
 
-    Where articles or main elements hold seeds, theirs are the ones that count.
+    Marks around the outermost article or main element say nothing of lines in it, and
+    where such elements hold seeds, theirs are the ones that count.
     """
-    around = [_named(line.section) for line in lines]
-    if not any(around):
+    if not any(s.named for s in sections):
         return
-    held: dict[int, int] = {}
-    total = 0
+    held = [0] * len(sections)
     seeds = _seeds(lines, settings)[0]
-    for i in [i for i in seeds if _trunk(lines[i].section) is not None] or seeds:
-        total += len(lines[i].text)
-        for section in around[i]:
-            held[id(section)] = held.get(id(section), 0) + len(lines[i].text)
-    for line, sections in zip(lines, around, strict=True):
-        if any(2 * held.get(id(s), 0) <= total for s in sections):
-            line.apart = True
+    for i in [i for i in seeds if lines[i].section.trunk is not None] or seeds:
+        held[lines[i].section.enter] += len(lines[i].text)
+    # Sections have numbers in the order they begin, so the last ones are the inner ones.
+    for section in reversed(sections[1:]):
+        # An article's text is not held against the marks around it.
+        if section.trunk is not section:
+            held[section.parent.enter] += held[section.enter]
+    total = sum(held[s.enter] for s in sections if s.parent is None or s.trunk is s)
+    apart = [False] * len(sections)
+    for section in sections[1:]:
+        if section.trunk is not section:
+            apart[section.enter] = apart[section.parent.enter] or (
+                section.named and 2 * held[section.enter] <= total)
+    for line in lines:
+        line.apart |= apart[line.section.enter]
 
 
 def main_text(html: str | None, settings: Settings = Settings()) -> str:
@@ -310,28 +371,29 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
     lines = []
-    for line in parser.finish():
+    for line in parser.read(html):
         line.text = " ".join("".join(line.parts).split())
         if line.text:
             lines.append(line)
-    _set_apart(lines, settings)
+    _set_apart(lines, parser.sections, settings)
     seeds, strong = _seeds(lines, settings)
     if not seeds:
         return ""
     trunks: dict[int, Section] = {}
     for i in seeds:
-        if (trunk := _trunk(lines[i].section)) is not None:
-            trunks[id(trunk)] = trunk
+        if (trunk := lines[i].section.trunk) is not None:
+            trunks[trunk.enter] = trunk
     links = [2 * line.linked > len(line.text) for line in lines]
     sown = [i for i in seeds if not links[i]] or seeds
     chosen = strong.intersection(sown)
-    roots = list(trunks.values()) or [_around([lines[i].section for i in sown])]
+    inside = bytearray(len(parser.sections))
+    for root in trunks.values() or [_around([lines[i].section for i in sown])]:
+        inside[root.enter:root.leave] = b"\1" * (root.leave - root.enter)
     first, last = min(sown), max(sown)
     return "\n\n".join(
         line.text for i, line in enumerate(lines)
-        if not line.apart and (i in chosen or any(_within(line.section, r) for r in roots))
+        if not line.apart and (i in chosen or inside[line.section.enter])
         # Outside an article, lists of links around the seeds are menus.
         and (trunks or first <= i <= last or not links[i]))
 
@@ -360,7 +422,7 @@ def extract_text(pages: DataFrame, *, html: str = "html", keep: tuple[str, ...]
         "page_id", "url"), settings: Settings = Settings()) -> DataFrame:
     """One row per page: the ``keep`` columns, ``text`` and ``n_chars``.
 
-    Whole pages are read. A null or empty page, one without tags' worth of text and one
+    Whole pages are read, very long ones too, in time that grows with their length. A null or empty page, one without tags' worth of text and one
     of elements for boilerplate alone give an empty text; text without any tag is its own main text.
     Repeated rows and null keys stay. Other columns are left out, so names cannot clash;
     an empty table gives an empty result. No shuffle; pages go to Python in portions.

@@ -1,5 +1,7 @@
 """Main text of pages of several makes."""
 
+import time
+
 import pytest
 
 from tablelore.llm.html_text import extract_text, main_text
@@ -76,6 +78,52 @@ def test_marks_inside_the_text():
     assert main_text(html) == "\n\n".join([(BODY * 3).strip(), BODY.strip()])
 
 
+N = 600_000
+DEEP = {
+    "nested divisions": "<div>a line\n" * (N // 12),
+    "open tags": "<b " * (N // 3),
+    "one tag that is never closed until the end": "<b " * (N // 3) + ">",
+    "open comments": "<!--" * (N // 4) + ">",
+    "comments that look closed": "<!-- >" * (N // 6),
+    "ends of nothing": "<div>x" * (N // 12) + "</nav>" * (N // 12),
+    "marked spans": "<span class=ad>" * (N // 30) + "</b>" * (N // 8),
+    "marked paragraphs in spans": "<span class=ad><p class=ad>x" * (N // 27),
+    "articles in marked divisions": "<div class=ad>t" * (N // 30) + "<article>x" * (N // 20),
+    "silent elements": "<svg>" * (N // 10) + "</x>" * (N // 8),
+    "ends in a script": "<script>" + "</x" * (N // 3) + ">",
+    "quotes": '<a b="' * (N // 6) + ">",
+}
+
+
+@pytest.mark.parametrize("name", list(DEEP))
+def test_long_pages_take_linear_time(name):
+    page, times = DEEP[name], []
+    for part in (page[:len(page) // 4], page):
+        start = time.perf_counter()
+        main_text(part)
+        times.append(time.perf_counter() - start)
+    # Four times the page in about four times as long; a squared one would take sixteen.
+    assert times[1] < 10 * times[0] + 1.0
+
+
+def test_deep_pages_lose_nothing():
+    html = "<article>" + "".join(f"<div>line {i}" for i in range(20_000))
+    assert main_text(html) == "\n\n".join(f"line {i}" for i in range(20_000))
+    nested = "<div class='ad'>" * 5_000 + f"<article><p>{BODY}</p></article>" + "</div>" * 5_000
+    assert main_text(f"<body>{nested}<div class='ad'>x</div>") == BODY.strip()
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<p>a &#" + "1" * 5000 + "; b</p>", "a \ufffd b"), ("<p>&#0000000000000000065;</p>", "A"),
+    ("<p>a</p> 3 < 4 &amp; 5", "a\n\n3 < 4 & 5"),
+    ("<p>a <span class=ad>b <p class=ad>c</span> d", "a\n\nd"),
+    ("<p>a<p class=ad>b <span class=ad>c</p> d", "a\n\nd"),
+    ("<p>a</p><script>b</x> c", "a"),
+])
+def test_odd_markup(html, text):
+    assert main_text(html) == text
+
+
 def test_awkward_rows(spark):
     long = "<article>" + "".join(f"<p>{BODY}{i}</p>" for i in range(3000)) + "</article>"
     rows = [(1, "u", None, 5), (1, None, "", 5), (None, "u", "<p></p>", 5), (2, "u", long, 5),
