@@ -4,8 +4,10 @@ Parser events of the standard library are read once from front to back. They mak
 one for each block, with their text, the number of tags in them and the sections they lie
 in. The ratio of text to tags, smoothed along the page by a Gaussian, tells content from
 the rest: lines above a threshold seed the content. The region then is every article or
-main element that holds seeds, with the lines outside that reach the threshold alone, or else the smallest element
-around all seeds; seeds that are mostly links widen nothing. Lines in parts that are marked as something else (menus, headers,
+main element that holds seeds, with the lines outside that reach the threshold alone. On
+pages without those, the seeds are clustered in two by their own ratio; the region is the
+smallest element around the upper ones, with headings among the seeds and paragraphs
+outside that reach the threshold alone. Seeds that are mostly links widen nothing. Lines in parts that are marked as something else (menus, headers,
 footers, sidebars, notices, adverts, forms, comments) never count.
 """
 
@@ -68,6 +70,8 @@ _COMMENT_NAMES = frozenset("""
     comment-list comments-list comments-area comment-area comment-section comments-section
     comment-thread comments-thread comment-body comment-content comment-respond
     comment-form disqus_thread""".split())
+#: Elements that only hold others; text right in them may be anything.
+_PLAIN = frozenset("html body div section center main article".split()) | {""}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _WORD = re.compile(r"[a-z]+")
 #: Decimal references beyond all code points, which have too many digits to be read.
@@ -118,6 +122,11 @@ class Line:
     tags: int = 0
     linked: int = 0
     text: str = ""
+    bare: bool = True  # not in a paragraph or list item
+
+    def ratio(self) -> float:
+        """Characters outside links for each tag."""
+        return (len(self.text) - min(self.linked, len(self.text))) / max(1, self.tags)
 
 
 class _Open:
@@ -233,6 +242,7 @@ class _Lines(HTMLParser):
                 self.sections.append(self._section)
                 self._depths[tag] += 1
             self._new_line()
+            self._line.bare = tag not in _LOOSE
         else:
             if tag in _SPACES:
                 self._line.parts.append(" ")
@@ -326,8 +336,7 @@ def _seeds(lines: list[Line], settings: Settings) -> tuple[list[int], set[int]]:
     usable = [i for i, line in enumerate(lines) if not line.apart]
     if not usable:
         return [], set()
-    ratios = [0.0 if line.apart else (len(line.text) - min(line.linked, len(line.text)))
-              / max(1, line.tags) for line in lines]
+    ratios = [0.0 if line.apart else line.ratio() for line in lines]
     kernel, radius = settings.kernel(), settings.radius
     padded = [0.0] * radius + ratios + [0.0] * radius
     smooth = [sum(w * padded[i + k] for k, w in enumerate(kernel))
@@ -339,6 +348,24 @@ def _seeds(lines: list[Line], settings: Settings) -> tuple[list[int], set[int]]:
             {i for i in usable if ratios[i] >= threshold})
 
 
+def _upper(values: list[float]) -> float:
+    """The least value of the upper of two clusters whose means are farthest apart.
+
+    Of all cuts of the ordered values it is the one with the least squares within both;
+    equal values are one cluster.
+    """
+    ordered = sorted(values)
+    n, total = len(ordered), sum(ordered)
+    best, cut, below = 0.0, ordered[0], 0.0
+    for k in range(1, n):
+        below += ordered[k - 1]
+        if ordered[k] > ordered[k - 1]:
+            between = k * (n - k) * (below / k - (total - below) / (n - k)) ** 2
+            if between > best:
+                best, cut = between, ordered[k]
+    return cut
+
+
 def _set_apart(lines: list[Line], sections: list[Section], settings: Settings) -> None:
     """Mark the lines in elements marked by name that don't hold most of the seeds' text.
 
@@ -388,7 +415,20 @@ def main_text(html: str | None, settings: Settings = Settings()) -> str:
     sown = [i for i in seeds if not links[i]] or seeds
     chosen = strong.intersection(sown)
     inside = bytearray(len(parser.sections))
-    for root in trunks.values() or [_around([lines[i].section for i in sown])]:
+    if trunks:
+        roots = list(trunks.values())
+    else:
+        # The upper of two clusters says where the text is; of the lower, lines right in a
+        # division elsewhere are adverts and notices.
+        cut = _upper([lines[i].ratio() for i in sown])
+        root = _around([lines[i].section for i in sown if lines[i].ratio() >= cut])
+        while root.tag not in _PLAIN:
+            root = root.parent
+        roots = [root]
+        chosen = {i for i in chosen if lines[i].ratio() >= cut or not lines[i].bare
+                  or lines[i].section.tag not in _PLAIN}
+        chosen.update(i for i in sown if lines[i].section.tag in _HEADINGS)
+    for root in roots:
         inside[root.enter:root.leave] = b"\1" * (root.leave - root.enter)
     first, last = min(sown), max(sown)
     return "\n\n".join(

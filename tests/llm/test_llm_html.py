@@ -1,11 +1,16 @@
 """Main text of pages of several makes."""
 
+import os
+import re
 import time
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from tablelore.llm.html_text import extract_text, main_text
 
+SF = "/root/testdata/sf0.01"
 BODY = "Some long enough running text of an article that goes on for a while, and on. "
 PAGES = {
     "article": (f"<html><head><title>T</title><style>p{{}}</style><script>var a='</p>';</script>"
@@ -47,6 +52,11 @@ REGIONS = {
                       [(BODY * 3).strip(), BODY.strip()]),
     "sibling articles": (f"<body><nav>Menu</nav><article><p>{BODY * 2}</p></article><article><p>{BODY}"
                          f"</p></article></body>", [(BODY * 2).strip(), BODY.strip()]),
+    "list between paragraphs": (f"<body><div>Sale today</div><div><p>{BODY}a</p><ul><li>{BODY * 9}</li></ul>"
+                                f"<p>{BODY}b</p></div><div>All rights</div></body>",
+                                [BODY + "a", (BODY * 9).strip(), BODY + "b"]),
+    "bare divisions": (f"<body><div>{BODY * 2}</div><div>{BODY}</div><div>{BODY * 2}</div></body>",
+                       [(BODY * 2).strip(), BODY.strip(), (BODY * 2).strip()]),
     "a menu of links": (f"<body><div><a href=x>a</a><p><a href=y>b</a></div><div><h2>Head</h2><p>{BODY * 3}"
                         f"</p></div></body>", ["Head", (BODY * 3).strip()]),
 }
@@ -78,6 +88,21 @@ def test_marks_inside_the_text():
     assert main_text(html) == "\n\n".join([(BODY * 3).strip(), BODY.strip()])
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_ratios_find_the_text_without_names():
+    """With every telling element made a division and all names gone, the text is the same."""
+    telling = r"<(/?)(?:article|main|nav|header|footer|aside|section|form)\b[^>]*>"
+    names = r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
+    blocks = lost = foreign = found = 0
+    for page in pq.read_table(f"{SF}/pages.parquet").column("html").to_pylist():
+        want = Counter(main_text(page).split("\n\n"))
+        plain = re.sub(names, "", re.sub(telling, r"<\1div>", page or ""))
+        got = Counter(main_text(plain).split("\n\n"))
+        blocks, found = blocks + want.total(), found + got.total()
+        lost, foreign = lost + (want - got).total(), foreign + (got - want).total()
+    assert blocks > 1000 and lost <= 0.01 * blocks and foreign <= 0.05 * found
+
+
 N = 600_000
 DEEP = {
     "nested divisions": "<div>a line\n" * (N // 12),
