@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..store import small_or_whole, written
+from ..store import written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SHAPES = "array<struct<labels:int,chars:int>>"
@@ -59,8 +59,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, key: str = "page_id", url:
 
     Only hosts and paths are shuffled. Matches are gathered by (host, path), so equal
     urls are one row per task before the shuffle, and written. The join that follows has
-    plain tables on both sides: up to a number of matched urls they are broadcast, and
-    beyond it adaptive execution splits a hot url, null ones too, over many tasks.
+    plain tables on both sides: Spark broadcasts the matches while their files are small,
+    and beyond that splits a hot url, null ones too, over many tasks.
     """
     rules = rules.select("host", "path", "action").dropna().distinct()
     shapes = _shapes(rules)
@@ -87,6 +87,6 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, key: str = "page_id", url:
     best = written(expressions.join(rules, "prefix")
                    .where(F.col("digest") == F.col("rule_digest"))
                    .groupBy("host", "path").agg(F.max("found").alias("found")), "url-rules")
-    return parts.join(small_or_whole(best), ["host", "path"], "left").select(
+    return parts.join(best, ["host", "path"], "left").select(
         key, "host", "path", F.col("found.rule").alias("rule"),
         F.coalesce("found.verdict", F.lit(default)).alias("verdict"))

@@ -65,8 +65,7 @@ def test_empty_tables(spark):
     assert judged(spark, ["http://a.org"], [])[0][2:] == (None, "allow")
 
 
-def test_a_hot_url_is_split(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "small_or_whole", lambda table: table)
+def test_a_hot_url_is_split(spark):
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64",
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000"}
