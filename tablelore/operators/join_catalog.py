@@ -2,8 +2,9 @@
 
 One scan a table makes a theta sketch of every key column: the values with the smallest
 hashes. Two sketches cut at the same hash are the same sample of two sets, so the share of
-the source's sample that the target has is its containment, with a known error. Only pairs
-whose answer the error leaves open are joined.
+the source's sample that the target has is its containment, with a known error. The pairs
+whose answer the error leaves open are counted exactly, many at once: every value is
+grouped once with a mask of the columns that hold it, and the masks answer all pairs.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from math import log, sqrt
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.types import is_text, is_temporal, ref
-from ..store import temporary_folder, written
+from ..store import SMALL_TABLE_ROWS, small_or_whole, temporary_folder, written
 from .joins import key_evidence
 
 #: Tables or pairs in one plan; further ones get plans of their own.
 BATCH = 40
+#: Columns that the bits of one number tell apart.
+MASK_COLUMNS = 63
 
 
 def _kind(dt: T.DataType) -> str | None:
@@ -31,9 +34,13 @@ def _kind(dt: T.DataType) -> str | None:
     return dt.simpleString() if is_temporal(dt) else None
 
 
-def _hashed(name: str, kind: str) -> Column:
+def _value(name: str, kind: str) -> Column:
     c = ref(name)
-    return F.xxhash64(c.cast("bigint") if kind == "number" else c)
+    return c.cast("bigint") if kind == "number" else c
+
+
+def _hashed(name: str, kind: str) -> Column:
+    return F.xxhash64(_value(name, kind))
 
 
 def _appended(frames: list[DataFrame], name: str) -> DataFrame:
@@ -135,9 +142,77 @@ def widest_error(log_size: int = 12, chance: float = 1e-9) -> float:
     return sqrt(log(2 / chance) / 2 / (0.9 * 2 ** log_size))
 
 
+def _portions(pairs: list[tuple], sizes: Mapping[tuple, float], kinds: Mapping[tuple, str],
+              rows: int) -> list[tuple[list[tuple], bool]]:
+    """Pairs of columns in portions of one kind and at most ``MASK_COLUMNS`` columns.
+
+    True for portions whose sources have at most ``rows`` distinct values together, by
+    their sketches; pairs with larger sources come apart.
+    """
+    out: list[tuple[list[tuple], bool]] = []
+    last = None
+    for source, target in sorted(pairs, key=lambda p: (kinds[p[0]], sizes[p[0]], *p)):
+        few = sizes[source] <= rows
+        if out and last == (kinds[source], few):
+            columns = {c for p in out[-1][0] for c in p} | {source, target}
+            values = sum(sizes[c] for c in {p[0] for p in out[-1][0]} | {source})
+            if len(columns) <= MASK_COLUMNS and (values <= rows or not few):
+                out[-1][0].append((source, target))
+                continue
+        out.append(([(source, target)], few))
+        last = kinds[source], few
+    return out
+
+
+def _values_of(tables: Mapping[str, DataFrame], columns: list[tuple], kind: str) -> DataFrame:
+    """``(value, mask)`` of all columns, each table read once; bit i stands for column i."""
+    own: dict[str, list[tuple[int, str]]] = {}
+    for i, (table, column) in enumerate(columns):
+        own.setdefault(table, []).append((i, column))
+    return reduce(DataFrame.unionByName, [
+        tables[table].select(F.inline(F.array(*[
+            F.struct(_value(c, kind).alias("value"), F.lit(1 << i).cast("bigint").alias("mask"))
+            for i, c in named]))).where("value is not null")
+        for table, named in own.items()])
+
+
+def _matched(tables: Mapping[str, DataFrame], pairs: list[tuple], kinds: Mapping[tuple, str],
+             sizes: Mapping[tuple, float], rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """The pairs of names with ``source_distinct`` and ``matched_distinct``, exactly.
+
+    Values are grouped once, with a mask of the columns that hold them, so that a value is
+    shuffled once from every task whatever the number of pairs. Where the sources have few
+    values, others are left out before. A row per mask that occurs is left.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    counted, asked = [], []
+    for n, (portion, few) in enumerate(_portions(pairs, sizes, kinds, rows)):
+        sources = sorted({p[0] for p in portion})
+        columns = sources + sorted({p[1] for p in portion} - set(sources))
+        kind = kinds[sources[0]]
+        values = _values_of(tables, columns, kind)
+        if few:
+            sought = written(_values_of(tables, sources, kind).select(
+                F.xxhash64("value").alias("hash")).distinct(), "sought")
+            values = values.withColumn("hash", F.xxhash64("value")).join(
+                small_or_whole(sought, rows), "hash", "left_semi")
+        masks = values.groupBy("value").agg(F.bit_or("mask").alias("mask")).groupBy(
+            "mask").agg(F.count(F.lit(1)).alias("n"))
+        counted.append(masks.select(F.lit(n).alias("portion"), "mask", "n"))
+        asked += [(n, *s, *t, columns.index(s), columns.index(t)) for s, t in portion]
+    masks = _appended(counted, "masks")
+    asked = spark.createDataFrame(asked, "portion int, source_table string, source_col string, "
+                                  "target_table string, target_col string, s int, t int")
+    in_source, in_target = (F.expr(f"bit_get(mask, {bit}) = 1") for bit in "st")
+    return asked.join(masks, "portion").where(in_source).groupBy(
+        "source_table", "source_col", "target_table", "target_col").agg(
+        F.sum("n").alias("source_distinct"),
+        F.sum(F.when(in_target, F.col("n")).otherwise(0)).alias("matched_distinct"))
+
+
 def catalog_evidence(tables: Mapping[str, DataFrame], pairs: DataFrame | None = None,
-                     least: float = 0.9, log_size: int = 12,
-                     chance: float = 1e-9) -> DataFrame:
+                     least: float = 0.9, log_size: int = 12, chance: float = 1e-9,
+                     sketches: DataFrame | None = None) -> DataFrame:
     """Which pairs of columns hold as keys: one row per pair, ``holds`` if at least
     ``least`` of the source's distinct values are in the target.
 
@@ -145,10 +220,12 @@ def catalog_evidence(tables: Mapping[str, DataFrame], pairs: DataFrame | None =
     defaults to ``key_pairs``; a pair whose source has no values does not hold. ``low`` and
     ``high`` bound the containment, ``settled_by`` says whether the sketches sufficed or
     the pair was joined; joined ones have their exact containment in both. Every table is
-    read once for the sketches and again for each of its pairs that stay open. The names
-    of those come to the driver, which plans their joins.
+    read once for the sketches, unless ``key_sketches`` of ``log_size`` are given, and a few
+    times for all pairs that stay open. The names of those and of the columns come to the
+    driver, which plans what is read.
     """
-    sketches = key_sketches(tables, log_size)
+    if sketches is None:
+        sketches = key_sketches(tables, log_size)
     bounds = written(containment_bounds(
         sketches, key_pairs(sketches) if pairs is None else pairs, log_size, chance), "bounds")
     names = ["source_table", "source_col", "target_table", "target_col"]
@@ -156,15 +233,24 @@ def catalog_evidence(tables: Mapping[str, DataFrame], pairs: DataFrame | None =
     settled = bounds.where(~F.coalesce(is_open, F.lit(False))).select(
         *names, "low", "high", F.coalesce(F.col("low") >= least, F.lit(False)).alias("holds"),
         F.lit("sketch").alias("settled_by"))
-    left = bounds.where(is_open).select(*names).orderBy(*names).collect()
-    joined = []
-    for p in left:
-        row = key_evidence(tables[p.source_table], p.source_col,
-                           tables[p.target_table], p.target_col)
-        exact = F.try_divide("matched_distinct", "source_distinct")
-        joined.append(row.select(
-            F.lit(p.source_table).alias("source_table"), "source_col",
-            F.lit(p.target_table).alias("target_table"), "target_col",
-            exact.alias("low"), exact.alias("high"), (exact >= least).alias("holds"),
-            F.lit("join").alias("settled_by")))
-    return settled.unionByName(_appended(joined, "joined-pairs")) if joined else settled
+    left = [((p.source_table, p.source_col), (p.target_table, p.target_col))
+            for p in bounds.where(is_open).select(*names).orderBy(*names).collect()]
+    if not left:
+        return settled
+    columns = sketches.select("table_name", "column_name", "kind", "distinct_near").collect()
+    kinds = {(c.table_name, c.column_name): c.kind for c in columns}
+    sizes = {(c.table_name, c.column_name): float(c.distinct_near) for c in columns}
+    alike = [p for p in left if kinds[p[0]] == kinds[p[1]]]
+    parts = [_matched(tables, list(dict.fromkeys(alike)), kinds, sizes)] if alike else []
+    # Pairs that were asked for although their types differ compare as Spark compares them.
+    mixed = [key_evidence(tables[s[0]], s[1], tables[t[0]], t[1]).select(
+        F.lit(s[0]).alias("source_table"), "source_col", F.lit(t[0]).alias("target_table"),
+        "target_col", "source_distinct", "matched_distinct")
+        for s, t in left if kinds[s] != kinds[t]]
+    if mixed:
+        parts.append(_appended(mixed, "joined-pairs"))
+    exact = F.try_divide("matched_distinct", "source_distinct")
+    joined = reduce(DataFrame.unionByName, parts).select(
+        *names, exact.alias("low"), exact.alias("high"), (exact >= least).alias("holds"),
+        F.lit("join").alias("settled_by"))
+    return settled.unionByName(joined)

@@ -331,8 +331,9 @@ from hits join sizes using (t, c) where m >= {least} * d"""
 def _(spark, sf):
     """Pairs of columns of all tables, near keys or not, whose source is in the target."""
     tables = read_all(spark, sf)
-    pairs = key_pairs(key_sketches(tables), unique=0.0)
-    return catalog_evidence(tables, pairs, least=0.9).where("holds").select(
+    sketches = key_sketches(tables)
+    pairs = key_pairs(sketches, unique=0.0)
+    return catalog_evidence(tables, pairs, least=0.9, sketches=sketches).where("holds").select(
         "source_table", "source_col", "target_table", "target_col")
 
 

@@ -89,3 +89,25 @@ def test_counts_of_many_files(spark, tmp_path):
         "odd": 7, "none": 0, "whole": 1830, "again": 1830}
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") <= 2 and "ReadSchema: struct<>" in plan
+
+
+def test_open_pairs_are_counted_together(spark, frame, monkeypatch):
+    """Tiny sources in large targets stay open; their pairs share a few reads of each table."""
+    large = spark.range(100_000).select("id", (F.col("id") * 2).alias("even"), F.concat(
+        F.lit("t"), F.col("id")).alias("name"))
+    small = [(i, i * 2, f"t{i}", f"u{i}" if i > 17 else f"t{i}") for i in range(20)]
+    tables = {"large": large, "small": frame(
+        "a int, `b.c` bigint, d string, e string", [*small, (None, 1, None, None), small[0]]),
+        "wide": spark.range(5, 50_005).select(F.col("id").cast("int").alias("k"))}
+    pairs = [("small", c, "large", t) for c in ("a", "b.c") for t in ("id", "even")]
+    pairs += [("small", c, "large", "name") for c in "de"] + [("small", "a", "wide", "k")]
+    true = dict(zip(pairs, (1.0, 0.5, 1.0, 20 / 21, 1.0, 0.9, 0.75), strict=True))
+    evidence = []
+    monkeypatch.setattr(join_catalog, "key_evidence", lambda *a: evidence.append(a))
+    for columns, rows in ((63, 1_000_000), (3, 1_000_000), (63, 5), (63, 30)):
+        monkeypatch.setattr(join_catalog, "MASK_COLUMNS", columns)
+        monkeypatch.setattr(join_catalog._matched, "__defaults__", (rows,))
+        got = found(catalog_evidence(tables, frame(PAIR, pairs)))
+        assert {k: (r.low, r.high, r.holds, r.settled_by) for k, r in got.items()} == {
+            k: (v, v, v >= 0.9, "join") for k, v in true.items()}
+    assert not evidence  # no join for each pair
