@@ -170,3 +170,29 @@ def test_index_of_nothing(spark, tmp_path):
     folder = str(tmp_path / "index")
     build_index(spark.createDataFrame([], "id long, body string"), {"body": 1}, ["id"], folder)
     assert search_index(spark, folder, "word", 3).collect() == []
+
+
+def test_words_are_counted_in_their_row(spark, tmp_path, monkeypatch):
+    """What is written before the shuffles is a row a document: its terms once, no texts."""
+    docs = spark.createDataFrame(
+        [(1, "b a b c-d", "b"), (2, None, ""), (3, "a", None), (1, "b a b c-d", "b")],
+        "id long, body string, title string")
+    seen = []
+    real = search_index_module.written
+
+    def spied(df, name):
+        seen.append(real(df, name))
+        return seen[-1]
+
+    monkeypatch.setattr(search_index_module, "written", spied)
+    folder = str(tmp_path / "index")
+    build_index(docs, {"body": 1, "title": 2}, ["id"], folder)
+    (rows,) = [t.drop("_doc").collect() for t in seen]
+    both = (["a", "b", "c", "c-d", "d"], [1, 4, 1, 1, 1])
+    got = sorted((r.id, r._len, r._runs and (r._runs.terms, r._runs.counts)) for r in rows)
+    assert got == [(1, 8, both), (1, 8, both), (2, 0, None), (3, 1, (["a"], [1]))]
+    terms = spark.read.parquet(f"{folder}/terms")
+    assert sorted((r.term, sorted(r.counts)) for r in terms.selectExpr(
+        "term", "explode(counts) as n").groupBy("term").agg(
+        F.collect_list("n").alias("counts")).collect()) == [
+        ("a", [1, 1, 1]), ("b", [4, 4]), ("c", [1, 1]), ("c-d", [1, 1]), ("d", [1, 1])]
