@@ -88,10 +88,24 @@ def name_at(columns: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("pos") + 1)
 
 
-def text_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(pos, column_name, value as text, n)`` including one null row per column."""
+def text_counts(df: DataFrame, columns: Sequence[str],
+                only: DataFrame | None = None) -> DataFrame:
+    """``(pos, column_name, value as text, n)`` including one null row per column.
+
+    With ``only``, a small table of ``column_name`` and ``value``, just the values in it are
+    counted, and all others are left out before anything is grouped or shuffled; a null
+    there asks for nothing.
+    """
     used = slots(df, columns)
-    return value_counts(df, columns).select(
+    if only is None:
+        counted = value_counts(df, columns)
+    else:
+        wanted = F.broadcast(only.select("column_name", "value").dropna().distinct())
+        counted = unfolded(df, columns).withColumns(
+            {"column_name": name_at(columns), "value": text_of(used)}).join(
+            wanted, ["column_name", "value"], "left_semi").groupBy("pos", *used).agg(
+            F.count(F.lit(1)).alias("n"))
+    return counted.select(
         "pos", name_at(columns).alias("column_name"), text_of(used).alias("value"), "n"
     )
 

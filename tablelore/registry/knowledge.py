@@ -10,6 +10,7 @@ from ..operators.counts import text_counts
 from ..operators.profile import approx_top_values, profile
 from ..operators.values import top_values
 from ..sources.tables import catalog, enrich_catalog
+from ..store import written
 from .base import TABLES, profile_sql, quality_sql, query, read, read_all
 from .scans import LABELLED_COLUMNS, LABELLED_SQL, _catalog_sql, _near, labelled
 
@@ -512,8 +513,9 @@ from (select {c}, count(*) as n from tails where {c} is not null group by {c})""
                     for c in ("pair", "place", "lang", "third"))}""")
 def _(spark, sf):
     tails = _tails(spark, sf)
-    found = approx_top_values(tails, top=5)
-    exact = text_counts(tails, tails.columns).select("column_name", "value", F.col("n"))
+    found = written(approx_top_values(tails, top=5), "found")  # at most five rows a column
+    exact = text_counts(tails, tails.columns, only=found).select(
+        "column_name", "value", F.col("n"))
     return found.join(exact, ["column_name", "value"]).groupBy(
         "column_name", "total_rows").agg(
         F.count(F.lit(1)).alias("shown"),

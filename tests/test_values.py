@@ -2,6 +2,7 @@ import pytest
 from conftest import by
 from pyspark.sql import functions as F
 
+from tablelore.operators.counts import text_counts
 from tablelore.operators.pivot import model_metrics, pivot
 from tablelore.operators.values import (
     categories, distinct_values, distribution, histogram, sample_values, settled_counts,
@@ -247,3 +248,19 @@ def test_two_rounds_of_nothing(frame):
     assert top_values(df).collect() == [] and sample_values(df).collect() == []
     df = frame("a string, b bigint", [(None, None), (None, None)])
     assert top_values(df).collect() == [] and sample_values(df).collect() == []
+
+
+def test_only_asked_values_are_counted(frame):
+    """Others are left out before the grouping; null asks for nothing."""
+    df = frame("a int, b string, c double", [
+        (1, "x", 0.5), (1, "1", None), (2, None, 0.5), (None, "x", 1.5), (1, "y", 0.5)])
+    only = frame("column_name string, value string, rank int", [
+        ("a", "1", 1), ("a", "7", 2), ("b", "x", 1), ("b", "x", 2), ("b", None, 3),
+        ("c", "0.5", 1), ("none", "1", 1)])
+    got = text_counts(df, df.columns, only=only)
+    assert sorted(map(tuple, got.collect())) == [
+        (0, "a", "1", 3), (1, "b", "x", 2), (2, "c", "0.5", 3)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # the join feeds the grouping
+    whole = text_counts(df, df.columns)
+    assert whole.count() == 10 and set(got.collect()) <= set(whole.collect())
