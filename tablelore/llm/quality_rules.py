@@ -26,6 +26,8 @@ from .frames import fresh
 from .workers import ship, tidy
 
 WINDOW = 5
+#: Words, their numbers and windows take some forty times the bytes of the texts they are of.
+PORTION_BYTES = 250_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
           "n_upper", "n_marks", "n_same_words")
 _SYMBOLS, _MARKS = b"#*$%&|<>", b"!?.,;:\"'()-"
@@ -108,7 +110,8 @@ def count_column(spark, text: Column) -> Column:
     @F.arrow_udf(_RESULT)
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in tidy(batches):
-            parts = [count_texts(batch[b:e].to_pylist()) for b, e in portions(batch)]
+            parts = [count_texts(batch[b:e].to_pylist())
+                     for b, e in portions(batch, PORTION_BYTES)]
             yield pa.StructArray.from_arrays(
                 [pa.array(np.concatenate([p[n] for p in parts]) if parts else [], pa.int64())
                  for n in COUNTS], names=list(COUNTS))

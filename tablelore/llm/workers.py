@@ -16,13 +16,13 @@ _PACKAGE = Path(__file__).resolve().parent.parent
 _DONE = "_tablelore_shipped"
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of whole texts that travel to a worker at once.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 250
 
 
 def ship(spark: SparkSession) -> None:
     """Give the library's files to Spark once, so that workers need no installation.
 
-    Batches to workers are held to a thousand rows, because rows are whole texts.
+    Batches to workers are held to a few hundred rows, because rows are whole texts.
     """
     context = spark.sparkContext
     if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:

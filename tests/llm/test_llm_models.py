@@ -202,3 +202,21 @@ def test_folds_match_the_checksum(spark):
 
     rows = spark.range(200).toDF("doc_id").withColumn("f", fold(5)).collect()
     assert all(r.f == zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+
+
+def test_counting_texts_takes_bounded_memory():
+    """Portions keep what counting takes small beside the worker, however large a batch is."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tablelore.llm import quality_rules
+    from tablelore.llm.batches import portions
+
+    batch = pa.array([" ".join(f"w{i * j % 9973}" for j in range(2_000)) for i in range(300)])
+    tracemalloc.start()
+    counted = [quality_rules.count_texts(batch[b:e].to_pylist())["n_words"].sum()
+               for b, e in portions(batch, quality_rules.PORTION_BYTES)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(counted) == 600_000 and len(counted) > 5 and peak < 30_000_000
