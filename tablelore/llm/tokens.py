@@ -6,6 +6,7 @@ import re
 import struct
 from collections import deque
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
@@ -59,6 +60,19 @@ class Memory(dict):
         return value
 
 
+@lru_cache(maxsize=4)
+def tokenizer_of(tokenizer_json: str):
+    """The tokenizer of a vocabulary file's text, one per process.
+
+    A tokenizer that has been used leaves some megabytes in its process when it is dropped
+    (measured with tokenizers 0.23). Spark's workers run many tasks, so one tokenizer per
+    task would add up.
+    """
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_str(tokenizer_json)
+
+
 class WordIds(Memory):
     """Little-endian 32-bit ids of a stretch of text without blanks, remembered by stretch.
 
@@ -68,10 +82,8 @@ class WordIds(Memory):
     """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        self._tokenizer = tokenizer_of(tokenizer_json)
         self._letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self._bare = re.compile(_LATIN).fullmatch
         self._joins = self._keeps_words_whole()

@@ -1,5 +1,8 @@
 """Token counts and packing against the tokenizer itself and a plain greedy search."""
 
+import ctypes
+import gc
+import os
 import random
 import zlib
 from collections import Counter
@@ -34,6 +37,28 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, monkeypatch):
         assert words.of(text or "") == np.array(ids_of(tokenizer, text), dtype="<u4").tobytes()
 
 
+def resident_mb():
+    gc.collect()
+    ctypes.CDLL(None).malloc_trim(0)
+    with open("/proc/self/statm", encoding="ascii") as file:
+        return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2 ** 20
+
+
+def test_tasks_leave_no_tokenizer_behind_in_their_worker():
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choices("aeinorst", k=rnd.randint(8, 14))) for _ in range(20_000))
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer_json = file.read()
+
+    def task():
+        return tokens.WordIds(tokenizer_json).of(text)
+
+    first, begin = task(), resident_mb()
+    for _ in range(12):
+        assert task() == first
+    assert resident_mb() - begin < 15
+
+
 def greedy(word, vocabulary):
     longest, count = max(map(len, vocabulary)), 0
     while word:
